@@ -76,11 +76,6 @@ def is_true(argument: Column) -> Column:
     return (argument["type"] == "bool") & (argument["value"] == "True")
 
 
-def code_files(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """Facts of files that are not tests."""
-    return facts.join(files.filter("is_test").select("repo", "path"), ["repo", "path"], "left_anti")
-
-
 def syntax(facts: DataFrame) -> DataFrame:
     return emit(facts.filter("kind = 'SyntaxError'"), "PY-SYNTAX", detail=F.col("text"), line="lineno")
 
@@ -388,14 +383,18 @@ def redundant_calculations(facts: DataFrame) -> DataFrame:
     return facts.filter((F.col("kind") == "BinOp") & ((in_loop & long_left) | long_right)).select("repo", "path", "pre")
 
 
+def big_groups(rows: DataFrame, keys: list[str], size: Column, max_rows: int, max_size: float) -> DataFrame:
+    """Groups with more rows than one limit or a larger total than another."""
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(size).alias("total"))
+    return totals.filter((F.col("n") > max_rows) | (F.col("total") > max_size))
+
+
 def god_classes(facts: DataFrame) -> DataFrame:
     """Classes with many direct methods or many lines in them."""
     methods = functions(facts).filter("parent_kind = 'ClassDef' AND field = 'body'")
-    sizes = methods.groupBy("repo", "path", "parent", "parent_name", "parent_lineno").agg(
-        F.count("*").alias("n_methods"), F.sum(F.col("end_lineno") - F.col("lineno")).alias("n_lines")
-    )
-    hits = sizes.filter((F.col("n_methods") > MANY_METHODS) | (F.col("n_lines") > MANY_LINES))
+    keys = ["repo", "path", "parent", "parent_name", "parent_lineno"]
+    hits = big_groups(methods, keys, F.col("end_lineno") - F.col("lineno"), MANY_METHODS, MANY_LINES)
     detail = F.format_string(
-        "Class '%s' has %d methods and ~%d lines.", F.col("parent_name"), F.col("n_methods"), F.col("n_lines")
+        "Class '%s' has %d methods and ~%d lines.", F.col("parent_name"), F.col("n"), F.col("total")
     )
     return emit(hits, "ARCH-GOD-CLASS", detail=detail, line="parent_lineno")

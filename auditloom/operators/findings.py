@@ -13,7 +13,7 @@ from auditloom.dimensions import (
 )
 from auditloom.functions.translations import CATEGORIES, TEXTS
 from auditloom.operators.rules_catalog import RULES
-from auditloom.schemas import DEDUP_KEY, FINDING_COLUMNS
+from auditloom.schemas import DEDUP_KEY, FINDING_COLUMNS, carried
 
 Text = str | Column | None
 
@@ -34,24 +34,26 @@ def emit(
     confidence: Text = DEFAULT_CONFIDENCE,
     recommendation: Text = None,
     source: str = DEFAULT_SOURCE,
+    rule: str | None = None,
 ) -> DataFrame:
     """Turn matching rows into findings of one rule.
 
-    ``file`` and ``line`` name columns; texts not given come from the rule's catalogue entry.
+    ``file``, ``line`` and ``rule`` (an id other than the catalogue's) name columns; texts not given come from the rule's catalogue entry.
     """
-    rule = RULES[rule_id]
+    texts = RULES[rule_id]
     return rows.select(
         F.col("repo"),
-        text_of(rule.severity if severity is None else severity).alias("severity"),
-        F.lit(rule.category).alias("category"),
-        text_of(rule.title if title is None else title).alias("title"),
-        text_of(rule.detail if detail is None else detail).alias("detail"),
+        text_of(texts.severity if severity is None else severity).alias("severity"),
+        F.lit(texts.category).alias("category"),
+        text_of(texts.title if title is None else title).alias("title"),
+        text_of(texts.detail if detail is None else detail).alias("detail"),
         (F.lit(None) if file is None else F.col(file)).cast("string").alias("file"),
         (F.lit(None) if line is None else F.col(line)).cast("int").alias("line"),
-        text_of(rule.recommendation if recommendation is None else recommendation).alias("recommendation"),
+        text_of(texts.recommendation if recommendation is None else recommendation).alias("recommendation"),
         F.lit(source).alias("source"),
-        F.lit(rule_id).alias("rule_id"),
+        (F.lit(rule_id) if rule is None else F.col(rule)).alias("rule_id"),
         text_of(confidence).alias("confidence"),
+        *carried(rows),
     )
 
 
@@ -79,6 +81,7 @@ def emit_by_rule(
         F.lit(DEFAULT_SOURCE).alias("source"),
         F.col(rule).alias("rule_id"),
         F.lit(DEFAULT_CONFIDENCE).alias("confidence"),
+        *carried(rows),
     )
 
 
@@ -219,11 +222,16 @@ def gate_status(findings: DataFrame, threshold: str = "HIGH") -> DataFrame:
     )
 
 
+def count_pivot(rows: DataFrame, keys: list[str], column: str, values: dict[str, str]) -> DataFrame:
+    """One row per key with a count for each of a fixed set of values, as value -> column name."""
+    return rows.groupBy(*keys).agg(*[
+        F.count_if(F.col(column) == value).alias(name) for value, name in values.items()
+    ])
+
+
 def severity_pivot(findings: DataFrame) -> DataFrame:
     """One row per repository with a count for each of the five severities."""
-    return findings.groupBy("repo").agg(*[
-        F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_NAMES
-    ])
+    return count_pivot(findings, ["repo"], "severity", {s: s for s in SEVERITY_NAMES})
 
 
 def health_band(findings: DataFrame, scores: DataFrame) -> DataFrame:

@@ -28,9 +28,8 @@ DISABLED_DOCS = [
 ]
 
 
-def hardcoded_secrets(lines: DataFrame) -> DataFrame:
-    hits = lines.filter(~F.col("is_test") & text.has_hardcoded_secret(F.col("line")))
-    return emit(hits, "SEC-HARDCODED-SECRET", line="line_no")
+# The groups of line rules; see ``line_rules``.
+LINE_GROUPS = ["secrets", "sql", "docs"]
 
 
 def secret_scan(files: DataFrame) -> DataFrame:
@@ -38,7 +37,7 @@ def secret_scan(files: DataFrame) -> DataFrame:
     scanned = files.filter(
         F.col("is_text") & (F.col("size") <= TEXT_LIMIT) & (~F.col("is_test") | F.col("is_dotenv"))
     )
-    hits = scanned.select("repo", "path", F.explode(text.secret_hits(F.col("content"))).alias("label"))
+    hits = scanned.withColumn("label", F.explode(text.secret_hits(F.col("content"))))
     return emit(hits, "SEC-SECRET-SCAN", title=F.col("label"))
 
 
@@ -51,7 +50,8 @@ def env_files(files: DataFrame) -> DataFrame:
 
 
 def large_files(files: DataFrame, threshold: int = LARGE_FILE) -> DataFrame:
-    detail = F.format_string("Taille approximative: %.1f MB.", F.col("size") / 1_000_000)
+    megabytes = F.translate(F.format_number(F.col("size") / 1_000_000, 1), ",", "")
+    detail = F.concat(F.lit("Taille approximative: "), megabytes, F.lit(" MB."))
     return emit(files.filter(F.col("size") > threshold), "REPO-LARGE-FILE", detail=detail)
 
 
@@ -74,34 +74,42 @@ def sql_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(text.looks_like_sql(F.col("line")))
 
 
-def sql_line_rules(lines: DataFrame) -> DataFrame:
-    """Three rules in one scan: each statement line yields the rules it breaks."""
+def line_rules(lines: DataFrame, groups: list[str] = LINE_GROUPS, include_tests: bool = False) -> DataFrame:
+    """All rules that look at one line, in one pass over the lines.
+
+    Secrets are never reported in tests, statements only on request, switched-off
+    documentation always. Each line yields the rules it breaks.
+    """
     line = F.col("line")
-    broken = F.array(
-        F.when(text.is_sql_risk(line), F.lit("SQL-INJECTION-PATTERN")),
-        F.when(text.contains_any(line, ['f"', "f'"]), F.lit("SQL-INJECTION-FSTRING")),
-        F.when(F.contains(line, F.lit(".format(")), F.lit("SQL-INJECTION-FORMAT")),
-    )
-    hits = sql_lines(lines).withColumn("rule", F.explode(F.filter(broken, lambda r: r.isNotNull())))
+    no_test = ~F.col("is_test")
+    broken = {
+        "secrets": F.array(F.when(no_test & text.has_hardcoded_secret(line), F.lit("SEC-HARDCODED-SECRET"))),
+        "sql": F.when(
+            (F.lit(include_tests) | no_test) & text.looks_like_sql(line),
+            F.array(
+                F.when(text.is_sql_risk(line), F.lit("SQL-INJECTION-PATTERN")),
+                F.when(text.contains_any(line, ['f"', "f'"]), F.lit("SQL-INJECTION-FSTRING")),
+                F.when(F.contains(line, F.lit(".format(")), F.lit("SQL-INJECTION-FORMAT")),
+            ),
+        ),
+        "docs": F.when(
+            F.contains(line, F.lit("None")),
+            F.array(*[F.when(F.contains(line, F.lit(arg)), F.lit(rule)) for arg, rule in DISABLED_DOCS]),
+        ),
+    }
+    none = F.array().cast("array<string>")
+    rules = F.concat(*[F.coalesce(broken[g], none) for g in groups])
+    hits = lines.withColumn("rule", F.explode(F.filter(rules, lambda r: r.isNotNull())))
     shown = F.concat(
         F.lit("SQL statement with potential injection pattern: "), F.substring("line", 1, 100), F.lit("...")
     )
     details = {
-        "SQL-INJECTION-PATTERN": shown, "SQL-INJECTION-FSTRING": None, "SQL-INJECTION-FORMAT": None,
+        "SEC-HARDCODED-SECRET": None, "SQL-INJECTION-PATTERN": shown, "SQL-INJECTION-FSTRING": None,
+        "SQL-INJECTION-FORMAT": None, **{rule: None for _, rule in DISABLED_DOCS},
     }
     return emit_by_rule(hits, "rule", details, line="line_no")
 
 
-def disabled_docs(lines: DataFrame) -> DataFrame:
-    """Three rules in one scan, on all Python files including tests."""
-    line = F.col("line")
-    broken = F.array(*[F.when(F.contains(line, F.lit(arg)), F.lit(rule)) for arg, rule in DISABLED_DOCS])
-    hits = lines.filter(F.contains(line, F.lit("None"))).withColumn(
-        "rule", F.explode(F.filter(broken, lambda r: r.isNotNull()))
-    )
-    return emit_by_rule(hits, "rule", {rule: None for _, rule in DISABLED_DOCS}, line="line_no")
-
-
 def clean_architecture(
     files: DataFrame, domain: list[str] = DOMAIN_WORDS, frameworks: list[str] = FRAMEWORKS
 ) -> DataFrame:

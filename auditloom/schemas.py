@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 FINDING_COLUMNS = [
@@ -16,6 +17,14 @@ FINDINGS = T.StructType(
 # Two findings are the same when these agree; nulls count as equal.
 DEDUP_KEY = ["repo", "severity", "category", "title", "file", "line", "detail", "rule_id"]
 
+# Columns that files may bring along and findings keep: the arrival time in a stream.
+CARRIED = ["arrived"]
+
+
+def carried(rows: DataFrame) -> list[str]:
+    return [c for c in CARRIED if c in rows.columns]
+
+
 SCOPE = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("pre", T.IntegerType()),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.dimensions import SPEC_LIMIT, TEXT_LIMIT
 from auditloom.functions import paths
+from auditloom.schemas import carried
 
 
 def scan_files(spark: SparkSession, base: str, repo: str | None = None) -> DataFrame:
@@ -61,6 +62,7 @@ def describe(files: DataFrame) -> DataFrame:
         paths.is_text(name).alias("is_text"),
         paths.is_dotenv(name).alias("is_dotenv"),
         paths.is_test(F.col("path")).alias("is_test"),
+        *carried(files),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import LINE_BREAK
+from auditloom.schemas import carried
 
 
 def to_lines(files: DataFrame) -> DataFrame:
@@ -18,6 +19,7 @@ def to_lines(files: DataFrame) -> DataFrame:
     closed = F.when(
         F.element_at(cells, -1) == "", F.slice(cells, F.lit(1), F.size(cells) - 1)
     ).otherwise(cells)
-    return files.select(
-        "repo", "path", "is_test", F.posexplode(closed).alias("pos", "line")
-    ).select("repo", "path", "is_test", (F.col("pos") + 1).alias("line_no"), "line")
+    kept = ["repo", "path", "is_test", *carried(files)]
+    return files.select(*kept, F.posexplode(closed).alias("pos", "line")).select(
+        *kept, (F.col("pos") + 1).alias("line_no"), "line"
+    )
