@@ -1,16 +1,26 @@
-"""Rules over the facts table. Unless noted, each is a filter on node rows whose nested
-columns already hold what the rule compares, so nothing is joined or shuffled."""
+"""Rules over the facts table.
+
+Most rules are decided by one node row, whose nested columns already hold what the rule
+compares; those are listed in ``NODE_RULES`` and all run in one pass. The others combine
+nodes of a file by aggregates or equi-joins.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions import scopes, text
-from auditloom.operators.findings import emit, emit_by_rule
+from auditloom.functions import paths, scopes, text
+from auditloom.operators.findings import emit, emit_by_rule, emit_hits, hit
+from auditloom.operators.marks import mark_lines
 from auditloom.operators.rules_catalog import BLOCKING_DOTTED_ADVICE, RULES
 from auditloom.operators.windows import earlier_than
 
+FUNCTIONS = tuple(scopes.FUNCTIONS)
+
 # Call names each rule looks for.
 DYNAMIC_CODE = ["eval", "exec"]
 PROCESS_CALLS = ["run", "Popen", "call", "check_call", "check_output"]
@@ -35,6 +45,9 @@ EXPENSIVE_CALLS = [
     "re.compile", "sorted", "list.sort",
 ]
 
+# Bases that make a class a model, in any case.
+MODEL_BASES = r"(?iu)BaseModel|pydantic"
+
 # Large allocations in the text of a loop body.
 LARGE_ALLOCATIONS = [r"list\(range\([1-9]\d{5,}\)\)", r"\[[^\]]*\]\s*\*\s*[1-9]\d{5,}"]
 
@@ -76,58 +89,164 @@ def is_true(argument: Column) -> Column:
     return (argument["type"] == "bool") & (argument["value"] == "True")
 
 
-def syntax(facts: DataFrame) -> DataFrame:
-    return emit(facts.filter("kind = 'SyntaxError'"), "PY-SYNTAX", detail=F.col("text"), line="lineno")
+# --- Rules on a single node ---------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class NodeRule:
+    """A rule that one node row decides alone. Columns are built when the rule is used."""
 
+    kinds: tuple[str, ...]
+    broken: Callable[[], Column]
+    detail: Callable[[], Column] | None = None
+    confidence: str = "MEDIUM"
+    advice: Callable[[], Column] | None = None
+    times: Callable[[], Column] | None = None  # findings per node, one if not given
 
-def long_functions(facts: DataFrame) -> DataFrame:
-    span = F.col("end_lineno") - F.col("lineno")
-    detail = F.format_string("`%s` s'étend sur environ %d lignes.", F.col("name"), span)
-    return emit(functions(facts).filter(span > LONG_FUNCTION), "PY-LONG-FUNCTION", detail=detail, line="lineno")
 
+def span() -> Column:
+    return F.col("end_lineno") - F.col("lineno")
 
-def untyped_parameters(facts: DataFrame) -> DataFrame:
+
+def unannotated() -> Column:
     bare = F.filter("params", lambda p: ~p["annotated"] & ~p["name"].isin("self", "cls"))
-    hits = functions(facts).withColumn("bare", F.transform(bare, lambda p: p["name"])).filter(F.size("bare") > 0)
-    detail = F.format_string(
-        "`%s` contient des paramètres sans annotation: %s.",
-        F.col("name"), F.array_join(F.slice("bare", 1, SHOWN_PARAMS), ", "),
-    )
-    return emit(hits, "PY-UNTYPED", detail=detail, line="lineno")
+    return F.transform(bare, lambda p: p["name"])
+
+
+def has_unsigned_token() -> Column:
+    chosen = F.coalesce(keyword("algorithm"), keyword("algorithms"))
+    alone = F.array(F.struct(*[chosen[c].alias(c) for c in ("kind", "type", "value")]))
+    values = F.when(chosen["kind"].isin("List", "Tuple"), chosen["elts"]).otherwise(alone)
+    return F.exists(values, lambda v: (v["kind"] == "Constant") & (F.lower(v["value"]) == "none"))
 
 
-def dynamic_code(facts: DataFrame) -> DataFrame:
-    hits = calls(facts).filter(is_bare() & F.col("name").isin(DYNAMIC_CODE))
-    return emit(hits, "SEC-EVAL", detail=F.format_string("%s() détecté.", F.col("name")), line="lineno")
+def first_item() -> Column:
+    return F.try_element_at("items", F.lit(1))
 
 
-def shell_calls(facts: DataFrame) -> DataFrame:
-    hits = calls(facts).filter(
-        is_method() & F.col("name").isin(PROCESS_CALLS)
-        & F.exists("kwargs", lambda k: (k["kw"] == "shell") & is_true(k))
+def dotted_name() -> Column:
+    """``f`` or ``x.f`` when the callee is that simple, else null."""
+    return F.when(is_bare(), F.col("name")).when(
+        is_method() & (F.col("owner") != ""), F.concat_ws(".", "owner", "name")
     )
-    return emit(hits, "SEC-SHELL", line="lineno")
 
 
-def debug_mode(facts: DataFrame) -> DataFrame:
-    hits = calls(facts).filter((F.col("name") == "FastAPI") & is_true(keyword("debug")))
-    return emit(hits, "PROD-DEBUG", line="lineno")
+def is_dotted_blocking() -> Column:
+    return F.coalesce(dotted_name().isin(BLOCKING_DOTTED), F.lit(False))
 
 
-def cors_wildcard(facts: DataFrame) -> DataFrame:
-    open_to_all = F.exists(
-        keyword("allow_origins")["elts"], lambda e: (e["type"] == "str") & (e["value"] == "*")
-    )
-    return emit(calls(facts).filter(open_to_all), "API-CORS-WILDCARD", line="lineno")
+def is_blocking(exact: bool = False) -> Column:
+    """A blocking call in async code. A bare name also matches when a listed name ends with
+    it; ``exact`` asks for the whole name."""
+    listed = F.col("name").isin(BLOCKING_BARE)
+    matches = listed if exact else listed | text.ends_with_any(BLOCKING_BARE, F.col("name"))
+    return scopes.in_async(F.col("scopes")) & (is_dotted_blocking() | (is_bare() & matches))
 
 
-def unsigned_tokens(facts: DataFrame) -> DataFrame:
-    chosen = F.coalesce(keyword("algorithm"), keyword("algorithms"))
-    alone = F.array(F.struct(*[chosen[c].alias(c) for c in ("kind", "type", "value")]))
-    values = F.when(chosen["kind"].isin("List", "Tuple"), chosen["elts"]).otherwise(alone)
-    unsigned = F.exists(values, lambda v: (v["kind"] == "Constant") & (F.lower(v["value"]) == "none"))
-    hits = calls(facts).filter(F.col("name").isin(TOKEN_CALLS) & unsigned)
-    return emit(hits, "AUTH-JWT-NONE", line="lineno")
+def is_expensive(exact: bool = False) -> Column:
+    listed = F.col("name").isin(EXPENSIVE_CALLS)
+    return is_bare() & (listed if exact else listed | text.ends_with_any(EXPENSIVE_CALLS, F.col("name")))
+
+
+def is_model() -> Column:
+    """The list of bases mentions the model base."""
+    return (F.col("kind") == "ClassDef") & F.col("text").rlike(MODEL_BASES)
+
+
+def is_in_loop() -> Column:
+    return scopes.loop_depth(F.col("scopes")) > 0
+
+
+def describe(pattern: str, *columns: str | Callable[[], Column]) -> Callable[[], Column]:
+    """A detail text with columns filled in."""
+    return lambda: F.format_string(pattern, *[F.col(c) if isinstance(c, str) else c() for c in columns])
+
+
+NODE_RULES: dict[str, NodeRule] = {
+    "PY-SYNTAX": NodeRule(("SyntaxError",), lambda: F.lit(True), lambda: F.col("text")),
+    "PY-LONG-FUNCTION": NodeRule(
+        FUNCTIONS, lambda: span() > LONG_FUNCTION,
+        describe("`%s` s'étend sur environ %d lignes.", "name", span)),
+    "PY-UNTYPED": NodeRule(
+        FUNCTIONS, lambda: F.size(unannotated()) > 0,
+        describe("`%s` contient des paramètres sans annotation: %s.", "name",
+                 lambda: F.array_join(F.slice(unannotated(), 1, SHOWN_PARAMS), ", "))),
+    "SEC-EVAL": NodeRule(
+        ("Call",), lambda: is_bare() & F.col("name").isin(DYNAMIC_CODE), describe("%s() détecté.", "name")),
+    "SEC-SHELL": NodeRule(
+        ("Call",), lambda: is_method() & F.col("name").isin(PROCESS_CALLS)
+        & F.exists("kwargs", lambda k: (k["kw"] == "shell") & is_true(k))),
+    "PROD-DEBUG": NodeRule(("Call",), lambda: (F.col("name") == "FastAPI") & is_true(keyword("debug"))),
+    "API-CORS-WILDCARD": NodeRule(("Call",), lambda: F.exists(
+        keyword("allow_origins")["elts"], lambda e: (e["type"] == "str") & (e["value"] == "*"))),
+    "AUTH-JWT-NONE": NodeRule(("Call",), lambda: F.col("name").isin(TOKEN_CALLS) & has_unsigned_token()),
+    "SQLALCHEMY-FSTRING-TEXT": NodeRule(
+        ("Call",), lambda: is_method() & (F.col("name") == "text"),
+        times=lambda: F.size(F.filter("items", lambda a: a["kind"] == "JoinedStr"))),
+    "SQL-CONCAT-EXECUTE": NodeRule(
+        ("Call",), lambda: is_bare() & F.col("name").isin(EXECUTE_CALLS)
+        & (first_item()["kind"] == "BinOp") & (first_item()["op"] == "Add")),
+    "SQL-INJECTION-FSTRING-KEYWORDS": NodeRule(("JoinedStr",), lambda: text.looks_like_sql(F.col("text"))),
+    "ASYNC-NESTED-FUNCTION": NodeRule(
+        ("AsyncFunctionDef",), lambda: scopes.nearest_function(F.col("scopes"))["kind"] == "AsyncFunctionDef",
+        describe("La fonction async `%s` est recréée à chaque appel de sa fonction parente.", "name"),
+        confidence="LOW"),
+    "ASYNC-BLOCKING-AWAIT": NodeRule(
+        ("Await",), lambda: (first_item()["kind"] == "Call") & first_item()["owner"].isNull()
+        & first_item()["name"].isin(AWAITED_BLOCKING),
+        describe("Blocking function '%s' is being awaited.", lambda: first_item()["name"])),
+    "ASYNC-BLOCKING-IO": NodeRule(
+        ("Call",), is_blocking,
+        lambda: F.when(
+            is_dotted_blocking(), F.format_string("Blocking call '%s' used in an async function.", dotted_name())
+        ).otherwise(F.format_string("Blocking I/O function '%s' called in async function.", F.col("name"))),
+        advice=lambda: F.when(is_dotted_blocking(), BLOCKING_DOTTED_ADVICE).otherwise(
+            RULES["ASYNC-BLOCKING-IO"].recommendation)),
+    "PERF-LIST-IN-LOOP": NodeRule(
+        ("For", "While"), lambda: F.col("text").rlike("(?U)" + "|".join(LARGE_ALLOCATIONS)), confidence="HIGH"),
+    "PERF-EXPENSIVE-IN-LOOP": NodeRule(
+        ("Call",), lambda: is_expensive() & is_in_loop(),
+        describe("Expensive function '%s' called inside a loop.", "name")),
+    "PERF-COMPLEX-COMPREHENSION": NodeRule(("ListComp",), lambda: F.col("n_generators") > MANY_GENERATORS),
+    "PERF-COMPLEX-DICT-COMP": NodeRule(("DictComp",), lambda: F.col("n_generators") > MANY_GENERATORS),
+    "PERF-LARGE-DATA-STRUCTURE": NodeRule(
+        ("Assign",), lambda: F.col("value_kind").isin("List", "Dict", "Set", "Tuple")
+        & (F.col("n_elts") > MANY_ELEMENTS),
+        describe("Data structure with %d elements defined inline.", "n_elts")),
+    "PYDANTIC-NO-BASEMODEL": NodeRule(
+        ("ClassDef",), lambda: is_model() & ~F.exists(
+            "items", lambda b: (b["role"] == "base") & (b["name"] == "BaseModel")),
+        describe("Class '%s' doesn't appear to inherit from BaseModel.", "name")),
+}
+
+
+def node_hits(rule_id: str, rule: NodeRule, no_tests: bool) -> Column:
+    """The hits of one rule on a node row, an empty array where it is kept."""
+    found = F.array(hit(
+        rule_id, detail=rule.detail() if rule.detail else None, line=F.col("lineno"),
+        confidence=rule.confidence, recommendation=rule.advice() if rule.advice else None,
+    ))
+    if rule.times is not None:
+        found = F.flatten(F.array_repeat(found, rule.times()))
+    broken = F.col("kind").isin(list(rule.kinds)) & rule.broken()
+    if no_tests:
+        broken = broken & ~paths.is_test(F.col("path"))
+    return F.when(broken, found).otherwise(F.array())
+
+
+def node_findings(
+    facts: DataFrame, rules: list[str] = tuple(NODE_RULES), skip_tests: list[str] = ()
+) -> DataFrame:
+    """Any number of single-node rules in one pass over the facts; some of them not on tests.
+
+    Only rows of the kinds the rules name are read, nothing is joined or shuffled.
+    """
+    kinds = sorted({kind for rule in rules for kind in NODE_RULES[rule].kinds})
+    hits = [node_hits(rule, NODE_RULES[rule], rule in skip_tests) for rule in rules]
+    return emit_hits(facts.filter(F.col("kind").isin(kinds)), F.concat(*hits))
+
+
+# --- Rules that combine nodes ---------------------------------------------------------------
 
 
 def sensitive_definitions(facts: DataFrame) -> DataFrame:
@@ -179,37 +298,14 @@ def dataflow_metrics(facts: DataFrame) -> DataFrame:
     )
 
 
-def text_fstrings(facts: DataFrame) -> DataFrame:
-    """One finding per f-string argument of a ``.text(...)`` call."""
-    fstrings = F.filter("items", lambda a: a["kind"] == "JoinedStr")
-    hits = calls(facts).filter(is_method() & (F.col("name") == "text")).withColumn("arg", F.explode(fstrings))
-    return emit(hits, "SQLALCHEMY-FSTRING-TEXT", line="lineno")
-
-
-def concat_execute(facts: DataFrame) -> DataFrame:
-    first = F.try_element_at("items", F.lit(1))
-    hits = calls(facts).filter(
-        is_bare() & F.col("name").isin(EXECUTE_CALLS)
-        & (first["kind"] == "BinOp") & (first["op"] == "Add")
-    )
-    return emit(hits, "SQL-CONCAT-EXECUTE", line="lineno")
-
-
-def fstring_sql(facts: DataFrame) -> DataFrame:
-    hits = facts.filter((F.col("kind") == "JoinedStr") & text.looks_like_sql(F.col("text")))
-    return emit(hits, "SQL-INJECTION-FSTRING-KEYWORDS", line="lineno")
-
-
 def sql_metrics(lines: DataFrame, facts: DataFrame, sql_findings: DataFrame) -> DataFrame:
     """(repo, sql_statements_found, potential_injections)."""
-    from auditloom.operators.text_rules import sql_lines
-
     statement_calls = calls(facts).filter(
         (is_method() & (F.col("name") == "text")) | (is_bare() & F.col("name").isin(EXECUTE_CALLS))
     )
     one, none = F.lit(1), F.lit(0)
     counted = (
-        sql_lines(lines).select("repo", one.alias("s"), none.alias("p"))
+        mark_lines(lines).filter("is_sql").select("repo", one.alias("s"), none.alias("p"))
         .unionByName(statement_calls.select("repo", one.alias("s"), none.alias("p")))
         .unionByName(sql_findings.select("repo", none.alias("s"), one.alias("p")))
     )
@@ -218,81 +314,38 @@ def sql_metrics(lines: DataFrame, facts: DataFrame, sql_findings: DataFrame) ->
     )
 
 
-def nested_async(facts: DataFrame) -> DataFrame:
-    outer = scopes.nearest_function(F.col("scopes"))
-    hits = facts.filter((F.col("kind") == "AsyncFunctionDef") & (outer["kind"] == "AsyncFunctionDef"))
-    detail = F.format_string(
-        "La fonction async `%s` est recréée à chaque appel de sa fonction parente.", F.col("name")
-    )
-    return emit(hits, "ASYNC-NESTED-FUNCTION", detail=detail, line="lineno", confidence="LOW")
-
+def unawaited(facts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Calls that look awaitable, and context managers that look asynchronous, on source
+    lines that neither await nor open asynchronously.
 
-def blocking_await(facts: DataFrame) -> DataFrame:
-    awaited = F.try_element_at("items", F.lit(1))
-    hits = facts.filter(F.col("kind") == "Await").filter(
-        (awaited["kind"] == "Call") & awaited["owner"].isNull() & awaited["name"].isin(AWAITED_BLOCKING)
+    Suspects of both kinds meet the few lines that hold either phrase in one join on file
+    and line number.
+    """
+    method_call = (
+        (F.col("kind") == "Call") & is_method() & ~is_dotted_blocking()
+        & text.contains_any(F.lower("name"), AWAITABLE_WORDS)
     )
-    detail = F.format_string("Blocking function '%s' is being awaited.", awaited["name"])
-    return emit(hits, "ASYNC-BLOCKING-AWAIT", detail=detail, line="lineno")
-
-
-def dotted_name() -> Column:
-    """``f`` or ``x.f`` when the callee is that simple, else null."""
-    return F.when(is_bare(), F.col("name")).when(
-        is_method() & (F.col("owner") != ""), F.concat_ws(".", "owner", "name")
+    opened = F.filter("items", lambda i: (
+        (i["kind"] == "Call") & i["owner"].isNull() & text.contains_any(F.lower(i["name"]), ASYNC_CONTEXTS)
+    ))
+    names = F.when(method_call, F.array("name")).when(
+        F.col("kind") == "With", F.transform(opened, lambda i: i["name"])
     )
-
-
-def async_calls(facts: DataFrame) -> DataFrame:
-    """Calls below an async function, with the blocking dotted name if they have one."""
-    inside = calls(facts).filter(scopes.in_async(F.col("scopes")))
-    name = dotted_name()
-    return inside.withColumn("blocking", F.when(name.isin(BLOCKING_DOTTED), name))
-
-
-def blocking_io(facts: DataFrame, exact: bool = False) -> DataFrame:
-    """Blocking calls in async code. A bare name also matches when a listed name ends
-    with it; ``exact`` asks for the whole name."""
-    listed = F.col("name").isin(BLOCKING_BARE)
-    matches = listed if exact else listed | text.ends_with_any(BLOCKING_BARE, F.col("name"))
-    dotted = F.col("blocking").isNotNull()
-    hits = async_calls(facts).filter(dotted | (is_bare() & matches))
-    detail = F.when(
-        dotted, F.format_string("Blocking call '%s' used in an async function.", F.col("blocking"))
-    ).otherwise(F.format_string("Blocking I/O function '%s' called in async function.", F.col("name")))
-    advice = F.when(dotted, BLOCKING_DOTTED_ADVICE).otherwise(RULES["ASYNC-BLOCKING-IO"].recommendation)
-    return emit(hits, "ASYNC-BLOCKING-IO", detail=detail, line="lineno", recommendation=advice)
-
-
-def without_line_text(nodes: DataFrame, lines: DataFrame, phrase: str) -> DataFrame:
-    """Nodes whose source line does not hold a phrase.
-
-    Only the numbers of lines that do hold it take part in the anti join.
-    """
-    having = lines.filter(F.contains("line", F.lit(phrase))).select(
-        "repo", "path", F.col("line_no").alias("lineno")
+    suspects = facts.filter(F.col("kind").isin("Call", "With") & scopes.in_async(F.col("scopes"))).select(
+        "repo", "path", "lineno", F.explode(names).alias("name"),
+        F.when(F.col("kind") == "Call", "ASYNC-MISSING-AWAIT").otherwise("ASYNC-CONTEXT-MANAGER").alias("rule"),
     )
-    return nodes.join(having, ["repo", "path", "lineno"], "left_anti")
-
-
-def missing_await(facts: DataFrame, lines: DataFrame) -> DataFrame:
-    suspects = async_calls(facts).filter("blocking IS NULL").filter(
-        is_method() & text.contains_any(F.lower("name"), AWAITABLE_WORDS)
-    ).select("repo", "path", "lineno", "name")
-    detail = F.format_string("Function call '%s' in async function may need await.", F.col("name"))
-    return emit(without_line_text(suspects, lines, "await "), "ASYNC-MISSING-AWAIT", detail=detail, line="lineno")
-
-
-def sync_contexts(facts: DataFrame, lines: DataFrame) -> DataFrame:
-    items = facts.filter((F.col("kind") == "With") & scopes.in_async(F.col("scopes"))).select(
-        "repo", "path", "lineno", F.explode("items").alias("item")
+    excused = mark_lines(lines).filter("awaits OR async_with").select(
+        "repo", "path", F.col("line_no").alias("lineno"), "awaits", "async_with"
     )
-    suspects = items.filter(
-        (F.col("item.kind") == "Call") & F.col("item.owner").isNull()
-        & text.contains_any(F.lower("item.name"), ASYNC_CONTEXTS)
-    ).select("repo", "path", "lineno", F.col("item.name").alias("name"))
-    detail = F.format_string("Context manager '%s' may need 'async with'.", F.col("name"))
-    return emit(without_line_text(suspects, lines, "async with"), "ASYNC-CONTEXT-MANAGER", detail=detail, line="lineno")
+    excuse = F.when(F.col("rule") == "ASYNC-MISSING-AWAIT", F.col("awaits")).otherwise(F.col("async_with"))
+    hits = suspects.join(excused, ["repo", "path", "lineno"], "left").filter(~F.coalesce(excuse, F.lit(False)))
+    details = {
+        "ASYNC-MISSING-AWAIT": F.format_string(
+            "Function call '%s' in async function may need await.", F.col("name")),
+        "ASYNC-CONTEXT-MANAGER": F.format_string("Context manager '%s' may need 'async with'.", F.col("name")),
+    }
+    return emit_by_rule(hits, "rule", details, line="lineno")
 
 
 def queries_in_loops(facts: DataFrame) -> DataFrame:
@@ -321,59 +374,28 @@ def queries_in_loops(facts: DataFrame) -> DataFrame:
     )
 
 
-def allocations_in_loops(facts: DataFrame) -> DataFrame:
-    loops = facts.filter(F.col("kind").isin("For", "While"))
-    hits = loops.filter(F.col("text").rlike("(?U)" + "|".join(LARGE_ALLOCATIONS)))
-    return emit(hits, "PERF-LIST-IN-LOOP", line="lineno", confidence="HIGH")
-
-
-def is_expensive(exact: bool = False) -> Column:
-    listed = F.col("name").isin(EXPENSIVE_CALLS)
-    return is_bare() & (listed if exact else listed | text.ends_with_any(EXPENSIVE_CALLS, F.col("name")))
-
-
-def expensive_in_loops(facts: DataFrame, exact: bool = False) -> DataFrame:
-    hits = calls(facts).filter(is_expensive(exact) & (scopes.loop_depth(F.col("scopes")) > 0))
-    detail = F.format_string("Expensive function '%s' called inside a loop.", F.col("name"))
-    return emit(hits, "PERF-EXPENSIVE-IN-LOOP", detail=detail, line="lineno")
-
-
-def complex_list_comprehensions(facts: DataFrame) -> DataFrame:
-    hits = facts.filter((F.col("kind") == "ListComp") & (F.col("n_generators") > MANY_GENERATORS))
-    return emit(hits, "PERF-COMPLEX-COMPREHENSION", line="lineno")
-
-
-def complex_dict_comprehensions(facts: DataFrame) -> DataFrame:
-    hits = facts.filter((F.col("kind") == "DictComp") & (F.col("n_generators") > MANY_GENERATORS))
-    return emit(hits, "PERF-COMPLEX-DICT-COMP", line="lineno")
-
-
-def is_large_literal() -> Column:
-    return (
-        (F.col("kind") == "Assign") & F.col("value_kind").isin("List", "Dict", "Set", "Tuple")
-        & (F.col("n_elts") > MANY_ELEMENTS)
-    )
-
-
-def large_literals(facts: DataFrame) -> DataFrame:
-    detail = F.format_string("Data structure with %d elements defined inline.", F.col("n_elts"))
-    return emit(facts.filter(is_large_literal()), "PERF-LARGE-DATA-STRUCTURE", detail=detail, line="lineno")
-
-
 def performance_metrics(facts: DataFrame) -> DataFrame:
     """Five counts per repository."""
-    rules = {
-        "n_plus_one_patterns": queries_in_loops(facts),
-        "expensive_loops": expensive_in_loops(facts).unionByName(allocations_in_loops(facts)),
-        "redundant_calculations": redundant_calculations(facts),
-        "large_data_structures": large_literals(facts),
-        "inefficient_algorithms": complex_list_comprehensions(facts).unionByName(complex_dict_comprehensions(facts)),
+    metric_of = {
+        "PERF-N-PLUS-ONE": "n_plus_one_patterns",
+        "PERF-EXPENSIVE-IN-LOOP": "expensive_loops",
+        "PERF-LIST-IN-LOOP": "expensive_loops",
+        "PERF-LARGE-DATA-STRUCTURE": "large_data_structures",
+        "PERF-COMPLEX-COMPREHENSION": "inefficient_algorithms",
+        "PERF-COMPLEX-DICT-COMP": "inefficient_algorithms",
+        "redundant": "redundant_calculations",
     }
-    tagged = None
-    for metric, rows in rules.items():
-        part = rows.select("repo", F.lit(metric).alias("metric"))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    return tagged.groupBy("repo").agg(*[F.count_if(F.col("metric") == m).alias(m) for m in rules])
+    single = [rule for rule in metric_of if rule in NODE_RULES]
+    counted = (
+        node_findings(facts, single).select("repo", "rule_id")
+        .unionByName(queries_in_loops(facts).select("repo", "rule_id"))
+        .unionByName(redundant_calculations(facts).select("repo", F.lit("redundant").alias("rule_id")))
+    )
+    names = dict.fromkeys(metric_of.values())
+    return counted.groupBy("repo").agg(*[
+        F.count_if(F.col("rule_id").isin([r for r, m in metric_of.items() if m == name])).alias(name)
+        for name in names
+    ])
 
 
 def redundant_calculations(facts: DataFrame) -> DataFrame:

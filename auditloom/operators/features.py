@@ -6,29 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.dimensions import LARGE_FILE
-from auditloom.functions.text import has_sql_words
-
-# Words whose presence in lower-cased text sets a flag.
-FLAG_WORDS = {
-    "fastapi": ["from fastapi", "import fastapi"],
-    "pydantic": ["pydantic"],
-    "sqlalchemy": ["sqlalchemy"],
-    "alembic": ["alembic"],
-    "oauth2": ["oauth2"],
-    "cors": ["corsmiddleware"],
-    "redis": ["redis"],
-    "celery": ["celery"],
-    "pytest": ["pytest"],
-    "graphql": ["graphql"],
-    "openapi": ["openapi"],
-}
-
-# Patterns on lower-cased text that set a flag.
-FLAG_PATTERNS = {
-    "jwt": r"\b(jwt|jose|pyjwt)\b",
-    "rbac": r"\b(rbac|role|permission|is_admin|admin_required)\b",
-    "postgresql": r"\b(postgresql|asyncpg|psycopg)\b",
-}
+from auditloom.operators.marks import mark_files
 
 # Lower-cased file names that set a flag.
 FLAG_NAMES = {
@@ -45,39 +23,26 @@ FEATURES = [
 ROUTE_METHODS = ["get", "post", "put", "patch", "delete", "options", "head", "websocket"]
 
 
-def word_flags(text: Column, words: dict[str, list[str]]) -> dict[str, Column]:
-    flags = {}
-    for flag, needles in words.items():
-        test = F.contains(text, F.lit(needles[0]))
-        for needle in needles[1:]:
-            test = test | F.contains(text, F.lit(needle))
-        flags[flag] = test
-    return flags
-
-
 def detect_stack(files: DataFrame) -> DataFrame:
     """(repo, 16 booleans): one pass over the files, merged per repository.
 
     Flags are or-ed in each task before the shuffle, so one row per repository and task
     travels, however many files a repository has.
     """
-    text = F.when(F.col("is_text"), F.lower("content")).otherwise("")
     low_name = F.lower("name")
-    tests = word_flags(text, FLAG_WORDS)
-    tests |= {flag: text.rlike("(?U)" + p) for flag, p in FLAG_PATTERNS.items()}
-    for flag, names in FLAG_NAMES.items():
-        named = low_name.isin(names)
-        tests[flag] = tests[flag] | named if flag in tests else named
-    tests["kubernetes"] = F.col("ext").isin(".yaml", ".yml") & F.contains(text, F.lit("kubernetes"))
+    tests = {f: F.col(f"flags.{f}") for f in FEATURES if f != "docker"}
+    tests["alembic"] = tests["alembic"] | low_name.isin(FLAG_NAMES["alembic"])
+    tests["docker"] = low_name.isin(FLAG_NAMES["docker"])
+    tests["kubernetes"] = tests["kubernetes"] & F.col("ext").isin(".yaml", ".yml")
     tests["pytest"] = tests["pytest"] | (F.col("is_py") & F.contains(low_name, F.lit("test")))
     tests["openapi"] = tests["openapi"] | F.contains(low_name, F.lit("openapi"))
-    return files.groupBy("repo").agg(*[F.bool_or(tests[f]).alias(f) for f in FEATURES])
+    marked = mark_files(files)
+    return marked.groupBy("repo").agg(*[F.bool_or(tests[f]).alias(f) for f in FEATURES])
 
 
 def has_sql(files: DataFrame) -> DataFrame:
     """(repo, has_sql): some Python file holds one of the statement words."""
-    hit = F.col("is_py") & has_sql_words(F.col("content"))
-    return files.groupBy("repo").agg(F.bool_or(hit).alias("has_sql"))
+    return mark_files(files).groupBy("repo").agg(F.bool_or("sql_words").alias("has_sql"))
 
 
 def gate(rows: DataFrame, features: DataFrame, predicate: Column) -> DataFrame:

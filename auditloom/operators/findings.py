@@ -57,6 +57,34 @@ def emit(
     )
 
 
+def hit(
+    rule_id: str, detail: Text = None, title: Text = None, line: Column | None = None,
+    confidence: Text = DEFAULT_CONFIDENCE, recommendation: Text = None,
+) -> Column:
+    """A finding as a struct, for rules that are evaluated side by side on one row."""
+    texts = RULES[rule_id]
+    return F.struct(
+        F.lit(texts.severity).alias("severity"),
+        F.lit(texts.category).alias("category"),
+        text_of(texts.title if title is None else title).alias("title"),
+        text_of(texts.detail if detail is None else detail).alias("detail"),
+        (F.lit(None) if line is None else line).cast("int").alias("line"),
+        text_of(texts.recommendation if recommendation is None else recommendation).alias("recommendation"),
+        F.lit(rule_id).alias("rule_id"),
+        text_of(confidence).alias("confidence"),
+    )
+
+
+def emit_hits(rows: DataFrame, hits: Column, file: str = "path") -> DataFrame:
+    """Turn an array of hits per row, some of them null, into findings."""
+    kept = carried(rows)
+    found = rows.select("repo", F.col(file).alias("file"), *kept, F.explode(hits).alias("hit")).filter("hit IS NOT NULL")
+    return found.select(
+        "repo", "hit.severity", "hit.category", "hit.title", "hit.detail", "file", "hit.line",
+        "hit.recommendation", F.lit(DEFAULT_SOURCE).alias("source"), "hit.rule_id", "hit.confidence", *kept,
+    )
+
+
 def emit_by_rule(
     rows: DataFrame, rule: str, details: dict[str, Column | None], line: str | None, file: str | None = "path"
 ) -> DataFrame:

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import text
-from auditloom.operators.code_rules import functions
+from auditloom.operators.code_rules import functions, is_model
 from auditloom.operators.findings import emit, emit_by_rule
-
-# Bases that make a class a model, in any case.
-MODEL_BASES = r"(?iu)BaseModel|pydantic"
+from auditloom.operators.marks import mark_lines
 
 # Parts of field names that need a validator.
 SENSITIVE_FIELDS = ["password", "secret", "token", "key", "credential"]
@@ -18,7 +16,7 @@ SENSITIVE_FIELDS = ["password", "secret", "token", "key", "credential"]
 
 def models(facts: DataFrame) -> DataFrame:
     """Classes whose list of bases mentions the model base."""
-    return facts.filter((F.col("kind") == "ClassDef") & F.col("text").rlike(MODEL_BASES))
+    return facts.filter(is_model())
 
 
 def fields(facts: DataFrame) -> DataFrame:
@@ -87,26 +85,16 @@ def unvalidated_secrets(facts: DataFrame) -> DataFrame:
     return emit(hits, "PYDANTIC-SENSITIVE-NO-VALIDATOR", detail=detail, line="lineno")
 
 
-def odd_bases(facts: DataFrame) -> DataFrame:
-    real = F.exists("items", lambda b: (b["role"] == "base") & (b["name"] == "BaseModel"))
-    detail = F.format_string("Class '%s' doesn't appear to inherit from BaseModel.", F.col("name"))
-    return emit(models(facts).filter(~real), "PYDANTIC-NO-BASEMODEL", detail=detail, line="lineno")
-
-
 def model_metrics(facts: DataFrame, lines: DataFrame) -> DataFrame:
     """(repo, models, validators, configs, untyped fields, aliases)."""
-    line = F.col("line")
     configs = facts.filter("kind = 'ClassDef' AND name = 'Config' AND parent_kind = 'ClassDef'").select(
         "repo", "path", F.col("parent").alias("pre")
     ).join(models(facts).select("repo", "path", "pre"), ["repo", "path", "pre"], "left_semi")
     untyped = fields(facts).filter("value_kind IS NOT NULL AND annotation = '...'")
-    marked = lines.select(
-        "repo",
-        F.explode(F.filter(F.array(
-            F.when(text.contains_any(line, ["@validator", "@root_validator"]), F.lit("models_with_validators")),
-            F.when(F.contains(line, F.lit("Field(")) & F.contains(line, F.lit("alias=")), F.lit("models_with_aliases")),
-        ), lambda m: m.isNotNull())).alias("metric"),
-    )
+    marked = mark_lines(lines).select("repo", F.explode(F.filter(F.array(
+        F.when(F.col("validator"), F.lit("models_with_validators")),
+        F.when(F.col("alias"), F.lit("models_with_aliases")),
+    ), lambda m: m.isNotNull())).alias("metric"))
     counted = (
         marked.unionByName(models(facts).select("repo", F.lit("pydantic_models_found").alias("metric")))
         .unionByName(configs.select("repo", F.lit("models_with_config").alias("metric")))

@@ -11,12 +11,7 @@ from auditloom.operators.code_rules import calls, functions
 from auditloom.operators.features import is_route_decorator
 from auditloom.operators.findings import emit
 from auditloom.operators.graph import cycles_per_repo
-
-# Texts that show a route is protected.
-SECURITY_MARKERS = [
-    "Security(", "OAuth2PasswordBearer", "HTTPBearer", "HTTPBasic", "JWTBearer", "APIKeyHeader",
-    "APIKeyQuery", "APIKeyCookie",
-]
+from auditloom.operators.marks import mark_lines
 
 # Parts of the names of routes that may stay open.
 OPEN_ROUTES = ["health", "status", "public", "docs", "openapi"]
@@ -39,7 +34,7 @@ def routes(facts: DataFrame, lines: DataFrame) -> DataFrame:
     The next marker line at or after the decorator decides, found by one ordered scan of
     routes and marker lines per file instead of comparing every route with every marker.
     """
-    markers = lines.filter(text.contains_any(F.col("line"), SECURITY_MARKERS)).select(
+    markers = mark_lines(lines).filter("guard").select(
         "repo", "path", F.col("line_no").alias("at"), F.col("line_no").alias("marker")
     )
     both = route_functions(facts).withColumn("at", F.col("line")).unionByName(markers, allowMissingColumns=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.operators.findings import emit, emit_by_rule
+from auditloom.operators.findings import emit_by_rule, emit_hits, hit
 from auditloom.sources.specs import endpoints
 
 
@@ -28,27 +28,29 @@ def version_is_text() -> Column:
     return kind.isNull() | (kind == "STRING")
 
 
-def invalid_format(specs: DataFrame) -> DataFrame:
-    detail = F.format_string("Could not parse %s as JSON or YAML.", F.col("name"))
-    return emit(specs.filter("NOT parsed"), "OPENAPI-INVALID-FORMAT", detail=detail)
-
-
 def usable(specs: DataFrame) -> DataFrame:
     return specs.filter("parsed").filter(is_object() & version_is_text())
 
 
-def analysis_error(specs: DataFrame) -> DataFrame:
+def document_rules(specs: DataFrame) -> DataFrame:
+    """Rules on a whole specification, in one pass: format, shape, version, security."""
     reason = F.when(is_object(), "the version is not a string").otherwise("the document is not an object")
-    broken = specs.filter("parsed").filter(~(is_object() & version_is_text()))
-    return emit(
-        broken, "OPENAPI-ANALYSIS-ERROR", detail=F.format_string("Error analyzing %s: %s", F.col("name"), reason)
+    version = F.coalesce(part("$.openapi", "string"), F.lit(""))
+    sound = is_object() & version_is_text()
+    checked = F.array(
+        F.when(~version.startswith("3."), hit(
+            "OPENAPI-OUTDATED-VERSION", detail=F.format_string("OpenAPI version %s may be outdated.", version))),
+        F.when(size_of("$.components.securitySchemes") == 0, hit("OPENAPI-NO-SECURITY")),
     )
+    unreadable = F.array(hit(
+        "OPENAPI-INVALID-FORMAT", detail=F.format_string("Could not parse %s as JSON or YAML.", F.col("name"))))
+    unusable = F.array(hit(
+        "OPENAPI-ANALYSIS-ERROR", detail=F.format_string("Error analyzing %s: %s", F.col("name"), reason)))
+    return emit_hits(specs, F.when(~F.col("parsed"), unreadable).when(~sound, unusable).otherwise(checked))
 
 
-def outdated_version(specs: DataFrame) -> DataFrame:
-    version = F.coalesce(part("$.openapi", "string"), F.lit(""))
-    detail = F.format_string("OpenAPI version %s may be outdated.", version)
-    return emit(usable(specs).filter(~version.startswith("3.")), "OPENAPI-OUTDATED-VERSION", detail=detail)
+def spec_findings(specs: DataFrame) -> DataFrame:
+    return document_rules(specs).unionByName(endpoint_rules(specs))
 
 
 def endpoint_rules(specs: DataFrame) -> DataFrame:
@@ -71,10 +73,6 @@ def endpoint_rules(specs: DataFrame) -> DataFrame:
     return emit_by_rule(hits, "rule", details, line=None)
 
 
-def no_security(specs: DataFrame) -> DataFrame:
-    return emit(usable(specs).filter(size_of("$.components.securitySchemes") == 0), "OPENAPI-NO-SECURITY")
-
-
 def spec_metrics(specs: DataFrame) -> DataFrame:
     """(repo, files, schemas, endpoints, missing descriptions, schemes)."""
     none = F.lit(0)

@@ -6,138 +6,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.dimensions import LARGE_FILE, TEXT_LIMIT
+from auditloom.dimensions import LARGE_FILE
 from auditloom.functions import text
-from auditloom.operators.findings import emit, emit_by_rule
-
-# Path words of the domain layer, and frameworks it should not use.
-DOMAIN_WORDS = ["domain", "model", "entity", "value_object", "service"]
-FRAMEWORKS = ["fastapi", "sqlalchemy", "flask", "django", "requests"]
+from auditloom.operators.findings import emit, emit_by_rule, emit_hits, hit
+from auditloom.operators.marks import DISABLED_DOCS, mark_files, mark_lines
 
 # Layers a file may belong to.
 CONCERNS = ["api", "model", "service", "repository", "controller", "view", "schema"]
 
-# Signs of database work on a line, in exact case.
-DATABASE_WORDS = ["session.query", "db.query", "SELECT", "INSERT", "UPDATE", "DELETE"]
-
-# Fixed values: (argument, rule) pairs that switch documentation off.
-DISABLED_DOCS = [
-    ("openapi_url", "FASTAPI-OPENAPI-DISABLED"),
-    ("docs_url", "FASTAPI-DOCS-DISABLED"),
-    ("redoc_url", "FASTAPI-REDOC-DISABLED"),
-]
-
-
-# The groups of line rules; see ``line_rules``.
-LINE_GROUPS = ["secrets", "sql", "docs"]
+# Line rules by group. Secrets are never reported in tests, statements only on request,
+# switched-off documentation always.
+LINE_GROUPS = {
+    "secrets": ["SEC-HARDCODED-SECRET"],
+    "sql": ["SQL-INJECTION-PATTERN", "SQL-INJECTION-FSTRING", "SQL-INJECTION-FORMAT"],
+    "docs": [rule for _, rule in DISABLED_DOCS],
+}
 
 
-def secret_scan(files: DataFrame) -> DataFrame:
-    """One finding per signature and file: all signatures are tried in one scan."""
-    scanned = files.filter(
-        F.col("is_text") & (F.col("size") <= TEXT_LIMIT) & (~F.col("is_test") | F.col("is_dotenv"))
-    )
-    hits = scanned.withColumn("label", F.explode(text.secret_hits(F.col("content"))))
-    return emit(hits, "SEC-SECRET-SCAN", title=F.col("label"))
+def secret_hits() -> Column:
+    """One hit per signature found in the file."""
+    return F.transform("secrets", lambda label: hit("SEC-SECRET-SCAN", title=label))
 
 
-def env_files(files: DataFrame) -> DataFrame:
+def env_file() -> Column:
     detail = F.format_string(
         "Le fichier %s existe dans l'arborescence auditée; il doit normalement être ignoré par Git.",
         F.col("name"),
     )
-    return emit(files.filter("is_dotenv"), "SEC-ENV-FILE", detail=detail)
+    return F.when(F.col("is_dotenv"), hit("SEC-ENV-FILE", detail=detail))
 
 
-def large_files(files: DataFrame, threshold: int = LARGE_FILE) -> DataFrame:
+def large_file(threshold: int = LARGE_FILE) -> Column:
     megabytes = F.translate(F.format_number(F.col("size") / 1_000_000, 1), ",", "")
     detail = F.concat(F.lit("Taille approximative: "), megabytes, F.lit(" MB."))
-    return emit(files.filter(F.col("size") > threshold), "REPO-LARGE-FILE", detail=detail)
-
-
-def dockerfiles(files: DataFrame) -> DataFrame:
-    readable = F.when(F.col("size") <= TEXT_LIMIT, F.col("content")).otherwise("")
-    return files.filter(F.lower("name") == "dockerfile").withColumn("content", readable)
-
-
-def docker_nonroot(files: DataFrame) -> DataFrame:
-    hits = dockerfiles(files).filter(~F.col("content").rlike(r"(?md)^\s*USER\s+\S+"))
-    return emit(hits, "DOCKER-NONROOT")
-
-
-def docker_remote_add(files: DataFrame) -> DataFrame:
-    hits = dockerfiles(files).filter(text.contains_any(F.col("content"), ["ADD http://", "ADD https://"]))
-    return emit(hits, "DOCKER-REMOTE-ADD")
-
-
-def sql_lines(lines: DataFrame) -> DataFrame:
-    return lines.filter(text.looks_like_sql(F.col("line")))
-
-
-def line_rules(lines: DataFrame, groups: list[str] = LINE_GROUPS, include_tests: bool = False) -> DataFrame:
-    """All rules that look at one line, in one pass over the lines.
-
-    Secrets are never reported in tests, statements only on request, switched-off
-    documentation always. Each line yields the rules it breaks.
-    """
-    line = F.col("line")
-    no_test = ~F.col("is_test")
-    broken = {
-        "secrets": F.array(F.when(no_test & text.has_hardcoded_secret(line), F.lit("SEC-HARDCODED-SECRET"))),
-        "sql": F.when(
-            (F.lit(include_tests) | no_test) & text.looks_like_sql(line),
-            F.array(
-                F.when(text.is_sql_risk(line), F.lit("SQL-INJECTION-PATTERN")),
-                F.when(text.contains_any(line, ['f"', "f'"]), F.lit("SQL-INJECTION-FSTRING")),
-                F.when(F.contains(line, F.lit(".format(")), F.lit("SQL-INJECTION-FORMAT")),
-            ),
-        ),
-        "docs": F.when(
-            F.contains(line, F.lit("None")),
-            F.array(*[F.when(F.contains(line, F.lit(arg)), F.lit(rule)) for arg, rule in DISABLED_DOCS]),
-        ),
-    }
-    none = F.array().cast("array<string>")
-    rules = F.concat(*[F.coalesce(broken[g], none) for g in groups])
-    hits = lines.withColumn("rule", F.explode(F.filter(rules, lambda r: r.isNotNull())))
-    shown = F.concat(
-        F.lit("SQL statement with potential injection pattern: "), F.substring("line", 1, 100), F.lit("...")
-    )
-    details = {
-        "SEC-HARDCODED-SECRET": None, "SQL-INJECTION-PATTERN": shown, "SQL-INJECTION-FSTRING": None,
-        "SQL-INJECTION-FORMAT": None, **{rule: None for _, rule in DISABLED_DOCS},
-    }
-    return emit_by_rule(hits, "rule", details, line="line_no")
+    return F.when(F.col("size") > threshold, hit("REPO-LARGE-FILE", detail=detail))
 
 
-def clean_architecture(
-    files: DataFrame, domain: list[str] = DOMAIN_WORDS, frameworks: list[str] = FRAMEWORKS
-) -> DataFrame:
-    """Domain files that mention a framework; the first in list order is reported."""
-    inside = files.filter(text.contains_any(F.lower("path"), domain) & (F.col("content") != ""))
-    used = inside.select(
-        "repo", "path",
-        F.try_element_at(text.words_found(F.lower("content"), frameworks), F.lit(1)).alias("framework"),
-    ).filter("framework IS NOT NULL")
+def clean_architecture() -> Column:
+    """A domain file mentions a framework; the first in list order is reported."""
     detail = F.format_string("Domain file imports framework code (%s).", F.col("framework"))
-    return emit(used, "ARCH-CLEAN-VIOLATION", detail=detail)
+    return F.when(F.col("framework").isNotNull(), hit("ARCH-CLEAN-VIOLATION", detail=detail))
+
+
+def mixed_concerns(concerns: list[str] = CONCERNS) -> Column:
+    found = text.words_found(F.lower("path"), concerns)
+    detail = F.concat(F.lit("File appears to mix "), F.array_join(found, ", "), F.lit(" concerns."))
+    mixed = F.col("is_py") & F.col("has_text") & (F.size(found) > 1)
+    return F.when(mixed, hit("ARCH-MIXED-CONCERNS", detail=detail))
+
 
+def file_rule(rule_id: str) -> Column:
+    """The hit of one file rule, null where the file does not break it."""
+    return {
+        "SEC-ENV-FILE": env_file,
+        "REPO-LARGE-FILE": large_file,
+        "DOCKER-NONROOT": lambda: F.when(F.col("no_user"), hit("DOCKER-NONROOT")),
+        "DOCKER-REMOTE-ADD": lambda: F.when(F.col("remote_add"), hit("DOCKER-REMOTE-ADD")),
+        "ARCH-CLEAN-VIOLATION": clean_architecture,
+        "ARCH-MIXED-CONCERNS": mixed_concerns,
+    }[rule_id]()
 
-def mixed_concerns(files: DataFrame, concerns: list[str] = CONCERNS) -> DataFrame:
-    found = files.filter(F.col("content") != "").select(
-        "repo", "path", text.words_found(F.lower("path"), concerns).alias("concerns")
-    ).filter(F.size("concerns") > 1)
-    detail = F.concat(F.lit("File appears to mix "), F.array_join("concerns", ", "), F.lit(" concerns."))
-    return emit(found, "ARCH-MIXED-CONCERNS", detail=detail)
+
+FILE_RULES = [
+    "SEC-SECRET-SCAN", "SEC-ENV-FILE", "REPO-LARGE-FILE", "DOCKER-NONROOT", "DOCKER-REMOTE-ADD",
+    "ARCH-CLEAN-VIOLATION", "ARCH-MIXED-CONCERNS",
+]
+
+
+def file_findings(files: DataFrame, rules: list[str] = FILE_RULES, skip_tests: list[str] = ()) -> DataFrame:
+    """Any number of file rules in one pass; some of them not on tests."""
+    hits = []
+    for rule in rules:
+        if rule == "SEC-SECRET-SCAN":
+            continue
+        found = file_rule(rule)
+        hits.append(F.when(~F.col("is_test"), found) if rule in skip_tests else found)
+    found = [F.array(*hits)] if hits else []
+    if "SEC-SECRET-SCAN" in rules:
+        found.append(F.coalesce(secret_hits(), F.array()))
+    return emit_hits(mark_files(files), F.concat(*found))
+
+
+def large_files(files: DataFrame, threshold: int = LARGE_FILE) -> DataFrame:
+    return emit_hits(files, F.array(large_file(threshold)))
+
+
+def line_rules(lines: DataFrame, groups: list[str] = tuple(LINE_GROUPS), include_tests: bool = False) -> DataFrame:
+    """All rules that look at one line, in one pass over the lines."""
+    chosen = [rule for group in groups for rule in LINE_GROUPS[group]]
+    everywhere = LINE_GROUPS["docs"] + (LINE_GROUPS["sql"] if include_tests else [])
+    hits = mark_lines(lines).withColumn("rule", F.explode("broken")).filter(
+        F.col("rule").isin(chosen) & (~F.col("is_test") | F.col("rule").isin(everywhere))
+    )
+    quoted = F.concat(F.lit("SQL statement with potential injection pattern: "), F.col("head"), F.lit("..."))
+    details = {rule: quoted if rule == "SQL-INJECTION-PATTERN" else None for rule in chosen}
+    return emit_by_rule(hits, "rule", details, line="line_no")
 
 
-def first_matching_line(lines: DataFrame, hit: Column) -> DataFrame:
+def first_matching_line(lines: DataFrame, test: Column) -> DataFrame:
     """(repo, path, line_no) of each file's first line satisfying a predicate."""
-    return lines.filter(hit).groupBy("repo", "path").agg(F.min("line_no").alias("line_no"))
+    return lines.filter(test).groupBy("repo", "path").agg(F.min("line_no").alias("line_no"))
 
 
 def database_in_api(lines: DataFrame) -> DataFrame:
-    low = F.lower("path")
-    api = lines.filter(text.contains_any(low, ["api", "route"]))
-    first = first_matching_line(api, text.contains_any(F.col("line"), DATABASE_WORDS))
+    first = first_matching_line(mark_lines(lines), F.col("database_word"))
     return emit(first, "ARCH-DB-IN-API", line="line_no")

@@ -9,27 +9,30 @@ from pyspark.sql import DataFrame
 from auditloom.operators import code_rules, features, ingest, reports, route_rules, spec_rules
 from auditloom.operators.findings import dedup, rank, translate, union_findings, with_defaults
 from auditloom.operators.score import score
-from auditloom.plans.registry import FAMILY_MODES, RULES, RuleEntry, Tables, family_gates
+from auditloom.plans.registry import (
+    FAMILY_MODES, RULE_SETS, ExtraRule, Tables, chosen_rules, family_gates, open_gates,
+)
+from auditloom.schemas import FINDING_COLUMNS
 from auditloom.session import cut
 
 
 def raw_findings(
-    tables: Tables, modes: set[str], tool_reports: DataFrame | None = None, extra_rules: list[RuleEntry] = (),
+    tables: Tables, modes: set[str], tool_reports: DataFrame | None = None, extra_rules: list[ExtraRule] = (),
 ) -> DataFrame:
-    """Bag union of every chosen rule; a gated family keeps only repositories it applies to."""
-    gates = family_gates()
-    by_family: dict[str, list[DataFrame]] = {}
-    for entry in [*RULES, *extra_rules]:
-        wanted = FAMILY_MODES.get(entry.family, {"deep"}) & modes
-        if wanted and (not entry.deep or "deep" in modes):
-            by_family.setdefault(entry.family, []).append(entry.find(tables))
+    """Bag union of every chosen rule, gated by the features of each repository.
+
+    All gates are one join of the findings with one row per repository.
+    """
+    wanted = chosen_rules(modes)
     parts = []
-    for family, found in by_family.items():
-        rows = union_findings(*found)
-        parts.append(features.gate(rows, tables.features, gates[family]) if family in gates else rows)
-    if tool_reports is not None:
-        parts.append(ingest.tool_findings(tool_reports))
-    return union_findings(*parts)
+    for rule_set in RULE_SETS:
+        rules = [r for r in rule_set.rules if r in wanted]
+        if rules:
+            parts.append(rule_set.find(tables, rules))
+    parts += [e.find(tables) for e in extra_rules if FAMILY_MODES[e.family] & modes]
+    gated = union_findings(*parts).join(tables.features, "repo", "left").filter(open_gates(extra_rules))
+    found = gated.select(*FINDING_COLUMNS)
+    return found if tool_reports is None else found.unionByName(ingest.tool_findings(tool_reports))
 
 
 @dataclass
@@ -65,10 +68,10 @@ class Audit:
         cycles = self.findings.filter("rule_id = 'FASTAPI-CIRCULAR-DEP'")
         return {
             "dependency_graph": gated(
-                route_rules.dep_metrics(tables.routes, tables.code_facts, cycles), "deps"
+                route_rules.dep_metrics(tables.routes, tables.code(tables.facts), cycles), "deps"
             ) if ran("deps") else None,
             "openapi_analysis": gated(spec_rules.spec_metrics(tables.specs), "openapi") if ran("openapi") else None,
-            "performance_metrics": code_rules.performance_metrics(tables.code_facts) if ran("performance") else None,
+            "performance_metrics": code_rules.performance_metrics(tables.code(tables.facts)) if ran("performance") else None,
         }
 
     def reports(self) -> DataFrame:
@@ -85,7 +88,7 @@ class Audit:
 
 def audit(
     files: DataFrame, deep: bool = False, families: set[str] = frozenset(), include_tests: bool = False,
-    tool_reports: DataFrame | None = None, facts_path: str | None = None, extra_rules: list[RuleEntry] = (),
+    tool_reports: DataFrame | None = None, facts_path: str | None = None, extra_rules: list[ExtraRule] = (),
 ) -> Audit:
     """Audit every repository in ``files``.
 

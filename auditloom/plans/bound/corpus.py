@@ -34,19 +34,33 @@ def facts_of(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     return extract_facts(corpus(spark, sf_dir), list(kinds) or None)
 
 
-def on_facts(name: str, rule: Callable[[DataFrame], DataFrame], kinds: list[str], *rules: str, twice: bool = False):
-    """Bind a rule over facts; a rule that reads them twice gets them stored."""
+def on_facts(name: str, rule: Callable[[DataFrame], DataFrame], kinds: list[str], *rules: str):
+    """Bind a rule that combines nodes; it reads the facts more than once, so they are stored."""
+    bind(name, findings_sql(*rules))(
+        lambda spark, sf: rule(store_facts(facts_of(spark, sf, *kinds))).select(*SHOWN)
+    )
+
+
+def on_nodes(name: str, *rules: str):
+    """Bind single-node rules: one pass over the facts they ask for."""
+    kinds = sorted({kind for rule in rules for kind in code.NODE_RULES[rule].kinds})
+    bind(name, findings_sql(*rules))(
+        lambda spark, sf: code.node_findings(facts_of(spark, sf, *kinds), list(rules)).select(*SHOWN)
+    )
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts = facts_of(spark, sf_dir, *kinds)
-        return rule(store_facts(facts) if twice else facts).select(*SHOWN)
 
-    bind(name, findings_sql(*rules))(query)
+def on_files(name: str, *rules: str):
+    """Bind file rules, on the programs alone; the documents' own text has its own queries."""
+    bind(name, findings_sql(*rules))(
+        lambda spark, sf: text_rules.file_findings(corpus(spark, sf, with_text=False), list(rules)).select(*SHOWN)
+    )
 
 
-def on_files(name: str, rule: Callable[[DataFrame], DataFrame], *rules: str):
-    """Bind a rule over the files' programs alone; the documents' own text has its own queries."""
-    bind(name, findings_sql(*rules))(lambda spark, sf: rule(corpus(spark, sf, with_text=False)).select(*SHOWN))
+def on_lines(name: str, rule: Callable[[DataFrame], DataFrame], *rules: str):
+    """Bind line rules, on the programs alone."""
+    bind(name, findings_sql(*rules))(
+        lambda spark, sf: rule(to_lines(select_python(corpus(spark, sf, with_text=False)))).select(*SHOWN)
+    )
 
 
 FUNCTIONS = ["FunctionDef", "AsyncFunctionDef"]
@@ -194,19 +208,21 @@ def repo_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Text rules --------------------------------------------------------------------------
 
-on_files("t1_hardcoded_secrets_in_code",
-         lambda f: text_rules.line_rules(to_lines(select_python(f)), ["secrets"]), "SEC-HARDCODED-SECRET")
-on_files("t2_secret_scan_in_code", text_rules.secret_scan, "SEC-SECRET-SCAN")
-on_files("t3_env_files", text_rules.env_files, "SEC-ENV-FILE")
-on_files("t5_docker_without_user", text_rules.docker_nonroot, "DOCKER-NONROOT")
-on_files("t6_docker_remote_add", text_rules.docker_remote_add, "DOCKER-REMOTE-ADD")
-on_files("t8_t9_t10_sql_lines", lambda f: text_rules.line_rules(to_lines(select_python(f)), ["sql"]),
+on_lines("t1_hardcoded_secrets_in_code", lambda lines: text_rules.line_rules(lines, ["secrets"]),
+         "SEC-HARDCODED-SECRET")
+on_files("t2_secret_scan_in_code", "SEC-SECRET-SCAN")
+on_files("t3_env_files", "SEC-ENV-FILE")
+on_files("t5_docker_without_user", "DOCKER-NONROOT")
+on_files("t6_docker_remote_add", "DOCKER-REMOTE-ADD")
+on_lines("t8_t9_t10_sql_lines", lambda lines: text_rules.line_rules(lines, ["sql"]),
          "SQL-INJECTION-PATTERN", "SQL-INJECTION-FSTRING", "SQL-INJECTION-FORMAT")
-on_files("t11_t12_t13_disabled_docs", lambda f: text_rules.line_rules(to_lines(select_python(f)), ["docs"]),
+on_lines("t11_t12_t13_disabled_docs", lambda lines: text_rules.line_rules(lines, ["docs"]),
          "FASTAPI-OPENAPI-DISABLED", "FASTAPI-DOCS-DISABLED", "FASTAPI-REDOC-DISABLED")
-on_files("t14_clean_architecture", lambda f: text_rules.clean_architecture(select_python(f)), "ARCH-CLEAN-VIOLATION")
-on_files("t15_mixed_concerns", lambda f: text_rules.mixed_concerns(select_python(f)), "ARCH-MIXED-CONCERNS")
-on_files("t16_database_in_api", lambda f: text_rules.database_in_api(to_lines(select_python(f))), "ARCH-DB-IN-API")
+on_files("t14_clean_architecture", "ARCH-CLEAN-VIOLATION")
+on_files("t15_mixed_concerns", "ARCH-MIXED-CONCERNS")
+on_lines("t16_database_in_api", text_rules.database_in_api, "ARCH-DB-IN-API")
+on_files("t_all_file_rules", "SEC-SECRET-SCAN", "SEC-ENV-FILE", "REPO-LARGE-FILE", "DOCKER-NONROOT",
+         "DOCKER-REMOTE-ADD", "ARCH-CLEAN-VIOLATION", "ARCH-MIXED-CONCERNS")
 
 # The .format rule has no program of its own: put one before each document's first word.
 FORMATTED = 'q = "SELECT a FROM t WHERE b = {}".format(b)'
@@ -260,14 +276,14 @@ def nearest_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Code rules --------------------------------------------------------------------------
 
-on_facts("a1_syntax_errors", code.syntax, ["SyntaxError"], "PY-SYNTAX")
-on_facts("a2_long_functions", code.long_functions, FUNCTIONS, "PY-LONG-FUNCTION")
-on_facts("a3_untyped_parameters", code.untyped_parameters, FUNCTIONS, "PY-UNTYPED")
-on_facts("a4_dynamic_code", code.dynamic_code, ["Call"], "SEC-EVAL")
-on_facts("a5_shell_calls", code.shell_calls, ["Call"], "SEC-SHELL")
-on_facts("a6_debug_mode", code.debug_mode, ["Call"], "PROD-DEBUG")
-on_facts("a7_cors_wildcard", code.cors_wildcard, ["Call"], "API-CORS-WILDCARD")
-on_facts("a8_unsigned_tokens", code.unsigned_tokens, ["Call"], "AUTH-JWT-NONE")
+on_nodes("a1_syntax_errors", "PY-SYNTAX")
+on_nodes("a2_long_functions", "PY-LONG-FUNCTION")
+on_nodes("a3_untyped_parameters", "PY-UNTYPED")
+on_nodes("a4_dynamic_code", "SEC-EVAL")
+on_nodes("a5_shell_calls", "SEC-SHELL")
+on_nodes("a6_debug_mode", "PROD-DEBUG")
+on_nodes("a7_cors_wildcard", "API-CORS-WILDCARD")
+on_nodes("a8_unsigned_tokens", "AUTH-JWT-NONE")
 
 
 @bind("a1_syntax_error_table", per_template_sql([(1, "'(' was never closed", 1)], ["msg", "line"]))
@@ -300,10 +316,10 @@ def dataflow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 on_facts("a12_a13_dataflow_leaks", code.leaks, ["Assign", "FunctionDef", "Call"],
-         "DATAFLOW-LOGGING-LEAK", "DATAFLOW-PRINT-LEAK", twice=True)
-on_facts("a14_text_fstrings", code.text_fstrings, ["Call"], "SQLALCHEMY-FSTRING-TEXT")
-on_facts("a15_concat_execute", code.concat_execute, ["Call"], "SQL-CONCAT-EXECUTE")
-on_facts("a16_fstring_sql", code.fstring_sql, ["JoinedStr"], "SQL-INJECTION-FSTRING-KEYWORDS")
+         "DATAFLOW-LOGGING-LEAK", "DATAFLOW-PRINT-LEAK")
+on_nodes("a14_text_fstrings", "SQLALCHEMY-FSTRING-TEXT")
+on_nodes("a15_concat_execute", "SQL-CONCAT-EXECUTE")
+on_nodes("a16_fstring_sql", "SQL-INJECTION-FSTRING-KEYWORDS")
 
 
 @bind("a17_sql_metrics", sums_sql(
@@ -312,35 +328,29 @@ def sql_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = to_lines(select_python(corpus(spark, sf_dir)))
     facts = store_facts(facts_of(spark, sf_dir, "Call", "JoinedStr"))
     found = (
-        text_rules.line_rules(lines, ["sql"]).unionByName(code.text_fstrings(facts))
-        .unionByName(code.concat_execute(facts)).unionByName(code.fstring_sql(facts))
+        text_rules.line_rules(lines, ["sql"]).unionByName(code.node_findings(facts, [
+            "SQLALCHEMY-FSTRING-TEXT", "SQL-CONCAT-EXECUTE", "SQL-INJECTION-FSTRING-KEYWORDS"]))
     )
     return code.sql_metrics(lines, facts, found)
 
 
-on_facts("a18_nested_async", code.nested_async, ["AsyncFunctionDef"], "ASYNC-NESTED-FUNCTION")
-on_facts("a19_blocking_await", code.blocking_await, ["Await"], "ASYNC-BLOCKING-AWAIT")
-on_facts("a20_blocking_io", code.blocking_io, ["Call"], "ASYNC-BLOCKING-IO")
+on_nodes("a18_nested_async", "ASYNC-NESTED-FUNCTION")
+on_nodes("a19_blocking_await", "ASYNC-BLOCKING-AWAIT")
+on_nodes("a20_blocking_io", "ASYNC-BLOCKING-IO")
 
 
-@bind("a21_missing_await", findings_sql("ASYNC-MISSING-AWAIT"))
-def missing_await(spark: SparkSession, sf_dir: str) -> DataFrame:
+@bind("a21_a22_unawaited", findings_sql("ASYNC-MISSING-AWAIT", "ASYNC-CONTEXT-MANAGER"))
+def unawaited(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = to_lines(select_python(corpus(spark, sf_dir)))
-    return code.missing_await(facts_of(spark, sf_dir, "Call"), lines).select(*SHOWN)
-
-
-@bind("a22_sync_contexts", findings_sql("ASYNC-CONTEXT-MANAGER"))
-def sync_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = to_lines(select_python(corpus(spark, sf_dir)))
-    return code.sync_contexts(facts_of(spark, sf_dir, "With"), lines).select(*SHOWN)
+    return code.unawaited(facts_of(spark, sf_dir, "Call", "With"), lines).select(*SHOWN)
 
 
 on_facts("a23_queries_in_loops", code.queries_in_loops, ["Call"], "PERF-N-PLUS-ONE")
-on_facts("a24_allocations_in_loops", code.allocations_in_loops, ["For", "While"], "PERF-LIST-IN-LOOP")
-on_facts("a25_expensive_in_loops", code.expensive_in_loops, ["Call"], "PERF-EXPENSIVE-IN-LOOP")
-on_facts("a26_list_comprehensions", code.complex_list_comprehensions, ["ListComp"], "PERF-COMPLEX-COMPREHENSION")
-on_facts("a27_dict_comprehensions", code.complex_dict_comprehensions, ["DictComp"], "PERF-COMPLEX-DICT-COMP")
-on_facts("a28_large_literals", code.large_literals, ["Assign"], "PERF-LARGE-DATA-STRUCTURE")
+on_nodes("a24_allocations_in_loops", "PERF-LIST-IN-LOOP")
+on_nodes("a25_expensive_in_loops", "PERF-EXPENSIVE-IN-LOOP")
+on_nodes("a26_list_comprehensions", "PERF-COMPLEX-COMPREHENSION")
+on_nodes("a27_dict_comprehensions", "PERF-COMPLEX-DICT-COMP")
+on_nodes("a28_large_literals", "PERF-LARGE-DATA-STRUCTURE")
 
 
 @bind("a29_performance_metrics", sums_sql({
@@ -356,11 +366,11 @@ on_facts("a30_god_classes", code.god_classes, FUNCTIONS, "ARCH-GOD-CLASS")
 
 MODEL_KINDS = ["ClassDef", "AnnAssign", *FUNCTIONS]
 on_facts("a31_a33_a36_model_fields", model_rules.field_rules, MODEL_KINDS, "PYDANTIC-UNTYPED-FIELD",
-         "PYDANTIC-MUTABLE-DEFAULT", "PYDANTIC-OPTIONAL-NO-DEFAULT", twice=True)
-on_facts("a32_custom_init", model_rules.custom_init, MODEL_KINDS, "PYDANTIC-CUSTOM-INIT", twice=True)
+         "PYDANTIC-MUTABLE-DEFAULT", "PYDANTIC-OPTIONAL-NO-DEFAULT")
+on_facts("a32_custom_init", model_rules.custom_init, MODEL_KINDS, "PYDANTIC-CUSTOM-INIT")
 on_facts("a34_unvalidated_secrets", model_rules.unvalidated_secrets, MODEL_KINDS,
-         "PYDANTIC-SENSITIVE-NO-VALIDATOR", twice=True)
-on_facts("a35_odd_bases", model_rules.odd_bases, ["ClassDef"], "PYDANTIC-NO-BASEMODEL")
+         "PYDANTIC-SENSITIVE-NO-VALIDATOR")
+on_nodes("a35_odd_bases", "PYDANTIC-NO-BASEMODEL")
 
 
 @bind("a31_untyped_fields", """
@@ -393,6 +403,8 @@ def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_rules.model_metrics(store_facts(facts_of(spark, sf_dir, *MODEL_KINDS)), to_lines(select_python(files)))
 
 
+on_nodes("a_all_node_rules", *code.NODE_RULES)
+
 # --- Whole audits ------------------------------------------------------------------------
 
 # Repositories of five consecutive documents, so that scores differ.
@@ -493,15 +505,14 @@ def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = corpus(spark, sf_dir, with_text=False)
     facts = store_facts(extract_facts(files, [*FUNCTIONS, "Call", "SyntaxError"]))
-    lines = to_lines(select_python(files))
-    found = code.syntax(facts)
-    for part in (
-        code.dynamic_code(facts), code.shell_calls(facts), text_rules.line_rules(lines, ["secrets"]),
-        text_rules.secret_scan(files), code.debug_mode(facts), code.cors_wildcard(facts),
-        text_rules.docker_remote_add(files), code.nested_async(facts), code.untyped_parameters(facts),
-        route_rules.missing_dependencies(facts),
-    ):
-        found = found.unionByName(part)
+    found = (
+        code.node_findings(facts, [
+            "PY-SYNTAX", "SEC-EVAL", "SEC-SHELL", "PROD-DEBUG", "API-CORS-WILDCARD", "ASYNC-NESTED-FUNCTION",
+            "PY-UNTYPED"])
+        .unionByName(text_rules.line_rules(to_lines(select_python(files)), ["secrets"]))
+        .unionByName(text_rules.file_findings(files, ["SEC-SECRET-SCAN", "DOCKER-REMOTE-ADD"]))
+        .unionByName(route_rules.missing_dependencies(facts))
+    )
     logs = reports.to_sarif(dedup(with_defaults(found)))
     result = (
         "struct<ruleId:string,level:string,locations:array<struct<physicalLocation:"

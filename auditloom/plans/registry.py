@@ -1,7 +1,9 @@
 """The rule registry: what runs in which mode, on which repositories and files.
 
-A rule is a function from ``Tables`` to a findings DataFrame. To add one, write such a
-function and append a ``RuleEntry``; nothing is computed for entries that are not chosen.
+A rule set is a function from ``Tables`` and the chosen rule ids to a findings DataFrame.
+Rules that can share a pass over their input share one; ``CHOICES`` says when each rule
+runs. To add a rule, append an ``ExtraRule`` to the audit call; nothing is computed for
+rules that are not chosen.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from auditloom.functions import paths
 from auditloom.operators import (
     code_rules, features, graph, model_rules, route_rules, spec_rules, text_rules,
 )
+from auditloom.operators.marks import mark_files, marked_only
+from auditloom.session import cut
 from auditloom.sources.facts import extract_facts, imports, store_facts
 from auditloom.sources.files import heuristic_scope, read_text, select_python
 from auditloom.sources.lines import to_lines
@@ -26,75 +30,59 @@ from auditloom.sources.specs import parse_specs
 class Tables:
     """The inputs of the rules, each derived once from `files`.
 
-    The facts are stored before use, in a table at ``facts_path`` or in the session's
-    shared folder, so every file is parsed once however many rules run.
+    Contents are read three times in all: by the parse job, for the file marks and for the
+    line marks. What these passes find is small and stored, and the rules read only that.
     """
 
     def __init__(self, files: DataFrame, include_tests: bool = False, facts_path: str | None = None):
         self.all_files = files
-        self.files = read_text(files)
         self.include_tests = include_tests
         self.facts_path = facts_path
 
     @cached_property
-    def facts(self) -> DataFrame:
-        return store_facts(extract_facts(self.files), self.facts_path)
+    def files(self) -> DataFrame:
+        """Marked files, without their content."""
+        return cut(mark_files(self.all_files).drop("content"))
 
     @cached_property
-    def features(self) -> DataFrame:
-        code = heuristic_scope(self.files, self.include_tests)
-        return features.detect_stack(self.files).join(
-            features.has_sql(code), "repo", "left"
-        ).withColumn("has_sql", F.coalesce("has_sql", F.lit(False)))
-
-    @property
     def lines(self) -> DataFrame:
-        """Lines of all Python files."""
-        return to_lines(select_python(self.files))
-
-    # The heuristic rules look at tests only when asked to.
-    @property
-    def code_files(self) -> DataFrame:
-        return heuristic_scope(self.files, self.include_tests)
-
-    @property
-    def code_lines(self) -> DataFrame:
-        return to_lines(select_python(self.code_files))
-
-    @property
-    def code_facts(self) -> DataFrame:
-        return self.facts if self.include_tests else self.tested_out
-
-    @property
-    def tested_out(self) -> DataFrame:
-        """Facts of files that are not tests, whatever was asked for."""
-        return self.facts.filter(~paths.is_test(F.col("path")))
+        """Marked lines of all Python files."""
+        return cut(marked_only(to_lines(select_python(read_text(self.all_files)))))
 
     @cached_property
-    def routes(self) -> DataFrame:
-        return route_rules.routes(self.code_facts, self.code_lines)
+    def facts(self) -> DataFrame:
+        return store_facts(extract_facts(self.all_files), self.facts_path)
 
     @cached_property
     def specs(self) -> DataFrame:
         return parse_specs(self.all_files)
 
     @cached_property
-    def import_edges(self) -> DataFrame:
-        index = graph.module_index(self.code_files)
-        return graph.import_edges(imports(self.code_facts), index)
+    def features(self) -> DataFrame:
+        code = features.has_sql(self.code(self.files))
+        joined = features.detect_stack(self.files).join(code, "repo", "left")
+        return joined.withColumn("has_sql", F.coalesce("has_sql", F.lit(False)))
 
+    def code(self, rows: DataFrame) -> DataFrame:
+        """Rows the heuristic rules look at: those of tests only when asked for."""
+        if "is_test" in rows.columns:
+            return heuristic_scope(rows, self.include_tests)
+        return rows if self.include_tests else rows.filter(~paths.is_test(F.col("path")))
 
-@dataclass(frozen=True)
-class RuleEntry:
-    family: str
-    name: str
-    find: Callable[[Tables], DataFrame]
-    deep: bool = False  # within the always-on family: only in deep mode
+    @cached_property
+    def routes(self) -> DataFrame:
+        return route_rules.routes(self.code(self.facts), self.code(self.lines))
+
+    @cached_property
+    def import_edges(self) -> DataFrame:
+        index = graph.module_index(self.code(self.files))
+        return graph.import_edges(imports(self.code(self.facts)), index)
 
 
-# Fixed values: (family, modes that run it, feature predicate or null).
+# Which modes run a family. "standard" is part of every audit.
 FAMILY_MODES: dict[str, set[str]] = {
-    "basic": {"standard", "deep", "deps", "openapi", "performance"},
+    "basic": {"standard"},
+    "basic_deep": {"deep"},
     "dataflow": {"deep"},
     "sql": {"deep"},
     "deps": {"deep", "deps"},
@@ -107,6 +95,7 @@ FAMILY_MODES: dict[str, set[str]] = {
 
 
 def family_gates() -> dict[str, Column]:
+    """The features a repository must have for a family to apply to it."""
     return {
         "sql": F.col("sqlalchemy") | F.col("has_sql"),
         "deps": F.col("fastapi"),
@@ -115,62 +104,128 @@ def family_gates() -> dict[str, Column]:
     }
 
 
-RULES: list[RuleEntry] = [
-    RuleEntry("basic", "syntax", lambda t: code_rules.syntax(t.facts)),
-    RuleEntry("basic", "long_functions", lambda t: code_rules.long_functions(t.facts), deep=True),
-    RuleEntry("basic", "untyped_parameters", lambda t: code_rules.untyped_parameters(t.tested_out), deep=True),
-    RuleEntry("basic", "dynamic_code", lambda t: code_rules.dynamic_code(t.facts)),
-    RuleEntry("basic", "shell_calls", lambda t: code_rules.shell_calls(t.facts)),
-    RuleEntry("basic", "debug_mode", lambda t: code_rules.debug_mode(t.tested_out)),
-    RuleEntry("basic", "cors_wildcard", lambda t: code_rules.cors_wildcard(t.tested_out)),
-    RuleEntry("basic", "unsigned_tokens", lambda t: code_rules.unsigned_tokens(t.tested_out), deep=True),
-    RuleEntry("basic", "hardcoded_secrets", lambda t: text_rules.line_rules(parsable_lines(t), ["secrets"])),
-    RuleEntry("basic", "secret_scan", lambda t: text_rules.secret_scan(t.files)),
-    RuleEntry("basic", "env_files", lambda t: text_rules.env_files(t.files), deep=True),
-    RuleEntry("basic", "large_files", lambda t: text_rules.large_files(t.files)),
-    RuleEntry("basic", "docker_nonroot", lambda t: text_rules.docker_nonroot(t.files), deep=True),
-    RuleEntry("basic", "docker_remote_add", lambda t: text_rules.docker_remote_add(t.files)),
-    RuleEntry("dataflow", "leaks", lambda t: code_rules.leaks(t.code_facts)),
-    RuleEntry("sql", "sql_lines", lambda t: text_rules.line_rules(t.lines, ["sql"], t.include_tests)),
-    RuleEntry("sql", "text_fstrings", lambda t: code_rules.text_fstrings(t.code_facts)),
-    RuleEntry("sql", "concat_execute", lambda t: code_rules.concat_execute(t.code_facts)),
-    RuleEntry("sql", "fstring_sql", lambda t: code_rules.fstring_sql(t.code_facts)),
-    RuleEntry("deps", "circular_dependencies", lambda t: route_rules.circular_dependencies(
-        route_rules.dep_edges(t.code_facts))),
-    RuleEntry("deps", "unprotected_routes", lambda t: route_rules.unprotected_routes(t.routes)),
-    RuleEntry("deps", "missing_dependencies", lambda t: route_rules.missing_dependencies(t.code_facts)),
-    RuleEntry("openapi", "invalid_format", lambda t: spec_rules.invalid_format(t.specs)),
-    RuleEntry("openapi", "analysis_error", lambda t: spec_rules.analysis_error(t.specs)),
-    RuleEntry("openapi", "outdated_version", lambda t: spec_rules.outdated_version(t.specs)),
-    RuleEntry("openapi", "endpoints", lambda t: spec_rules.endpoint_rules(t.specs)),
-    RuleEntry("openapi", "no_security", lambda t: spec_rules.no_security(t.specs)),
-    RuleEntry("openapi", "disabled_docs", lambda t: text_rules.line_rules(t.lines, ["docs"])),
-    RuleEntry("pydantic", "field_rules", lambda t: model_rules.field_rules(t.code_facts)),
-    RuleEntry("pydantic", "custom_init", lambda t: model_rules.custom_init(t.code_facts)),
-    RuleEntry("pydantic", "unvalidated_secrets", lambda t: model_rules.unvalidated_secrets(t.code_facts)),
-    RuleEntry("pydantic", "odd_bases", lambda t: model_rules.odd_bases(t.code_facts)),
-    RuleEntry("async", "nested_async", lambda t: code_rules.nested_async(t.code_facts)),
-    RuleEntry("async", "blocking_await", lambda t: code_rules.blocking_await(t.code_facts)),
-    RuleEntry("async", "blocking_io", lambda t: code_rules.blocking_io(t.code_facts)),
-    RuleEntry("async", "missing_await", lambda t: code_rules.missing_await(t.code_facts, t.code_lines)),
-    RuleEntry("async", "sync_contexts", lambda t: code_rules.sync_contexts(t.code_facts, t.code_lines)),
-    RuleEntry("performance", "queries_in_loops", lambda t: code_rules.queries_in_loops(t.code_facts)),
-    RuleEntry("performance", "allocations", lambda t: code_rules.allocations_in_loops(t.code_facts)),
-    RuleEntry("performance", "expensive", lambda t: code_rules.expensive_in_loops(t.code_facts)),
-    RuleEntry("performance", "list_comprehensions", lambda t: code_rules.complex_list_comprehensions(t.code_facts)),
-    RuleEntry("performance", "dict_comprehensions", lambda t: code_rules.complex_dict_comprehensions(t.code_facts)),
-    RuleEntry("performance", "large_literals", lambda t: code_rules.large_literals(t.code_facts)),
-    RuleEntry("architecture", "clean_architecture", lambda t: text_rules.clean_architecture(
-        select_python(t.code_files))),
-    RuleEntry("architecture", "mixed_concerns", lambda t: text_rules.mixed_concerns(select_python(t.code_files))),
-    RuleEntry("architecture", "database_in_api", lambda t: text_rules.database_in_api(t.code_lines)),
-    RuleEntry("architecture", "god_classes", lambda t: code_rules.god_classes(t.code_facts)),
-    RuleEntry("architecture", "circular_imports", lambda t: graph.circular_imports(t.import_edges)),
-    RuleEntry("architecture", "high_coupling", lambda t: graph.high_coupling(t.import_edges)),
+# The rules of each family.
+FAMILIES: dict[str, list[str]] = {
+    "basic": [
+        "PY-SYNTAX", "SEC-EVAL", "SEC-SHELL", "SEC-HARDCODED-SECRET", "SEC-SECRET-SCAN", "REPO-LARGE-FILE",
+        "PROD-DEBUG", "API-CORS-WILDCARD", "DOCKER-REMOTE-ADD",
+    ],
+    "basic_deep": ["PY-LONG-FUNCTION", "PY-UNTYPED", "SEC-ENV-FILE", "AUTH-JWT-NONE", "DOCKER-NONROOT"],
+    "dataflow": ["DATAFLOW-LOGGING-LEAK", "DATAFLOW-PRINT-LEAK"],
+    "sql": [
+        "SQL-INJECTION-PATTERN", "SQL-INJECTION-FSTRING", "SQL-INJECTION-FORMAT", "SQLALCHEMY-FSTRING-TEXT",
+        "SQL-CONCAT-EXECUTE", "SQL-INJECTION-FSTRING-KEYWORDS",
+    ],
+    "deps": ["FASTAPI-CIRCULAR-DEP", "FASTAPI-UNPROTECTED-ROUTE", "FASTAPI-MISSING-DEP"],
+    "openapi": [
+        "OPENAPI-INVALID-FORMAT", "OPENAPI-ANALYSIS-ERROR", "OPENAPI-OUTDATED-VERSION",
+        "OPENAPI-MISSING-DESCRIPTION", "OPENAPI-MISSING-RESPONSE", "OPENAPI-NO-SECURITY",
+        "FASTAPI-OPENAPI-DISABLED", "FASTAPI-DOCS-DISABLED", "FASTAPI-REDOC-DISABLED",
+    ],
+    "pydantic": [
+        "PYDANTIC-UNTYPED-FIELD", "PYDANTIC-CUSTOM-INIT", "PYDANTIC-MUTABLE-DEFAULT",
+        "PYDANTIC-SENSITIVE-NO-VALIDATOR", "PYDANTIC-NO-BASEMODEL", "PYDANTIC-OPTIONAL-NO-DEFAULT",
+    ],
+    "async": [
+        "ASYNC-NESTED-FUNCTION", "ASYNC-BLOCKING-AWAIT", "ASYNC-BLOCKING-IO", "ASYNC-MISSING-AWAIT",
+        "ASYNC-CONTEXT-MANAGER",
+    ],
+    "performance": [
+        "PERF-N-PLUS-ONE", "PERF-LIST-IN-LOOP", "PERF-EXPENSIVE-IN-LOOP", "PERF-COMPLEX-COMPREHENSION",
+        "PERF-COMPLEX-DICT-COMP", "PERF-LARGE-DATA-STRUCTURE",
+    ],
+    "architecture": [
+        "ARCH-CLEAN-VIOLATION", "ARCH-MIXED-CONCERNS", "ARCH-DB-IN-API", "ARCH-GOD-CLASS",
+        "ARCH-CIRCULAR-IMPORT", "ARCH-HIGH-COUPLING",
+    ],
+}
+FAMILY_OF = {rule: family for family, rules in FAMILIES.items() for rule in rules}
+
+# Rules that look at tests even when the heuristic rules do not.
+ON_TESTS = {
+    "PY-SYNTAX", "PY-LONG-FUNCTION", "SEC-EVAL", "SEC-SHELL", "SEC-SECRET-SCAN", "REPO-LARGE-FILE",
+    "DOCKER-REMOTE-ADD", "SEC-ENV-FILE", "DOCKER-NONROOT", *FAMILIES["openapi"],
+}
+# Rules that never look at tests.
+NEVER_ON_TESTS = {"PY-UNTYPED", "PROD-DEBUG", "API-CORS-WILDCARD", "AUTH-JWT-NONE", "SEC-HARDCODED-SECRET"}
+
+
+@dataclass(frozen=True)
+class RuleSet:
+    """Rules computed together."""
+
+    rules: list[str]
+    find: Callable[[Tables, list[str]], DataFrame]
+
+
+@dataclass(frozen=True)
+class ExtraRule:
+    """A rule of the user's own, in one of the families."""
+
+    rule_id: str
+    family: str
+    find: Callable[[Tables], DataFrame]
+
+
+def skipped(tables: Tables, rules: list[str]) -> list[str]:
+    """The rules that must leave tests out."""
+    return [r for r in rules if r in NEVER_ON_TESTS or not (tables.include_tests or r in ON_TESTS)]
+
+
+def node_set(tables: Tables, rules: list[str]) -> DataFrame:
+    return code_rules.node_findings(tables.facts, rules, skipped(tables, rules))
+
+
+def file_set(tables: Tables, rules: list[str]) -> DataFrame:
+    return text_rules.file_findings(tables.files, rules, skipped(tables, rules))
+
+
+def line_set(tables: Tables, rules: list[str]) -> DataFrame:
+    """Line rules in one pass; secrets are not reported for files that do not parse."""
+    found = text_rules.line_rules(tables.lines, include_tests=tables.include_tests).filter(F.col("rule_id").isin(rules))
+    broken = tables.facts.filter("kind = 'SyntaxError'").select("repo", F.col("path").alias("file"), F.lit(True).alias("bad"))
+    secret = F.col("rule_id") == "SEC-HARDCODED-SECRET"
+    return found.join(broken, ["repo", "file"], "left").filter(~(secret & F.coalesce("bad", F.lit(False)))).drop("bad")
+
+
+RULE_SETS: list[RuleSet] = [
+    RuleSet(list(code_rules.NODE_RULES), node_set),
+    RuleSet(text_rules.FILE_RULES, file_set),
+    RuleSet([r for group in text_rules.LINE_GROUPS.values() for r in group], line_set),
+    RuleSet(FAMILIES["dataflow"], lambda t, _: code_rules.leaks(t.code(t.facts))),
+    RuleSet(["FASTAPI-CIRCULAR-DEP"], lambda t, _: route_rules.circular_dependencies(
+        route_rules.dep_edges(t.code(t.facts)))),
+    RuleSet(["FASTAPI-UNPROTECTED-ROUTE"], lambda t, _: route_rules.unprotected_routes(t.routes)),
+    RuleSet(["FASTAPI-MISSING-DEP"], lambda t, _: route_rules.missing_dependencies(t.code(t.facts))),
+    RuleSet([r for r in FAMILIES["openapi"] if r.startswith("OPENAPI")], lambda t, _: spec_rules.spec_findings(t.specs)),
+    RuleSet(
+        ["PYDANTIC-UNTYPED-FIELD", "PYDANTIC-MUTABLE-DEFAULT", "PYDANTIC-OPTIONAL-NO-DEFAULT"],
+        lambda t, _: model_rules.field_rules(t.code(t.facts))),
+    RuleSet(["PYDANTIC-CUSTOM-INIT"], lambda t, _: model_rules.custom_init(t.code(t.facts))),
+    RuleSet(["PYDANTIC-SENSITIVE-NO-VALIDATOR"], lambda t, _: model_rules.unvalidated_secrets(t.code(t.facts))),
+    RuleSet(
+        ["ASYNC-MISSING-AWAIT", "ASYNC-CONTEXT-MANAGER"],
+        lambda t, _: code_rules.unawaited(t.code(t.facts), t.lines)),
+    RuleSet(["PERF-N-PLUS-ONE"], lambda t, _: code_rules.queries_in_loops(t.code(t.facts))),
+    RuleSet(["ARCH-DB-IN-API"], lambda t, _: text_rules.database_in_api(t.code(t.lines))),
+    RuleSet(["ARCH-GOD-CLASS"], lambda t, _: code_rules.god_classes(t.code(t.facts))),
+    RuleSet(["ARCH-CIRCULAR-IMPORT"], lambda t, _: graph.circular_imports(t.import_edges)),
+    RuleSet(["ARCH-HIGH-COUPLING"], lambda t, _: graph.high_coupling(t.import_edges)),
 ]
 
 
-def parsable_lines(tables: Tables) -> DataFrame:
-    """Lines of Python files that parse: the line rule of the basic family skips the others."""
-    broken = tables.facts.filter("kind = 'SyntaxError'").select("repo", "path")
-    return tables.lines.join(broken, ["repo", "path"], "left_anti")
+def chosen_rules(modes: set[str]) -> list[str]:
+    return [r for family, rules in FAMILIES.items() if FAMILY_MODES[family] & modes for r in rules]
+
+
+def open_gates(extra: list[ExtraRule] = ()) -> Column:
+    """True for a finding whose repository has the features its rule's family asks for.
+
+    Expects a finding row joined with its repository's features.
+    """
+    family_of = FAMILY_OF | {e.rule_id: e.family for e in extra}
+    out = F.lit(True)
+    for family, predicate in family_gates().items():
+        gated = [r for r, f in family_of.items() if f == family]
+        out = out & (~F.coalesce(F.col("rule_id").isin(gated), F.lit(False)) | F.coalesce(predicate, F.lit(False)))
+    return out

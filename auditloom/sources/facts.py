@@ -9,6 +9,7 @@ they are handed to Spark in small batches.
 from __future__ import annotations
 
 import ast
+import uuid
 import warnings
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
@@ -20,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from auditloom.dimensions import TEXT_LIMIT
 from auditloom.schemas import FACTS
-from auditloom.session import cut, spread
+from auditloom.session import shared_dir, spread
 
 ROWS_PER_BATCH = 20_000
 LONG_TEXT = 21  # an expression text of this length counts as "more than 20"
@@ -68,13 +69,14 @@ def extract_facts(files: DataFrame, kinds: list[str] | None = RULE_KINDS) -> Dat
 def store_facts(facts: DataFrame, path: str | None = None) -> DataFrame:
     """Keep facts so that many rules can share one parse.
 
-    With a path: a Parquet table split by node kind, so a rule reads only the kinds and
-    columns it names. Without: a checkpoint in the session's shared folder.
+    A Parquet table split by node kind, at ``path`` or else in the session's shared
+    folder: each rule then reads only the kinds and the columns it names, and a lost
+    executor loses nothing.
     """
-    if path is None:
-        return cut(facts)
-    facts.write.mode("overwrite").partitionBy("kind").parquet(path)
-    return facts.sparkSession.read.schema(FACTS).parquet(path).select(*COLUMNS)
+    spark = facts.sparkSession
+    place = path or f"{shared_dir(spark)}/facts-{uuid.uuid4()}"
+    facts.write.mode("overwrite").partitionBy("kind").parquet(place)
+    return spark.read.schema(FACTS).parquet(place).select(*COLUMNS)
 
 
 def to_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:

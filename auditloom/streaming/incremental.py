@@ -18,7 +18,9 @@ from auditloom.sources.lines import to_lines
 
 def line_findings(files: DataFrame) -> DataFrame:
     """Findings of the rules that need only a file's text."""
-    return text_rules.line_rules(to_lines(select_python(files))).unionByName(text_rules.secret_scan(files))
+    return text_rules.line_rules(to_lines(select_python(files))).unionByName(
+        text_rules.file_findings(files, ["SEC-SECRET-SCAN"])
+    )
 
 
 def stream_audit(arriving: DataFrame, window: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
