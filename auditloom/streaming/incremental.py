@@ -30,14 +30,13 @@ def stream_audit(arriving: DataFrame, window: str = "1 hour", lateness: str = "2
     falls inside the span the deduplication remembers, and the counts do not depend on
     how the stream was cut into batches.
     """
-    found = line_findings(arriving.withWatermark("arrived", lateness)).withColumn(
-        "window", F.window("arrived", window)
-    )
-    key = F.sha2(F.to_json(F.struct("window.start", *DEDUP_KEY)), 256)
-    once = found.withColumn("key", key).dropDuplicatesWithinWatermark(["key"])
-    return once.groupBy("window", "repo", "severity").agg(F.count("*").alias("n")).select(
-        F.col("window.start").alias("window_start"), "repo", "severity", "n"
-    )
+    found = line_findings(arriving.withWatermark("arrived", lateness))
+    start = F.window("arrived", window)["start"]
+    once = found.withColumn(
+        "key", F.sha2(F.to_json(F.struct(start, *DEDUP_KEY)), 256)
+    ).dropDuplicatesWithinWatermark(["key"])
+    counts = once.groupBy(F.window("arrived", window).alias("window"), "repo", "severity").agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").alias("window_start"), "repo", "severity", "n")
 
 
 def run_available(counts: DataFrame, output: str, checkpoint: str) -> None:
