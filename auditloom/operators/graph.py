@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators.findings import emit
-from auditloom.session import cut
+from auditloom.session import cut, cut_counting
 
 # Fixed value: a file that imports more local files than this is highly coupled.
 MANY_IMPORTS = 10
 
-HOPS = 4  # propagation steps computed by one job
+HOPS = 2  # propagation steps computed by one job
+COMPACT_EVERY = 8  # search levels after which the visited nodes become one table
 
 
 def cyclic_components(edges: DataFrame) -> DataFrame:
@@ -23,11 +24,11 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     node and edge, never a table of reachable pairs, and rounds are cut off from their
     lineage through the shared checkpoint folder.
     """
-    distinct = cut(edges.select("g", "src", "dst").distinct())
+    distinct = edges.select("g", "src", "dst").distinct()
     loops = distinct.filter("src = dst").select("g", F.col("src").alias("node"), F.col("src").alias("root"))
     parts = []
-    active = trim(distinct.filter("src <> dst"))
-    while not active.isEmpty():
+    active, size = trim(distinct.filter("src <> dst"))
+    while size:
         colour = settle_colours(active)
         same = cut(
             active.join(colour.select("g", F.col("node").alias("src"), "colour"), ["g", "src"])
@@ -39,7 +40,7 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
         done = component.select("g", "node")
         rest = active.join(done.withColumnRenamed("node", "src"), ["g", "src"], "left_anti")
         rest = rest.join(done.withColumnRenamed("node", "dst"), ["g", "dst"], "left_anti")
-        active = trim(rest.select("g", "src", "dst"))
+        active, size = trim(rest.select("g", "src", "dst"))
     out = loops
     for part in parts:
         out = out.unionByName(part)
@@ -47,27 +48,25 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     return out.groupBy("g", "node").agg(F.min("root").alias("root"))
 
 
-def trim(edges: DataFrame) -> DataFrame:
+def trim(edges: DataFrame) -> tuple[DataFrame, int]:
     """Drop edges that cannot lie on a cycle: nothing enters their start or leaves their end."""
-    current = cut(edges)
-    size = current.count()
+    current, size = cut_counting(edges, F.lit(True))
     while size:
         entered = current.select("g", F.col("dst").alias("src")).distinct()
         left_by = current.select("g", F.col("src").alias("dst")).distinct()
         kept = current.join(entered, ["g", "src"], "left_semi").join(left_by, ["g", "dst"], "left_semi")
-        kept = cut(kept.select("g", "src", "dst"))
-        left = kept.count()
+        kept, left = cut_counting(kept.select("g", "src", "dst"), F.lit(True))
         if left == size:
             break
         current, size = kept, left
-    return current
+    return current, size
 
 
 def settle_colours(edges: DataFrame) -> DataFrame:
     """(g, node, colour): the smallest label that reaches each node, itself included."""
     nodes = edges.select("g", F.col("src").alias("node")).union(edges.select("g", "dst")).distinct()
-    colour = nodes.withColumn("colour", F.col("node"))
-    while True:
+    colour, changed = nodes.withColumn("colour", F.col("node")), 1
+    while changed:
         step = colour.withColumn("before", F.col("colour"))
         for _ in range(HOPS):
             sent = edges.join(step.select("g", F.col("node").alias("src"), "colour"), ["g", "src"]).select(
@@ -76,36 +75,34 @@ def settle_colours(edges: DataFrame) -> DataFrame:
             step = step.unionByName(sent).groupBy("g", "node").agg(
                 F.min("colour").alias("colour"), F.max("before").alias("before")
             )
-        step = cut(step)
-        if step.filter("colour <> before").isEmpty():
-            return step.select("g", "node", "colour")
+        step, changed = cut_counting(step, F.col("colour") != F.col("before"))
         colour = step.select("g", "node", "colour")
+    return colour
 
 
 def reach_back(edges: DataFrame) -> DataFrame:
     """(g, node, root): nodes that lead to their colour's root along edges of that colour."""
-    root = edges.select("g", F.col("colour").alias("node"), F.col("colour").alias("root")).distinct()
+    reached = edges.select("g", F.col("colour").alias("node"), F.col("colour").alias("root")).distinct()
     back = edges.select("g", F.col("src").alias("node"), F.col("dst").alias("to"), F.col("colour").alias("root"))
-    reached = root
-    while True:
+    fresh = 1
+    while fresh:
         grown = reached.withColumn("fresh", F.lit(False))
         for _ in range(HOPS):
             step = back.join(
                 grown.select("g", F.col("node").alias("to"), "root"), ["g", "to", "root"], "left_semi"
             ).select("g", "node", "root", F.lit(True).alias("fresh"))
             grown = grown.unionByName(step).groupBy("g", "node", "root").agg(F.bool_and("fresh").alias("fresh"))
-        grown = cut(grown)
-        if grown.filter("fresh").isEmpty():
-            return grown.select("g", "node", "root")
+        grown, fresh = cut_counting(grown, F.col("fresh"))
         reached = grown.select("g", "node", "root")
+    return reached
 
 
 def shortest_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(g, root, cycle): a shortest cycle through each component's smallest node.
 
     Breadth first from the roots of all components at once. A node keeps only the
-    smallest of its equally short paths, and a component whose cycle has closed leaves
-    the search.
+    smallest of its equally short paths, a node once visited is not visited again, and a
+    component whose cycle has closed leaves the search.
     """
     start = components.select("g", F.col("node").alias("src"), "root")
     end = components.select("g", F.col("node").alias("dst"), F.col("root").alias("other"))
@@ -113,31 +110,24 @@ def shortest_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
         edges.select("g", "src", "dst").distinct().join(start, ["g", "src"]).join(end, ["g", "dst"])
         .filter("root = other").select("g", "root", "src", "dst")
     )
-    frontier = components.select("g", "root").distinct().select(
-        "g", "root", F.col("root").alias("src"), F.array("root").alias("cycle")
-    )
-    seen = frontier.select("g", "root", F.col("src").alias("dst"))
-    found = []
-    while True:
+    roots = components.select("g", "root").distinct()
+    frontier = roots.select("g", "root", F.col("root").alias("src"), F.array("root").alias("cycle"))
+    visited = roots.select("g", "root", F.col("root").alias("src"))
+    out = frontier.select("g", "root", "cycle").filter(F.lit(False))
+    level, open_paths = 0, 1
+    while open_paths:
         step = inner.join(frontier, ["g", "root", "src"]).groupBy("g", "root", "dst").agg(F.min("cycle").alias("cycle"))
-        step = cut(step.withColumn("cycle", F.concat("cycle", F.array("dst"))))
-        if step.isEmpty():
-            break
+        step = step.select("g", "root", "dst", F.concat("cycle", F.array("dst")).alias("cycle"))
+        step, open_paths = cut_counting(step, F.col("dst") != F.col("root"))
         closed = step.filter("dst = root").select("g", "root", "cycle")
-        found.append(closed)
-        onward = step.join(closed.select("g", "root"), ["g", "root"], "left_anti")
-        frontier = cut(onward.join(seen, ["g", "root", "dst"], "left_anti").select(
-            "g", "root", F.col("dst").alias("src"), "cycle"
-        ))
-        if frontier.isEmpty():
-            break
-        seen = cut(
-            seen.unionByName(frontier.select("g", "root", F.col("src").alias("dst")))
-            .join(closed.select("g", "root"), ["g", "root"], "left_anti")
-        )
-    out = found[0] if found else components.select("g", "root", F.array("root").alias("cycle")).limit(0)
-    for part in found[1:]:
-        out = out.unionByName(part)
+        out = out.unionByName(closed)
+        onward = step.filter("dst <> root").withColumnRenamed("dst", "src")
+        frontier = onward.join(closed, ["g", "root"], "left_anti").join(visited, ["g", "root", "src"], "left_anti")
+        visited = visited.unionByName(onward.select("g", "root", "src"))
+        level += 1
+        if level % COMPACT_EVERY == 0:
+            frontier = cut(frontier)
+            visited = cut(visited.distinct().join(closed, ["g", "root"], "left_anti"))
     return out
 
 

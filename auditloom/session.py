@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "auditloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counting(df: DataFrame, counted: Column) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows for which ``counted`` holds, from the same job."""
+    seen = Observation()
+    stored = cut(df.observe(seen, F.count_if(counted).alias("n")))
+    return stored, seen.get["n"]
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a scan with fewer splits than cores enough partitions for CPU-heavy work.
 

@@ -9,12 +9,14 @@ they are handed to Spark in small batches.
 from __future__ import annotations
 
 import ast
+import sys
 import uuid
 import warnings
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,6 +25,9 @@ from auditloom.dimensions import TEXT_LIMIT
 from auditloom.schemas import FACTS
 from auditloom.session import shared_dir, spread
 
+# Executors get the functions of this module with the task, so nothing is installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROWS_PER_BATCH = 20_000
 LONG_TEXT = 21  # an expression text of this length counts as "more than 20"
 

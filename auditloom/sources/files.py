@@ -2,45 +2,132 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import os
+import sys
+from collections.abc import Iterator
+from functools import partial, reduce
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.dimensions import SPEC_LIMIT, TEXT_LIMIT
+from auditloom.dimensions import SKIP_DIRS, SPEC_LIMIT, SPEC_NAMES, TEXT_LIMIT
 from auditloom.functions import paths
+from auditloom.functions.text import contains_any
 from auditloom.schemas import carried
+from auditloom.session import cut_counting
+
+# Executors get the functions of this module with the task, so nothing is installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+BYTES_PER_PARTITION = 128_000_000
+BYTES_PER_BATCH = 32_000_000
+ROWS_PER_BATCH = 10_000
 
-def scan_files(spark: SparkSession, base: str, repo: str | None = None) -> DataFrame:
+
+def scan_files(
+    spark: SparkSession, base: str, repo: str | None = None, skip_dirs: list[str] = SKIP_DIRS,
+) -> DataFrame:
     """Read a directory tree as `files`.
 
     With ``repo`` the whole tree is one repository; without it every first-level
-    directory below ``base`` is one. File contents are only read up to the largest
-    limit any rule uses: the length filter reaches the file listing, and the scan of
-    larger files asks for no content, so big binaries cost a directory entry each.
+    directory below ``base`` is one. The built-in file sources hide names that start with
+    a dot or an underscore, which an audit must see, so the tree is listed by a job of its
+    own. Contents are read only of files some rule reads, and only up to the largest limit
+    any rule has; every other file costs a directory entry.
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    )
-    root = base.rstrip("/")
-    location = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:(//)?(?=/)", "")
-    inside = paths.relative_to(location, root)
-    small = listing.filter(F.col("length") <= SPEC_LIMIT).select(
-        inside.alias("inside"), F.col("length").alias("size"), as_text(F.col("content")).alias("content")
-    )
-    large = listing.filter(F.col("length") > SPEC_LIMIT).select(
-        inside.alias("inside"), F.col("length").alias("size"), F.lit("").alias("content")
-    )
-    found = small.unionByName(large)
+    entry = list_tree(spark, base, skip_dirs, keep_first=repo is None).select(F.col("path").alias("inside"), "size")
     if repo is None:
-        located = found.select(
-            F.element_at(paths.parts(F.col("inside")), 1).alias("repo"),
-            F.regexp_replace("inside", r"^[^/]+/", "").alias("path"), "size", "content",
+        located = entry.filter(F.contains("inside", F.lit("/"))).select(
+            F.regexp_extract("inside", "^([^/]+)/", 1).alias("repo"),
+            F.regexp_replace("inside", "^[^/]+/", "").alias("path"), "inside", "size",
         )
     else:
-        located = found.select(F.lit(repo).alias("repo"), F.col("inside").alias("path"), "size", "content")
-    return describe(located.filter(~paths.in_skipped_dir(F.col("path"))))
+        located = entry.select(F.lit(repo).alias("repo"), F.col("inside").alias("path"), "inside", "size")
+    name = paths.base_name(F.col("path"))
+    read = (F.col("size") <= SPEC_LIMIT) & (
+        paths.is_text(name) | (F.lower(name) == "dockerfile") | contains_any(F.lower(name), SPEC_NAMES)
+    )
+    total = located.agg(F.sum(F.when(read, F.col("size"))).alias("n")).head()["n"] or 0
+    partitions = max(spark.sparkContext.defaultParallelism, total // BYTES_PER_PARTITION)
+    readable = located.withColumn("wanted", read).repartition(int(partitions))
+    raw = readable.mapInArrow(partial(read_contents, base), "repo string, path string, size long, content binary")
+    return describe(raw.withColumn("content", as_text(F.col("content"))))
+
+
+def list_tree(
+    spark: SparkSession, base: str, skip_dirs: list[str] = SKIP_DIRS, keep_first: bool = False,
+) -> DataFrame:
+    """(path, size) of every file below ``base``, pruned directories left out.
+
+    ``keep_first`` never prunes the first level, whose names are those of repositories.
+
+    The tree is listed level by level; the directories of a level are spread over all
+    tasks, so neither the driver nor one task walks a large repository.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    level = spark.createDataFrame([("",)], "path string")
+    found = []
+    n_dirs = 1
+    while n_dirs:
+        listed = level.repartition(min(tasks, n_dirs)).mapInArrow(
+            partial(list_directories, base), "path string, size long, is_dir boolean"
+        )
+        kept = listed
+        if found or not keep_first:
+            kept = listed.filter(~(F.col("is_dir") & paths.base_name(F.col("path")).isin(skip_dirs)))
+        kept, n_dirs = cut_counting(kept, F.col("is_dir"))
+        found.append(kept.filter("NOT is_dir").select("path", "size"))
+        level = kept.filter("is_dir").select("path")
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def list_directories(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One level below each directory; links to directories are not followed."""
+    system, root = pa_fs.FileSystem.from_uri(base)
+    is_local = isinstance(system, pa_fs.LocalFileSystem)
+    for batch in batches:
+        for inside in batch.column(0).to_pylist():
+            rows = []
+            for info in system.get_file_info(pa_fs.FileSelector(f"{root}/{inside}")):
+                is_dir = info.type == pa_fs.FileType.Directory
+                if not (is_dir and is_local and os.path.islink(info.path)):
+                    rows.append((f"{inside}/{info.base_name}".lstrip("/"), info.size or 0, is_dir))
+            columns = list(zip(*rows)) or [(), (), ()]
+            types = (pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], ["path", "size", "is_dir"]
+            )
+
+
+def read_contents(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents of wanted files, in batches of bounded size; unreadable files are empty."""
+    system, root = pa_fs.FileSystem.from_uri(base)
+    names = ["repo", "path", "size", "content"]
+    types = (pa.string(), pa.string(), pa.int64(), pa.binary())
+    rows, held = [], 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            content = b""
+            if row["wanted"]:
+                try:
+                    with system.open_input_stream(f"{root}/{row['inside']}") as stream:
+                        content = stream.read()
+                except OSError:
+                    content = b""
+            rows.append((row["repo"], row["path"], row["size"], content))
+            held += len(content)
+            if held >= BYTES_PER_BATCH or len(rows) >= ROWS_PER_BATCH:
+                yield flush()
+                rows, held = [], 0
+    if rows:
+        yield flush()
 
 
 def as_text(raw: Column) -> Column:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.dimensions import SPEC_LIMIT
+from auditloom.dimensions import SPEC_LIMIT, SPEC_NAMES
 from auditloom.functions.text import contains_any
 from auditloom.session import spread
 
-# Parts of the lower-cased names of specification files.
-SPEC_NAMES = ["openapi", "swagger", "api-docs"]
+# Executors get the functions of this module with the task, so nothing is installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Keys that are not strings in YAML keep a mark, so that no rule takes 200 for "200".
 TYPED_KEY = "!"
