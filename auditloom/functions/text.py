@@ -12,6 +12,7 @@ ANY_CASE = "(?iuU)"
 
 # What ends a line of text; \R lacks the three separator controls.
 LINE_BREAK = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\x{2028}\x{2029}]"
+RARE_LINE_BREAK = r"[\x0B\x0C\r\x1C-\x1E\x85\x{2028}\x{2029}]"
 
 # An assignment of a quoted literal to a secret-looking name.
 HARDCODED_SECRET = r"""(password|secret|api[_-]?key|token)\s*=\s*["'][^"']{8,}["']"""
@@ -79,17 +80,29 @@ def ends_with_any(whole: list[str], suffix: Column) -> Column:
     return any_of([F.endswith(F.lit(w), suffix) for w in whole])
 
 
+def assigns_literal(text: Column) -> Column:
+    """A cheap test that every quoted assignment passes and most texts fail."""
+    return F.contains(text, F.lit("=")) & text.rlike(r"""(?U)=\s*["']""")
+
+
 def has_hardcoded_secret(line: Column) -> Column:
-    return line.rlike(ANY_CASE + HARDCODED_SECRET)
+    return assigns_literal(line) & line.rlike(ANY_CASE + HARDCODED_SECRET)
 
 
 def secret_hits(text: Column) -> Column:
-    """Labels of every secret signature found in a text: one pass, no pattern join."""
-    hits = F.array(*[
-        F.when(text.rlike(pattern if exact else ANY_CASE + pattern), F.lit(label))
-        for label, pattern, exact in SECRET_PATTERNS
-    ])
-    return F.filter(hits, lambda label: label.isNotNull())
+    """Labels of every secret signature found in a text: one pass, no pattern join.
+
+    A signature is only searched for in texts that hold a character it needs.
+    """
+    hits = []
+    for label, pattern, exact in SECRET_PATTERNS:
+        found = text.rlike(pattern if exact else ANY_CASE + pattern)
+        if "[\"']" in pattern:
+            found = assigns_literal(text) & found
+        elif "_" in pattern:
+            found = F.contains(text, F.lit("_")) & found
+        hits.append(F.when(found, F.lit(label)))
+    return F.filter(F.array(*hits), lambda label: label.isNotNull())
 
 
 def looks_like_sql(text: Column) -> Column:
@@ -97,9 +110,10 @@ def looks_like_sql(text: Column) -> Column:
 
     The cheap word test runs first; only texts that pass pay for whitespace folding.
     """
-    folded = F.regexp_replace(F.lower(text), r"(?U)[\s\x1C-\x1F]+", " ")
+    low = F.lower(text)
+    folded = F.regexp_replace(low, r"(?U)[\s\x1C-\x1F]+", " ")
     shape = folded.rlike("(?U)" + "|".join(f"(?:{s})" for s in SQL_SHAPES))
-    return text.rlike(r"(?iu)select|insert|update|delete") & shape
+    return contains_any(low, ["select", "insert", "update", "delete"]) & shape
 
 
 def is_sql_risk(line: Column) -> Column:

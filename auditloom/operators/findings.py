@@ -86,9 +86,11 @@ def emit_hits(rows: DataFrame, hits: Column, file: str = "path") -> DataFrame:
 
 
 def emit_by_rule(
-    rows: DataFrame, rule: str, details: dict[str, Column | None], line: str | None, file: str | None = "path"
+    rows: DataFrame, rule: str, details: dict[str, Column | None], line: str | None, file: str | None = "path",
+    titles: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Turn rows into findings of the rule each row names, in one pass over the rows."""
+    titles = titles or {}
 
     def pick(values: dict[str, Text]) -> Column:
         out = F
@@ -101,7 +103,7 @@ def emit_by_rule(
         F.col("repo"),
         pick({n: r.severity for n, r in chosen.items()}).alias("severity"),
         pick({n: r.category for n, r in chosen.items()}).alias("category"),
-        pick({n: r.title for n, r in chosen.items()}).alias("title"),
+        pick({n: titles.get(n, r.title) for n, r in chosen.items()}).alias("title"),
         pick({n: r.detail if details[n] is None else details[n] for n, r in chosen.items()}).alias("detail"),
         (F.lit(None) if file is None else F.col(file)).cast("string").alias("file"),
         (F.lit(None) if line is None else F.col(line)).cast("int").alias("line"),

@@ -75,6 +75,11 @@ def first_word(path: Column, content: Column, path_words: list[str], words: list
     return F.when(text.contains_any(F.lower(path), path_words), found)
 
 
+def may_hold_secrets() -> Column:
+    """Files the secret scan looks at: texts of bounded size, tests only if dotenv files."""
+    return F.col("is_text") & (F.col("size") <= TEXT_LIMIT) & (~F.col("is_test") | F.col("is_dotenv"))
+
+
 def mark_files(files: DataFrame) -> DataFrame:
     """Add what the file rules and the stack detection need to know about the content."""
     if "secrets" in files.columns:
@@ -83,13 +88,12 @@ def mark_files(files: DataFrame) -> DataFrame:
     low_text = F.when(F.col("is_text"), F.lower(content)).otherwise("")
     flags = word_flags(low_text, FLAG_WORDS)
     flags |= {flag: low_text.rlike("(?U)" + pattern) for flag, pattern in FLAG_PATTERNS.items()}
-    scanned = F.col("is_text") & (~F.col("is_test") | F.col("is_dotenv"))
     is_dockerfile = F.lower("name") == "dockerfile"
     return files.withColumns({
         "has_text": content != "",
         "flags": F.struct(*[test.alias(flag) for flag, test in flags.items()]),
         "sql_words": F.col("is_py") & text.has_sql_words(content),
-        "secrets": F.when(scanned, text.secret_hits(content)),
+        "secrets": F.when(may_hold_secrets(), text.secret_hits(content)),
         "framework": F.when(F.col("is_py"), first_word(F.col("path"), content, DOMAIN_WORDS, FRAMEWORKS)),
         "no_user": is_dockerfile & ~content.rlike(r"(?md)^\s*USER\s+\S+"),
         "remote_add": is_dockerfile & text.contains_any(content, ["ADD http://", "ADD https://"]),

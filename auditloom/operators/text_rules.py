@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from auditloom.dimensions import LARGE_FILE
 from auditloom.functions import text
 from auditloom.operators.findings import emit, emit_by_rule, emit_hits, hit
-from auditloom.operators.marks import DISABLED_DOCS, mark_files, mark_lines
+from auditloom.operators.marks import DISABLED_DOCS, mark_files, mark_lines, may_hold_secrets
+from auditloom.sources.lines import texts_and_lines
 
 # Layers a file may belong to.
 CONCERNS = ["api", "model", "service", "repository", "controller", "view", "schema"]
@@ -98,9 +99,27 @@ def line_rules(lines: DataFrame, groups: list[str] = tuple(LINE_GROUPS), include
     hits = mark_lines(lines).withColumn("rule", F.explode("broken")).filter(
         F.col("rule").isin(chosen) & (~F.col("is_test") | F.col("rule").isin(everywhere))
     )
+    return emit_by_rule(hits, "rule", line_details(chosen), line="line_no")
+
+
+def line_details(rules: list[str]) -> dict[str, Column | None]:
     quoted = F.concat(F.lit("SQL statement with potential injection pattern: "), F.col("head"), F.lit("..."))
-    details = {rule: quoted if rule == "SQL-INJECTION-PATTERN" else None for rule in chosen}
-    return emit_by_rule(hits, "rule", details, line="line_no")
+    return {rule: quoted if rule == "SQL-INJECTION-PATTERN" else None for rule in rules}
+
+
+def text_findings(files: DataFrame, groups: list[str] = tuple(LINE_GROUPS)) -> DataFrame:
+    """The secret scan and all line rules in a single pass over contents."""
+    chosen = [rule for group in groups for rule in LINE_GROUPS[group]]
+    rows = mark_lines(texts_and_lines(files))
+    whole = F.when(may_hold_secrets(), text.secret_hits(F.col("line")))
+    labels = F.transform(whole, lambda label: F.struct(F.lit("SEC-SECRET-SCAN").alias("rule"), label.alias("label")))
+    broken = F.filter("broken", lambda rule: rule.isin(chosen) & (~F.col("is_test") | rule.isin(LINE_GROUPS["docs"])))
+    rules = F.transform(broken, lambda rule: F.struct(rule.alias("rule"), F.lit(None).cast("string").alias("label")))
+    hits = rows.select("*", F.explode(F.when(F.col("line_no") == 0, labels).otherwise(rules)).alias("h")).select(
+        "*", "h.rule", "h.label", F.nullif("line_no", F.lit(0)).alias("at")
+    )
+    details = {"SEC-SECRET-SCAN": None} | line_details(chosen)
+    return emit_by_rule(hits, "rule", details, line="at", titles={"SEC-SECRET-SCAN": F.col("label")})
 
 
 def first_matching_line(lines: DataFrame, test: Column) -> DataFrame:

@@ -65,8 +65,7 @@ def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = to_lines(files)
     worded = text_rules.first_matching_line(lines, F.contains("line", F.lit(COMMON_WORD)))
     return (
-        text_rules.file_findings(files, ["SEC-SECRET-SCAN"])
-        .unionByName(text_rules.line_rules(lines, ["secrets"]))
+        text_rules.text_findings(files, ["secrets"])
         .unionByName(emit(worded, "ARCH-DB-IN-API", line="line_no"))
         .unionByName(text_rules.large_files(files, LONG_DOCUMENT))
     )

@@ -17,7 +17,7 @@ from auditloom.plans.bound.base import (
     document_findings, score_sql, secret_rows_sql, table,
 )
 from auditloom.plans.expected import literal
-from auditloom.session import spread
+from auditloom.session import cut, spread
 from auditloom.sources.files import exclude, files_from_table, heuristic_scope, include, read_text
 from auditloom.sources.lines import to_lines
 
@@ -143,9 +143,9 @@ def secrets_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, conversation turns and pages as one table of files."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     turn_path = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".py"))
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     page_path = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".py"))
     return (
         document_files(spark, sf_dir)
@@ -391,9 +391,7 @@ def all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every source from the secrets in its documents, clean sources included."""
     files = document_files(spark, sf_dir)
-    found = ff.union_findings(
-        text_rules.line_rules(to_lines(files), ["secrets"]), text_rules.file_findings(files, ["SEC-SECRET-SCAN"])
-    )
+    found = text_rules.text_findings(files, ["secrets"])
     return score(ff.dedup(ff.with_defaults(found)), all_sources(spark, sf_dir))
 
 
@@ -475,7 +473,7 @@ def report_head(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM ({DOC_FINDINGS_SQL}) GROUP BY repo) c ON s.repo = c.repo
 """)
 def health_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = document_findings(spark, sf_dir)
+    found = cut(document_findings(spark, sf_dir))
     return ff.health_band(found, score(found, all_sources(spark, sf_dir)))
 
 
@@ -486,7 +484,7 @@ def health_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of at most about 20 findings per document, read back and added up."""
-    found = document_findings(spark, sf_dir)
+    found = cut(document_findings(spark, sf_dir))
     documents = to_report(found, score(found, all_sources(spark, sf_dir)), size=20)
     parsed = documents.select(F.from_json(
         "json", "project string, score int, findings array<struct<line:int>>").alias("r"))

@@ -56,7 +56,8 @@ def convert_one(text: str) -> str | None:
     except ImportError:
         return None
     try:
-        return json.dumps(string_keys(yaml.safe_load(text)), default=str)
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        return json.dumps(string_keys(yaml.load(text, loader)), default=str)
     except (yaml.YAMLError, RecursionError, ValueError):
         return None
 

@@ -7,35 +7,39 @@ watermark passes their end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators import text_rules
 from auditloom.schemas import DEDUP_KEY
-from auditloom.sources.files import select_python
-from auditloom.sources.lines import to_lines
+from auditloom.sources.files import read_text
 
 
-def line_findings(files: DataFrame) -> DataFrame:
-    """Findings of the rules that need only a file's text."""
-    return text_rules.line_rules(to_lines(select_python(files))).unionByName(
-        text_rules.file_findings(files, ["SEC-SECRET-SCAN"])
-    )
+def once_per_window(rows: DataFrame, window: str, *key: str | Column) -> DataFrame:
+    """Drop rows whose key was already seen in the same window.
+
+    State is one digest per key; it expires with the watermark.
+    """
+    start = F.window("arrived", window)["start"]
+    digest = F.sha2(F.to_json(F.struct(start.alias("start"), *key)), 256)
+    return rows.withColumn("_seen", digest).dropDuplicatesWithinWatermark(["_seen"]).drop("_seen")
 
 
 def stream_audit(arriving: DataFrame, window: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """(window_start, repo, severity, n) over a stream of files with an ``arrived`` time.
 
+    A file that arrives again unchanged within a window is not scanned again; a finding
+    that several versions of a file share is counted once per window. Spreading the
+    arrivals by their digest also spreads the scan, however few partitions the source has.
+
     ``lateness`` must not be shorter than ``window``: then a repeat within a window always
     falls inside the span the deduplication remembers, and the counts do not depend on
     how the stream was cut into batches.
     """
-    found = line_findings(arriving.withWatermark("arrived", lateness))
-    start = F.window("arrived", window)["start"]
-    once = found.withColumn(
-        "key", F.sha2(F.to_json(F.struct(start, *DEDUP_KEY)), 256)
-    ).dropDuplicatesWithinWatermark(["key"])
-    counts = once.groupBy(F.window("arrived", window).alias("window"), "repo", "severity").agg(F.count("*").alias("n"))
+    timed = arriving.withWatermark("arrived", lateness)
+    changed = once_per_window(timed, window, "repo", "path", F.sha2("content", 256).alias("version"))
+    found = once_per_window(text_rules.text_findings(read_text(changed)), window, *DEDUP_KEY)
+    counts = found.groupBy(F.window("arrived", window).alias("window"), "repo", "severity").agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("window_start"), "repo", "severity", "n")
 
 
