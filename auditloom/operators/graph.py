@@ -164,10 +164,15 @@ def longest_prefix(
 
 
 def import_edges(imports: DataFrame, index: DataFrame) -> DataFrame:
-    """(repo, src, dst): files importing files of the same repository, without repeats."""
+    """(repo, src, dst): files importing files of the same repository, without repeats.
+
+    Each module name is resolved once per repository, however many files import it.
+    """
     wanted = imports.select("repo", F.col("path").alias("src"), F.col("module").alias("imported")).distinct()
     known = index.select("repo", "module", F.col("path").alias("dst"))
-    return longest_prefix(wanted, ["repo"], "imported", known, "module").select("repo", "src", "dst").distinct()
+    names = imports.select("repo", F.col("module").alias("imported")).distinct()
+    resolved = longest_prefix(names, ["repo"], "imported", known, "module").select("repo", "imported", "dst")
+    return wanted.join(resolved, ["repo", "imported"]).select("repo", "src", "dst").distinct()
 
 
 def cycles_per_repo(edges: DataFrame) -> DataFrame:

@@ -100,8 +100,15 @@ def mark_files(files: DataFrame) -> DataFrame:
     })
 
 
-def mark_lines(lines: DataFrame) -> DataFrame:
-    """Add what the line rules, and the rules that look up a line, need to know of it."""
+# The groups of rules that look at one line.
+LINE_GROUPS = ["secrets", "sql", "docs"]
+
+
+def mark_lines(lines: DataFrame, groups: list[str] = LINE_GROUPS) -> DataFrame:
+    """Add what the line rules, and the rules that look up a line, need to know of it.
+
+    ``broken`` holds the ids of the line rules of the given groups that the line breaks.
+    """
     if "broken" in lines.columns:
         return lines
     line = F.col("line")
@@ -118,13 +125,12 @@ def mark_lines(lines: DataFrame) -> DataFrame:
     )
     is_sql = text.looks_like_sql(line)
     in_interface = text.contains_any(F.lower("path"), INTERFACE_WORDS)
+    by_group = {"secrets": secret, "sql": F.when(is_sql, statement), "docs": docs}
+    broken = F.concat(*[F.coalesce(by_group[g], none) for g in groups])
     return lines.withColumns({
         "head": F.substring(line, 1, SHOWN_LINE),
         "is_sql": is_sql,
-        "broken": F.filter(
-            F.concat(F.coalesce(secret, none), F.coalesce(F.when(is_sql, statement), none), F.coalesce(docs, none)),
-            lambda r: r.isNotNull(),
-        ),
+        "broken": F.filter(broken, lambda r: r.isNotNull()),
         "database_word": in_interface & text.contains_any(line, DATABASE_WORDS),
         "guard": text.contains_any(line, SECURITY_MARKERS),
         "awaits": F.contains(line, F.lit("await ")),

@@ -96,7 +96,7 @@ def line_rules(lines: DataFrame, groups: list[str] = tuple(LINE_GROUPS), include
     """All rules that look at one line, in one pass over the lines."""
     chosen = [rule for group in groups for rule in LINE_GROUPS[group]]
     everywhere = LINE_GROUPS["docs"] + (LINE_GROUPS["sql"] if include_tests else [])
-    hits = mark_lines(lines).withColumn("rule", F.explode("broken")).filter(
+    hits = mark_lines(lines, groups).withColumn("rule", F.explode("broken")).filter(
         F.col("rule").isin(chosen) & (~F.col("is_test") | F.col("rule").isin(everywhere))
     )
     return emit_by_rule(hits, "rule", line_details(chosen), line="line_no")
@@ -110,7 +110,7 @@ def line_details(rules: list[str]) -> dict[str, Column | None]:
 def text_findings(files: DataFrame, groups: list[str] = tuple(LINE_GROUPS)) -> DataFrame:
     """The secret scan and all line rules in a single pass over contents."""
     chosen = [rule for group in groups for rule in LINE_GROUPS[group]]
-    rows = mark_lines(texts_and_lines(files))
+    rows = mark_lines(texts_and_lines(files), groups)
     whole = F.when(may_hold_secrets(), text.secret_hits(F.col("line")))
     labels = F.transform(whole, lambda label: F.struct(F.lit("SEC-SECRET-SCAN").alias("rule"), label.alias("label")))
     broken = F.filter("broken", lambda rule: rule.isin(chosen) & (~F.col("is_test") | rule.isin(LINE_GROUPS["docs"])))

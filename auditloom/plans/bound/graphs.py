@@ -31,7 +31,7 @@ def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = ring(spark, sf_dir)
-    found = imports(extract_facts(files, ["Import", "ImportFrom"]))
+    found = imports(store_facts(extract_facts(files, ["Import", "ImportFrom"])))
     return graph.import_edges(found, graph.module_index(files))
 
 
@@ -138,7 +138,8 @@ def trade_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def high_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = hub_files(table(spark, sf_dir, "documents"))
-    edges = graph.import_edges(imports(extract_facts(files, ["Import", "ImportFrom"])), graph.module_index(files))
+    facts = store_facts(extract_facts(files, ["Import", "ImportFrom"]))
+    edges = graph.import_edges(imports(facts), graph.module_index(files))
     return graph.high_coupling(edges).select("repo", "file", "detail")
 
 

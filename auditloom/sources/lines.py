@@ -16,7 +16,11 @@ def line_cells(content: Column) -> Column:
     no lines at all. Only texts with one of the rarer separators pay for a pattern split.
     """
     cells = F.when(content.rlike(RARE_LINE_BREAK), F.split(content, LINE_BREAK)).otherwise(F.split(content, "\n"))
-    return F.when(F.element_at(cells, -1) == "", F.slice(cells, F.lit(1), F.size(cells) - 1)).otherwise(cells)
+    # Bound as a lambda variable, so that the text is split once.
+    closed = F.transform(F.array(cells), lambda c: (
+        F.when(F.element_at(c, -1) == "", F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c)
+    ))
+    return F.element_at(closed, 1)
 
 
 def to_lines(files: DataFrame) -> DataFrame:

@@ -102,5 +102,6 @@ def test_facts_table_equals_direct_parse(spark, make_files, tmp_path):
 
 def test_stored_facts_are_read_by_kind(spark, make_files, tmp_path):
     facts = store_facts(extract_facts(make_files({("r", "a.py"): SOURCES[2]}), RULE_KINDS), str(tmp_path / "facts"))
-    plan = facts.filter("kind = 'Call'").select("name")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(kind" in plan and "ReadSchema: struct<name:string>" in plan
+    plan = facts.filter("kind = 'Call'").select("name")._jdf.queryExecution().explainString(
+        facts.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "EqualTo(kind,Call)" in plan and "ReadSchema: struct<kind:string,name:string>" in plan
