@@ -16,7 +16,7 @@ from auditloom.llm.textarrays import Texts
 #: Bytes of one Arrow batch sent to Python, and of one slice that numpy works on. A single
 #: longer text makes a longer batch: texts are never cut.
 BATCH_BYTES = 32 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,3 +113,18 @@ def numbered(df: DataFrame, within: list[str], order: list[str], name: str, buck
         .withColumn(name, (F.col(rank) - 1 + F.col(before)).cast("long"))
         .drop(bucket, rank, before, *[f"__c{i}" for i in range(len(keys))])
     )
+
+
+def ranked_globally(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Gapless ranks from 0 over the whole table, by range partitions instead of one sorted task."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = store(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    # One row for each range partition.
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return (
+        dealt.withColumn("__rank", within).join(counts, "__part")
+        .withColumn(name, (F.col("__rank") - 1 + F.col("__before")).cast("long")).drop("__part", "__rank", "__before")
+    )

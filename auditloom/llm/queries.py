@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import kernel_classifier, quality_rules
+from auditloom.llm import bin_packing, kernel_classifier, licence_digest, pivotal_mix, quality_rules, secret_automaton
 from auditloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +17,32 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.shard(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_automaton.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotal_mix.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op9_licence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_digest.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_kernel_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_bin_packing": op4_bin_packing,
+    "op5_secret_automaton": op5_secret_automaton,
+    "op7_pivotal_mix": op7_pivotal_mix,
+    "op9_licence_digest": op9_licence_digest,
     "op10_kernel_classifier": op10_kernel_classifier,
 }
 
