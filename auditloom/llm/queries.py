@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import bin_packing, kernel_classifier, licence_digest, pivotal_mix, quality_rules, secret_automaton
+from auditloom.llm import bin_packing, kernel_classifier, licence_digest, minhash_dedup, pivotal_mix, quality_rules, secret_automaton
 from auditloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op5_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_automaton.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80).drop("digest")
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_bin_packing": op4_bin_packing,
     "op5_secret_automaton": op5_secret_automaton,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_pivotal_mix": op7_pivotal_mix,
     "op9_licence_digest": op9_licence_digest,
     "op10_kernel_classifier": op10_kernel_classifier,
