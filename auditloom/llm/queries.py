@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import bin_packing, kernel_classifier, licence_digest, minhash_dedup, pivotal_mix, quality_rules, secret_automaton
+from auditloom.llm import bin_packing, fm_decontam, kernel_classifier, licence_digest, minhash_dedup, pivotal_mix, quality_rules, secret_automaton
 from auditloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_licence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest.scan(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op5_secret_automaton": op5_secret_automaton,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_pivotal_mix": op7_pivotal_mix,
+    "op8_fm_decontam": op8_fm_decontam,
     "op9_licence_digest": op9_licence_digest,
     "op10_kernel_classifier": op10_kernel_classifier,
 }
