@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import bin_packing, fm_decontam, kernel_classifier, licence_digest, minhash_dedup, pivotal_mix, quality_rules, secret_automaton, suffix_levels
+from auditloom.llm import bin_packing, fm_decontam, kernel_classifier, licence_digest, minhash_dedup, pii_bootstrap, pivotal_mix, quality_rules, secret_automaton, suffix_levels
 from auditloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -51,6 +55,7 @@ def op10_kernel_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_suffix_levels": op3_suffix_levels,
     "op4_bin_packing": op4_bin_packing,
     "op5_secret_automaton": op5_secret_automaton,
