@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,24 +110,29 @@ HITS = T.StructType([
 ])
 
 
+def phrase_blocks(benchmark: DataFrame, size: int) -> Iterator[Phrases]:
+    """The windows of the benchmark, in blocks of about BLOCK_BYTES of its text."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 + total // BLOCK_BYTES
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        phrases = Phrases.of([tuple(r) for r in block.collect()], size)
+        if len(phrases.lengths):
+            yield phrases
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """(doc_id, digest, items, spans): a row for each document and block of items that meet.
 
-    The benchmark passes in blocks of about BLOCK_BYTES, so that what is sent to the executors
-    doesn't grow with it; every block meets all documents.
+    The benchmark passes in blocks, so that what is sent to the executors doesn't grow with it;
+    every block meets all documents.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", "text").withColumn("digest", text_digest("text")[0])
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // BLOCK_BYTES
     out = spark.createDataFrame([], HITS)
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        phrases = Phrases.of([tuple(r) for r in block.collect()], size)
-        if not len(phrases.lengths):
-            continue
+    for phrases in phrase_blocks(benchmark, size):
         sent = spark.sparkContext.broadcast(phrases)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -177,7 +182,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs`` without any occurrence of a window, with their columns only."""
-    found = find_hits(docs, benchmark, size).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key")).distinct()
-    digest: Column = text_digest(docs["text"])[0]
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (digest == F.col("__key")), "left_anti")
+    """The rows of ``docs`` without any occurrence of a window, with their columns only.
+
+    Each block of the benchmark filters what the block before left: no text is shuffled.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    for phrases in phrase_blocks(benchmark, size):
+        sent = spark.sparkContext.broadcast(phrases)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text", SHARD_BYTES):
+                    _, spans = shard_hits(Texts.of(part.column("text")), sent.value)
+                    yield part.filter(pa.array([t not in spans for t in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import kernel_classifier
+from auditloom.llm import bin_packing, fm_decontam, kernel_classifier, minhash_dedup, pivotal_mix
 from auditloom.llm.common import store, table
 
 
@@ -16,8 +16,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kernel_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return minhash_dedup.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    return fm_decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target mix takes them."""
+    return pivotal_mix.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each document of the mix; copies of a document share its shard."""
+    return bin_packing.shard(docs)
+
+
 STAGES = [
     ("quality classifier", quality),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mix of sources", mix),
+    ("sharding", shard),
 ]
 
 #: The classifier learns and the mix draws at random: SQL can't express the rows of run().
