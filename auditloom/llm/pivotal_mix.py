@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import ranked_globally, store
+from auditloom.llm.common import ranked_globally, small_batches, store, text_digest
+from auditloom.llm.textarrays import mix as mix64
 
 #: Mass is counted in 1 / UNIT words, so that sums are exact.
 UNIT = 1 << 20
-#: Rows that meet in one group at most, on average in a leaf and always above the leaves.
-LEAF_ROWS = 4096
+#: Rows a leaf has on average, and groups whose open rows meet in one group of the next level.
+LEAF_ROWS = 256
 FAN_IN = 64
 
 
@@ -52,37 +54,46 @@ def source_targets(
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def closing(level: int, seed: int):
-    """A function that rounds one group of open rows.
+def closing(salt: int):
+    """A pass over partitions sorted by source and leaf that rounds the open rows of each group.
 
     Rows are paired one after another; moving mass up or down with the right odds keeps every
     row's expected mass and, exactly, the sum of all. A row closes at 0 or at its full size; one
-    row at most stays open.
+    row a group at most stays open. Only that row is carried along, so a group may have any size.
     """
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("order", "ascending"), ("size", "ascending"), ("mass", "ascending")])
-        size = (rows["size"].to_numpy() * UNIT).tolist()
-        mass = rows["mass"].to_numpy().tolist()
-        first = rows["order"][0].as_py() & (2**63 - 1)
-        draws = np.random.default_rng([seed, level, first, len(size)]).random(len(size)).tolist()
-        left = -1
-        for k in range(len(size)):
-            if mass[k] in (0, size[k]):
-                continue
-            if left < 0:
-                left = k
-                continue
-            up, down = min(size[left] - mass[left], mass[k]), min(mass[left], size[k] - mass[k])
-            move = up if draws[k] * (up + down) < down else -down
-            mass[left] += move
-            mass[k] -= move
-            if mass[left] in (0, size[left]):
-                left = -1 if mass[k] in (0, size[k]) else k
-        open_row = np.zeros(len(size), bool)
-        open_row[left:left + 1] = left >= 0
-        rows = rows.set_column(rows.schema.get_field_index("mass"), "mass", pa.array(mass, pa.int64()))
-        return rows.append_column("open", pa.array(open_row))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the open row of the group that the last batch ended in
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            size = (table["size"].to_numpy() * UNIT).tolist()
+            mass = table["mass"].to_numpy().tolist()
+            groups = list(zip(table["source"].to_pylist(), table["leaf"].to_pylist(), strict=True))
+            draws = ((mix64(table["order"].to_numpy().view(np.uint64) + np.uint64(salt)) >> np.uint64(11)) * 2.0**-53).tolist()
+            open_row = np.zeros(len(size), bool)
+            left = -1
+            for k in range(len(size)):
+                if left >= 0 and groups[left] != groups[k]:
+                    open_row[left], left = True, -1
+                if mass[k] in (0, size[k]):
+                    continue
+                if left < 0:
+                    left = k
+                    continue
+                up, down = min(size[left] - mass[left], mass[k]), min(mass[left], size[k] - mass[k])
+                move = up if draws[k] * (up + down) < down else -down
+                mass[left] += move
+                mass[k] -= move
+                if mass[left] in (0, size[left]):
+                    left = -1 if mass[k] in (0, size[k]) else k
+            table = table.set_column(table.schema.get_field_index("mass"), "mass", pa.array(mass, pa.int64()))
+            held = table.slice(left, 1).combine_chunks().to_batches()[0] if left >= 0 else None
+            table = table.append_column("open", pa.array(open_row))
+            if left >= 0:
+                table = table.filter(pa.array(np.arange(len(size)) != left))
+            yield from table.to_batches()
+        if held is not None:
+            yield from pa.Table.from_batches([held]).append_column("open", pa.array([True])).to_batches()
 
     return run
 
@@ -112,9 +123,12 @@ def mix(docs: DataFrame, seed: int = 1, keep: list[str] | None = None, **targets
         F.pmod("order", F.lit(leaves)).alias("leaf"),
     )
     schema = f"{todo._jdf.schema().toDDL()}, open boolean"
+    small_batches(docs.sparkSession)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done, level = [], 0
     while True:
-        step = store(todo.groupBy("source", "leaf").applyInArrow(closing(level, seed), schema))
+        dealt = todo.repartition(parts, "source", "leaf").sortWithinPartitions("source", "leaf", "order", "size", "mass")
+        step = store(dealt.mapInArrow(closing(seed * 1000 + level), schema))
         if leaves == 1:
             done.append(step)
             break
@@ -130,3 +144,19 @@ def mix(docs: DataFrame, seed: int = 1, keep: list[str] | None = None, **targets
         (F.col("whole") + F.when(F.col("size") > 0, F.round(part / F.col("size"))).otherwise(0)).cast("long").alias("copies"),
         *keep,
     )
+
+
+def mixed(docs: DataFrame, seed: int = 1, **targets) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns only.
+
+    Whole documents only: the one of each source that gives a part counts as its rounded copies.
+    """
+    digest = text_digest("text")[0]
+    drawn = mix(docs.withColumn("__key", digest), seed, ["__key"], **targets)
+    drawn = drawn.where("copies > 0").groupBy(F.col("doc_id").alias("__id"), "__key").agg(F.collect_list("copies").alias("__copies"))
+    columns = [docs[c] for c in docs.columns]
+    joined = docs.join(drawn, docs["doc_id"].eqNullSafe(F.col("__id")) & (digest == F.col("__key")))
+    # Equal rows share a list of copies: the n-th of them takes the n-th number.
+    turn = F.row_number().over(Window.partitionBy(F.coalesce("__id", F.lit(0)), F.col("__id").isNull(), "__key").orderBy("__id"))
+    times = F.coalesce(F.get("__copies", F.col("__turn") - 1), F.lit(0))
+    return joined.withColumn("__turn", turn).withColumn("__n", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*columns)
