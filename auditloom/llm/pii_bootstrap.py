@@ -126,7 +126,9 @@ def best_contexts(docs: DataFrame, spans: DataFrame, how: Bootstrap) -> DataFram
     graph = edges(F.concat(*KINDS), True).unionByName(edges(F.col("unseen"), False)).where("context <> ''")
     graph = store(graph.groupBy("context", "entity").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
     known = graph.groupBy("context").agg(F.count("*").alias("entities"), F.count_if("seed").alias("seeds"))
-    wanted = store(known.where((F.col("entities") >= how.support) & (F.col("seeds") >= 1)).select("context"))
+    # A context of seeds only reveals nothing and tells nothing about other entities.
+    useful = (F.col("entities") >= how.support) & (F.col("seeds") >= 1) & (F.col("seeds") < F.col("entities"))
+    wanted = store(known.where(useful).select("context"))
     totals = store(context_totals(docs, wanted))
     graph = store(graph.join(totals, "context"))
     entities = graph.groupBy("entity").agg(F.max("seed").cast("double").alias("score"))
