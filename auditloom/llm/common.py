@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm.textarrays import Texts
+from auditloom.session import shared_dir
 
 #: Bytes of one Arrow batch sent to Python, and of one slice that numpy works on. A single
 #: longer text makes a longer batch: texts are never cut.
@@ -33,11 +34,7 @@ def store(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame) -> str:
     """Write ``df`` below the shared folder and return its path."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 

@@ -34,7 +34,7 @@ def op5_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80).drop("digest")
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
