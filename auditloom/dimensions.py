@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
-
 # Severities from worst to mildest, gate/sort weight, score weight.
 SEVERITIES = [
     ("CRITICAL", 10, Decimal("15.0")),
@@ -35,22 +33,8 @@ TEXT_EXTENSIONS = [".py", ".pyi", ".toml", ".ini", ".cfg", ".yaml", ".yml", ".js
 # Parts of the lower-cased names of specification files.
 SPEC_NAMES = ["openapi", "swagger", "api-docs"]
 
-# Size limits in bytes.
-TEXT_LIMIT = 5_000_000
-SPEC_LIMIT = 10_000_000
+# Fixed value: bytes above which a file is reported as large.
 LARGE_FILE = 50_000_000
 
 # External tools whose reports are ingested.
 TOOLS = ["ruff", "mypy", "bandit", "pip-audit", "semgrep", "pytest"]
-
-
-def severity_dim(spark: SparkSession) -> DataFrame:
-    """Five rows: severity, sort_weight, score_weight."""
-    return spark.createDataFrame(
-        SEVERITIES, "severity string, sort_weight int, score_weight decimal(4,1)"
-    )
-
-
-def confidence_dim(spark: SparkSession) -> DataFrame:
-    """Three rows: confidence, certainty."""
-    return spark.createDataFrame(CONFIDENCES, "confidence string, certainty decimal(3,2)")

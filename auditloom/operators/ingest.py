@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.dimensions import SEVERITY_NAMES, TOOLS
 from auditloom.operators.findings import emit
 
-# How much of a report is used.
-MAX_ITEMS = 500
-MAX_DESCRIPTION = 500
-OUTPUT_TAIL = 1500
+# Fixed value: the return code of a tool that ran out of time.
 TIMED_OUT = 124
 
 LINT = "array<struct<code:string,message:string,filename:string,location:struct<row:int>>>"
@@ -31,14 +28,14 @@ def is_list() -> Column:
     return F.ltrim("output").startswith("[")
 
 
-def first_items(reports: DataFrame, items: Column) -> DataFrame:
-    """One row per report item, at most the first MAX_ITEMS of each report."""
-    return reports.select("repo", F.explode(F.slice(items, 1, MAX_ITEMS)).alias("item"))
+def report_items(reports: DataFrame, items: Column) -> DataFrame:
+    """One row per report item."""
+    return reports.select("repo", F.explode(items).alias("item"))
 
 
 def lint_findings(reports: DataFrame) -> DataFrame:
     """Items of a lint report; a malformed report yields nothing."""
-    items = first_items(of_tool(reports, "ruff").filter(is_list()), F.from_json("output", LINT)).select(
+    items = report_items(of_tool(reports, "ruff").filter(is_list()), F.from_json("output", LINT)).select(
         "repo", "item.code", "item.message", "item.filename", F.col("item.location.row").alias("row")
     )
     return emit(
@@ -49,7 +46,7 @@ def lint_findings(reports: DataFrame) -> DataFrame:
 
 def security_findings(reports: DataFrame) -> DataFrame:
     """Items of a security report; severities outside the known five count as MEDIUM."""
-    items = first_items(of_tool(reports, "bandit"), F.from_json("output", SECURITY)["results"]).select("repo", "item.*")
+    items = report_items(of_tool(reports, "bandit"), F.from_json("output", SECURITY)["results"]).select("repo", "item.*")
     given = F.upper("issue_severity")
     severity = F.when(given.isin(SEVERITY_NAMES), given).otherwise("MEDIUM")
     return emit(
@@ -69,7 +66,7 @@ def vulnerability_findings(reports: DataFrame) -> DataFrame:
     vulns = packages.select(
         "repo", F.coalesce("package.name", F.lit("unknown")).alias("name"), F.explode("package.vulns").alias("v")
     )
-    text = F.substring(F.coalesce("v.description", F.lit("")), 1, MAX_DESCRIPTION)
+    text = F.coalesce("v.description", F.lit(""))
     return emit(
         vulns, "DEP-VULN", title=F.concat(F.lit("Dépendance vulnérable: "), F.col("name")),
         detail=F.concat(F.coalesce("v.id", F.lit("")), F.lit(": "), text), file=None, source="pip-audit",
@@ -77,12 +74,11 @@ def vulnerability_findings(reports: DataFrame) -> DataFrame:
 
 
 def test_findings(reports: DataFrame) -> DataFrame:
-    """A failed test run, with the end of its error text or else of its output."""
+    """A failed test run, with its error text or else its output."""
     error = F.nullif("error", F.lit("")) if "error" in reports.columns else F.lit(None).cast("string")
     text = F.coalesce(error, F.col("output"), F.lit(""))
     failed = reports.filter((F.col("tool") == "pytest") & (F.col("returncode") != 0))
-    tail = F.when(F.length(text) > OUTPUT_TAIL, F.right(text, F.lit(OUTPUT_TAIL))).otherwise(text)
-    return emit(failed, "TEST-FAIL", detail=tail, file=None, source="pytest")
+    return emit(failed, "TEST-FAIL", detail=text, file=None, source="pytest")
 
 
 def timeout_findings(reports: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.dimensions import TEXT_LIMIT
 from auditloom.functions import text
 
 # Words whose presence in lower-cased text sets a feature flag.
@@ -76,15 +75,15 @@ def first_word(path: Column, content: Column, path_words: list[str], words: list
 
 
 def may_hold_secrets() -> Column:
-    """Files the secret scan looks at: texts of bounded size, tests only if dotenv files."""
-    return F.col("is_text") & (F.col("size") <= TEXT_LIMIT) & (~F.col("is_test") | F.col("is_dotenv"))
+    """Files the secret scan looks at: texts, tests only if dotenv files."""
+    return F.col("is_text") & (~F.col("is_test") | F.col("is_dotenv"))
 
 
 def mark_files(files: DataFrame) -> DataFrame:
     """Add what the file rules and the stack detection need to know about the content."""
     if "secrets" in files.columns:
         return files
-    content = F.when(F.col("size") <= TEXT_LIMIT, F.col("content")).otherwise("")
+    content = F.coalesce("content", F.lit(""))
     low_text = F.when(F.col("is_text"), F.lower(content)).otherwise("")
     flags = word_flags(low_text, FLAG_WORDS)
     flags |= {flag: low_text.rlike("(?U)" + pattern) for flag, pattern in FLAG_PATTERNS.items()}

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from auditloom.operators import text_rules
 from auditloom.operators.findings import emit
 from auditloom.operators.rules_catalog import RULES
-from auditloom.functions.text import SECRET_PATTERNS
 from auditloom.dimensions import DEFAULT_SOURCE
-from auditloom.plans.expected import literal
+from auditloom.plans.expected import HARDCODED, SECRET_SIGNATURES, literal
 from auditloom.session import spread
 from auditloom.sources.files import files_from_table
 from auditloom.sources.lines import to_lines
@@ -92,13 +91,13 @@ def secret_rows_sql(files: str) -> str:
     return " UNION ALL ".join(
         f"SELECT repo, file, {literal(label)} AS label FROM ({files}) "
         f"WHERE regexp_matches(text, {literal(pattern) if exact else any_case(pattern)})"
-        for label, pattern, exact in SECRET_PATTERNS
+        for label, pattern, exact in SECRET_SIGNATURES
     )
 
 
 DOC_FILES_SQL = "SELECT source AS repo, doc_id || '.py' AS file, text FROM documents"
 
-HARDCODED_SQL = r"""(password|secret|api[_-]?key|token)\s*=\s*["'][^"']{8,}["']"""
+HARDCODED_SQL = HARDCODED.removeprefix("(?i)")
 
 DOC_FINDINGS_SQL = " UNION ALL ".join([
     finding_select("SEC-SECRET-SCAN", secret_rows_sql(DOC_FILES_SQL), title="label"),

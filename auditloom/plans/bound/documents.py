@@ -103,8 +103,8 @@ def tool_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bind("i1_lint_findings", f"""
     SELECT {BLOCK_SQL} AS repo, 'Ruff ' || event_type AS title, 'u' || user_id || '.py' AS file, {ROW_SQL} AS line,
            'RUFF' AS rule_id, 'Ruff' AS source, count(*) AS n
-    FROM (SELECT *, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS pos FROM events)
-    WHERE pos <= 500 GROUP BY ALL
+    FROM events
+    GROUP BY ALL
 """)
 def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ingest.lint_findings(tool_runs(spark, sf_dir))
@@ -115,8 +115,7 @@ def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT {BLOCK_SQL} AS repo, CASE WHEN value < 2 THEN 'LOW' WHEN value < 5 THEN 'MEDIUM' WHEN value < 20 THEN 'HIGH'
            ELSE 'MEDIUM' END AS severity, event_type AS title, props AS detail, 'u' || user_id || '.py' AS file,
            {ROW_SQL} AS line, 'B' || event_id AS rule_id, 'Security' AS category, 'Bandit' AS source
-    FROM (SELECT *, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS pos FROM events)
-    WHERE pos <= 500
+    FROM events
 """)
 def security_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.security_findings(tool_runs(spark, sf_dir)).select(
@@ -126,7 +125,7 @@ def security_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @bind("i3_vulnerability_findings", f"""
     SELECT {BLOCK_SQL} AS repo, 'HIGH' AS severity, 'Dépendance vulnérable: pkg' || user_id AS title,
-           'V' || event_id || ': ' || left(repeat(props, 60), 500) AS detail, 'DEP-VULN' AS rule_id
+           'V' || event_id || ': ' || repeat(props, 60) AS detail, 'DEP-VULN' AS rule_id
     FROM events WHERE event_type = 'error'
 """)
 def vulnerability_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +133,7 @@ def vulnerability_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @bind("i4_failed_test_runs", f"""
-    SELECT repo, right(output, 1500) AS detail, 'TEST-FAIL' AS rule_id FROM (
+    SELECT repo, output AS detail, 'TEST-FAIL' AS rule_id FROM (
         SELECT {BLOCK_SQL} AS repo, '[' || string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) || ']' AS output
         FROM events WHERE event_type = 'error' GROUP BY {BLOCK_SQL})
     WHERE CAST(substr(repo, 2) AS BIGINT) % 2 <> 0

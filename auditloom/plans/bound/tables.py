@@ -180,7 +180,7 @@ STATEMENTS = ["", "  SELECT  a\n FROM t", " insert   into t", "; Update t SET a
 STATEMENT_SQL = "CASE doc_id % 6 " + " ".join(
     f"WHEN {i} THEN " + literal(s).replace("\n", "' || chr(10) || '") for i, s in enumerate(STATEMENTS)
 ) + " END"
-FOLDED_SQL = rf"regexp_replace(lower(split_part(text, chr(10), 1) || {STATEMENT_SQL}), '\s+', ' ', 'g')"
+FOLDED_SQL = rf"regexp_replace(lower(text || {STATEMENT_SQL}), '\s+', ' ', 'g')"
 
 
 @bind("t7_looks_like_sql", rf"""
@@ -189,9 +189,9 @@ FOLDED_SQL = rf"regexp_replace(lower(split_part(text, chr(10), 1) || {STATEMENT_
     FROM (SELECT doc_id, {FOLDED_SQL} AS s FROM documents)
 """)
 def sql_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each document, with a statement or something like it appended."""
+    """Each document, with a statement or something like it appended."""
     added = F.element_at(F.array(*map(F.lit, STATEMENTS)), (F.col("doc_id") % 6 + 1).cast("int"))
-    seeded = F.concat(F.substring_index("text", "\n", 1), added)
+    seeded = F.concat("text", added)
     return table(spark, sf_dir, "documents").select("doc_id", text.looks_like_sql(seeded).alias("is_sql"))
 
 

@@ -14,17 +14,17 @@ PATTERN = "SQL statement with potential injection pattern: "
 # (template, rule, line, severity, confidence, detail)
 EXPECTED = [
     (1, "PY-SYNTAX", 1, "CRITICAL", "MEDIUM", "'(' was never closed"),
-    (2, "SEC-EVAL", 2, "HIGH", "MEDIUM", "eval() détecté."),
-    (3, "SEC-HARDCODED-SECRET", 2, "HIGH", "MEDIUM",
+    (2, "SEC-EVAL", 3, "HIGH", "MEDIUM", "eval() détecté."),
+    (3, "SEC-HARDCODED-SECRET", 1, "HIGH", "MEDIUM",
      "Une valeur sensible semble assignée directement dans le code."),
     (3, "SEC-SECRET-SCAN", None, "CRITICAL", "MEDIUM", SECRET),
     (3, "DATAFLOW-PRINT-LEAK", 3, "MEDIUM", "MEDIUM",
-     "Variable 'password' appears to contain sensitive data and is being printed."),
-    (3, "DATAFLOW-LOGGING-LEAK", 4, "HIGH", "MEDIUM",
-     "Variable 'password' appears to contain sensitive data and is being passed to logging function."),
-    (4, "PY-UNTYPED", 2, "LOW", "MEDIUM", "`unsafe_query` contient des paramètres sans annotation: user_input."),
+     "Variable 'api_token' appears to contain sensitive data and is being printed."),
+    (3, "DATAFLOW-LOGGING-LEAK", 2, "HIGH", "MEDIUM",
+     "Variable 'api_token' appears to contain sensitive data and is being passed to logging function."),
+    (4, "PY-UNTYPED", 1, "LOW", "MEDIUM", "`dropped` contient des paramètres sans annotation: shop."),
     (4, "SQL-INJECTION-PATTERN", 3, "HIGH", "MEDIUM",
-     PATTERN + "    query = f\"SELECT * FROM users WHERE name = '{user_input}'\"..."),
+     PATTERN + "    return f\"DELETE FROM stock WHERE shop = '{wanted}'\"..."),
     (4, "SQL-INJECTION-FSTRING", 3, "HIGH", "MEDIUM", FSTRING),
     (4, "SQL-INJECTION-FSTRING-KEYWORDS", 3, "HIGH", "MEDIUM", KEYWORDS),
     (5, "ASYNC-BLOCKING-IO", 3, "MEDIUM", "MEDIUM", "Blocking call 'time.sleep' used in an async function."),
@@ -32,12 +32,12 @@ EXPECTED = [
      "Le conteneur pourrait s'exécuter avec un utilisateur privilégié."),
     (6, "DOCKER-REMOTE-ADD", None, "LOW", "MEDIUM",
      "Le téléchargement direct pendant le build peut réduire la reproductibilité."),
-    (7, "PY-UNTYPED", 1, "LOW", "MEDIUM", "`values` contient des paramètres sans annotation: items, cache."),
-    (8, "PY-UNTYPED", 1, "LOW", "MEDIUM", "`double` contient des paramètres sans annotation: items."),
-    (9, "PY-UNTYPED", 1, "LOW", "MEDIUM", "`query_all` contient des paramètres sans annotation: db, items."),
-    (9, "PERF-N-PLUS-ONE", 3, "MEDIUM", "HIGH",
+    (7, "PY-UNTYPED", 1, "LOW", "MEDIUM", "`labels` contient des paramètres sans annotation: codes, names."),
+    (8, "PY-UNTYPED", 1, "LOW", "MEDIUM", "`evens` contient des paramètres sans annotation: numbers."),
+    (9, "PY-UNTYPED", 1, "LOW", "MEDIUM", "`stock_of` contient des paramètres sans annotation: db, shops."),
+    (9, "PERF-N-PLUS-ONE", 4, "MEDIUM", "HIGH",
      "L'appel base de données `db.query()` est exécuté dans une boucle."),
-    (11, "PY-UNTYPED", 1, "LOW", "MEDIUM", "`message` contient des paramètres sans annotation: name."),
+    (11, "PY-UNTYPED", 1, "LOW", "MEDIUM", "`greeting` contient des paramètres sans annotation: guest."),
     (12, "SEC-SHELL", 2, "HIGH", "MEDIUM",
      "Risque d'injection de commande si des entrées non fiables influencent la commande."),
     (13, "PROD-DEBUG", 1, "HIGH", "MEDIUM", "FastAPI est instancié avec `debug=True`."),
@@ -116,13 +116,64 @@ def expected_table(rules: list[str] | None = None) -> str:
     return values(rows, "e(template, rule_id, line, severity, confidence, detail)")
 
 
+# Lines of each program, after which the document's own text begins.
+PROGRAM_LINES = [
+    5, 1, 3, 3, 3, 3, 2, 3, 6, 5, 11, 2, 2, 2, 1, 83, 1, 1, 3, 2, 2, 3, 2, 4, 1, 17, 6, 2, 11, 2, 1, 2, 3,
+]
+
+# The signatures of a secret, as SQL patterns: label, pattern, whether case matters.
+SECRET_SIGNATURES = [
+    ("Clé privée", "-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----", True),
+    ("Clé AWS potentielle", r"aws_access_key_id\s*=\s*[A-Z0-9]{16,}", False),
+    ("Secret AWS potentiel", r"aws_secret_access_key\s*=\s*[A-Za-z0-9/+]{40,}", False),
+    ("Token GitHub potentiel", "github_pat_[A-Za-z0-9_]{20,}", False),
+    ("Token GitHub (nouveau format)", "ghp_[A-Za-z0-9_]{36,}", False),
+    ("Mot de passe codé en dur", r"password\s*=\s*[\"'][^\"']{8,}[\"']", False),
+    ("Secret codé en dur", r"secret\s*=\s*[\"'][^\"']{8,}[\"']", False),
+    ("Clé API codée en dur", r"api[_-]?key\s*=\s*[\"'][^\"']{8,}[\"']", False),
+    ("Token codé en dur", r"token\s*=\s*[\"'][^\"']{8,}[\"']", False),
+]
+HARDCODED = r"(?i)(password|secret|api[_-]?key|token)\s*=\s*[\"'][^\"']{8,}[\"']"
+
+
+def text_findings_sql(rules: list[str] | None) -> list[str]:
+    """Findings of the documents' own text, which follows each program as comment lines."""
+    out = []
+    if rules is None or "SEC-HARDCODED-SECRET" in rules:
+        starts = " ".join(f"WHEN {t} THEN {n}" for t, n in enumerate(PROGRAM_LINES))
+        out.append(f"""
+            SELECT doc_id, source, 'SEC-HARDCODED-SECRET' AS rule_id, 'HIGH' AS severity, 'MEDIUM' AS confidence,
+                   CASE doc_id % 33 {starts} END + nth AS line,
+                   'Une valeur sensible semble assignée directement dans le code.' AS detail
+            FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS written,
+                         generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents)
+            WHERE doc_id % 33 NOT IN (6, 32) AND regexp_matches(written, {literal(HARDCODED)})""")
+    if rules is None or "SEC-SECRET-SCAN" in rules:
+        for label, pattern, exact in SECRET_SIGNATURES:
+            # A program that holds the same kind of secret has that finding already.
+            known = {"Clé privée": "32", "Token codé en dur": "3"}.get(label)
+            out.append(f"""
+                SELECT doc_id, source, 'SEC-SECRET-SCAN', 'CRITICAL', 'MEDIUM', NULL, {literal(SECRET)} FROM documents
+                WHERE doc_id % 33 NOT IN ({', '.join(filter(None, ['6', known]))})
+                  AND regexp_matches(text, {literal(pattern if exact else '(?i)' + pattern)})""")
+    return out
+
+
+def labelled_sql(rules: list[str] | None = None) -> str:
+    """(doc_id, source, rule_id, severity, confidence, line, detail) of programs and texts."""
+    programs = f"""
+        SELECT d.doc_id, d.source, e.rule_id, e.severity, e.confidence, e.line, e.detail
+        FROM documents d JOIN {expected_table(rules)} ON d.doc_id % 33 = e.template"""
+    return " UNION ALL ".join([programs, *text_findings_sql(rules)])
+
+
 def findings_sql(*rules: str) -> str:
     """The oracle of a rule query on the seeded corpus."""
     return f"""
-        SELECT d.source AS repo, e.rule_id, e.severity, e.confidence,
-               CASE WHEN e.rule_id = 'FASTAPI-MISSING-DEP' THEN NULL ELSE {PATH_SQL} END AS file,
-               CAST(e.line AS INTEGER) AS line, replace(e.detail, 'DOCID', CAST(d.doc_id AS VARCHAR)) AS detail
-        FROM documents d JOIN {expected_table(list(rules))} ON d.doc_id % 33 = e.template
+        SELECT source AS repo, rule_id, severity, confidence,
+               CASE WHEN rule_id = 'FASTAPI-MISSING-DEP' THEN NULL ELSE {PATH_SQL} END AS file,
+               CAST(line AS INTEGER) AS line, replace(detail, 'DOCID', CAST(doc_id AS VARCHAR)) AS detail
+        FROM ({labelled_sql(list(rules))})
     """
 
 

@@ -22,7 +22,7 @@ from auditloom.operators import (
 from auditloom.operators.marks import mark_files, marked_only
 from auditloom.session import cut
 from auditloom.sources.facts import extract_facts, imports, store_facts
-from auditloom.sources.files import heuristic_scope, read_text, select_python
+from auditloom.sources.files import heuristic_scope, select_python
 from auditloom.sources.lines import to_lines
 from auditloom.sources.specs import parse_specs
 
@@ -47,7 +47,7 @@ class Tables:
     @cached_property
     def lines(self) -> DataFrame:
         """Marked lines of all Python files."""
-        return cut(marked_only(to_lines(select_python(read_text(self.all_files)))))
+        return cut(marked_only(to_lines(select_python(self.all_files))))
 
     @cached_property
     def facts(self) -> DataFrame:

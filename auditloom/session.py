@@ -57,13 +57,15 @@ def cut_counting(df: DataFrame, counted: Column) -> tuple[DataFrame, int]:
     return stored, seen.get["n"]
 
 
+#: Session setting: partitions to deal CPU-heavy scans over; unset, a scan keeps its splits.
+SPREAD = "spark.auditloom.partitions"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer splits than cores enough partitions for CPU-heavy work.
+    """Deal rows over as many partitions as the session's SPREAD setting says, if it is set.
 
-    A large table already arrives in many splits and is returned untouched, so this
-    never shuffles text at scale.
+    For small tables in few splits on a machine with many cores. A cluster leaves the
+    setting alone and bounds its splits by spark.sql.files.maxPartitionBytes.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, *keys) if keys else df.repartition(wanted)
+    wanted = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(wanted), *keys) if wanted else df

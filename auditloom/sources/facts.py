@@ -2,7 +2,7 @@
 
 This is the only place where Python code touches file contents. It knows nothing about
 rules: it turns a file into a table of nodes, and every rule is a DataFrame plan over
-that table. A file is at most `TEXT_LIMIT` bytes, so one file's facts are bounded, and
+that table. One file's facts are bounded by the file, and
 they are handed to Spark in small batches.
 """
 
@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from auditloom.dimensions import TEXT_LIMIT
 from auditloom.schemas import FACTS
 from auditloom.session import shared_dir, spread
 
@@ -49,7 +48,7 @@ RULE_KINDS = [
 def extract_facts(files: DataFrame, kinds: list[str] | None = RULE_KINDS) -> DataFrame:
     """Facts of every Python file of ``files``; ``kinds=None`` keeps every node."""
     readable = files.filter(
-        F.col("is_py") & (F.col("size") <= TEXT_LIMIT) & (F.col("content") != "")
+        F.col("is_py") & (F.col("content") != "")
     ).select("repo", "path", "content")
     wanted = None if kinds is None else frozenset(kinds)
     schema = to_arrow_schema(FACTS)
@@ -86,11 +85,30 @@ def store_facts(facts: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def to_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    arrays = [pa.array([r.get(f.name) for r in rows], type=f.type) for f in schema]
+    arrays = [pa.array([encodable(r.get(f.name)) for r in rows], type=f.type) for f in schema]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def encodable(value: object) -> object:
+    """The value with lone surrogates, which no UTF-8 holds, as question marks."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-8", "replace").decode("utf-8")
+    if isinstance(value, dict):
+        return {k: encodable(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return type(value)(encodable(v) for v in value)
+    return value
+
+
 def file_facts(source: str, wanted: frozenset[str] | None) -> Iterator[dict]:
+    """Rows for one file; any failure of parsing or reading the tree is itself a fact."""
+    try:
+        yield from tree_facts(source, wanted)
+    except Exception as failure:  # one odd file must not end the job for all others
+        yield failure_row(f"{type(failure).__name__}: {failure}", None)
+
+
+def tree_facts(source: str, wanted: frozenset[str] | None) -> Iterator[dict]:
     """Rows for one file; any parse failure is itself a fact."""
     try:
         tree = ast.parse(source)
@@ -210,7 +228,15 @@ def constant(node: ast.AST) -> tuple[str, str | None, str | None]:
     """(kind, type, value) of an argument; type and value only for constants."""
     if not isinstance(node, ast.Constant):
         return type(node).__name__, None, None
-    return "Constant", type(node.value).__name__, str(node.value)
+    return "Constant", type(node.value).__name__, printed(node.value)
+
+
+def printed(value: object) -> str:
+    """A constant as text; integers beyond Python's limit for decimal digits as hexadecimal."""
+    try:
+        return str(value)
+    except ValueError:
+        return hex(value)
 
 
 def size_of(node: ast.AST | None) -> int | None:
@@ -226,7 +252,7 @@ def size_of(node: ast.AST | None) -> int | None:
 def unparse(node: ast.AST | list) -> str | None:
     try:
         return ast.unparse(node)
-    except (RecursionError, MemoryError):
+    except (RecursionError, MemoryError, ValueError):
         return None
 
 

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.dimensions import SKIP_DIRS, SPEC_LIMIT, SPEC_NAMES, TEXT_LIMIT
+from auditloom.dimensions import SKIP_DIRS, SPEC_NAMES
 from auditloom.functions import paths
 from auditloom.functions.text import contains_any
 from auditloom.schemas import carried
@@ -35,8 +35,8 @@ def scan_files(
     With ``repo`` the whole tree is one repository; without it every first-level
     directory below ``base`` is one. The built-in file sources hide names that start with
     a dot or an underscore, which an audit must see, so the tree is listed by a job of its
-    own. Contents are read only of files some rule reads, and only up to the largest limit
-    any rule has; every other file costs a directory entry.
+    own. Contents are read only of files some rule reads; every other file costs a
+    directory entry.
     """
     entry = list_tree(spark, base, skip_dirs, keep_first=repo is None).select(F.col("path").alias("inside"), "size")
     if repo is None:
@@ -47,9 +47,7 @@ def scan_files(
     else:
         located = entry.select(F.lit(repo).alias("repo"), F.col("inside").alias("path"), "inside", "size")
     name = paths.base_name(F.col("path"))
-    read = (F.col("size") <= SPEC_LIMIT) & (
-        paths.is_text(name) | (F.lower(name) == "dockerfile") | contains_any(F.lower(name), SPEC_NAMES)
-    )
+    read = paths.is_text(name) | (F.lower(name) == "dockerfile") | contains_any(F.lower(name), SPEC_NAMES)
     total = located.agg(F.sum(F.when(read, F.col("size"))).alias("n")).head()["n"] or 0
     partitions = max(spark.sparkContext.defaultParallelism, total // BYTES_PER_PARTITION)
     readable = located.withColumn("wanted", read).repartition(int(partitions))
@@ -85,13 +83,18 @@ def list_tree(
 
 
 def list_directories(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One level below each directory; links to directories are not followed."""
+    """One level below each directory; links to directories are not followed, and a directory
+    that can't be read has no entries."""
     system, root = pa_fs.FileSystem.from_uri(base)
     is_local = isinstance(system, pa_fs.LocalFileSystem)
     for batch in batches:
         for inside in batch.column(0).to_pylist():
             rows = []
-            for info in system.get_file_info(pa_fs.FileSelector(f"{root}/{inside}")):
+            try:
+                infos = system.get_file_info(pa_fs.FileSelector(f"{root}/{inside}"))
+            except OSError:
+                infos = []
+            for info in infos:
                 is_dir = info.type == pa_fs.FileType.Directory
                 if not (is_dir and is_local and os.path.islink(info.path)):
                     rows.append((f"{inside}/{info.base_name}".lstrip("/"), info.size or 0, is_dir))
@@ -159,8 +162,8 @@ def files_from_table(table: DataFrame, repo: Column, path: Column, content: Colu
     return describe(columns.withColumn("size", F.octet_length("content")))
 
 
-def read_text(files: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
-    """Blank the content of files above the limit, so no rule sees it."""
+def read_text(files: DataFrame, limit: int) -> DataFrame:
+    """Blank the content of files above a limit the caller chooses, so no rule sees it."""
     return files.withColumn("content", F.when(F.col("size") <= limit, F.col("content")).otherwise(""))
 
 

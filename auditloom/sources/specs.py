@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.dimensions import SPEC_LIMIT, SPEC_NAMES
+from auditloom.dimensions import SPEC_NAMES
 from auditloom.functions.text import contains_any
 from auditloom.session import spread
 
@@ -29,9 +29,9 @@ def parse_specs(files: DataFrame) -> DataFrame:
     """(repo, path, name, spec, parsed): ``spec`` is null where neither format fits.
 
     JSON is parsed by Spark. Only texts that are not JSON go through the YAML reader,
-    a vectorised function that returns JSON text. Empty and oversized files drop out.
+    a vectorised function that returns JSON text. Empty files drop out.
     """
-    readable = select_specs(files).filter((F.col("content") != "") & (F.col("size") <= SPEC_LIMIT))
+    readable = select_specs(files).filter(F.col("content") != "")
     tried = spread(readable.select("repo", "path", "name", "content")).withColumn("as_json", F.try_parse_json("content"))
     from_yaml = F.try_parse_json(yaml_to_json()(F.when(F.col("as_json").isNull(), F.col("content"))))
     spec = F.coalesce("as_json", from_yaml)
@@ -51,10 +51,8 @@ def yaml_to_json():
 
 
 def convert_one(text: str) -> str | None:
-    try:
-        import yaml
-    except ImportError:
-        return None
+    import yaml  # a worker without it must fail, not call every YAML file invalid
+
     try:
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         return json.dumps(string_keys(yaml.load(text, loader)), default=str)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import text_rules
 from auditloom.schemas import DEDUP_KEY
-from auditloom.sources.files import read_text
 
 
 def once_per_window(rows: DataFrame, window: str, *key: str | Column) -> DataFrame:
@@ -38,7 +37,7 @@ def stream_audit(arriving: DataFrame, window: str = "1 hour", lateness: str = "2
     """
     timed = arriving.withWatermark("arrived", lateness)
     changed = once_per_window(timed, window, "repo", "path", F.sha2("content", 256).alias("version"))
-    found = once_per_window(text_rules.text_findings(read_text(changed)), window, *DEDUP_KEY)
+    found = once_per_window(text_rules.text_findings(changed), window, *DEDUP_KEY)
     counts = found.groupBy(F.window("arrived", window).alias("window"), "repo", "severity").agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("window_start"), "repo", "severity", "n")
 

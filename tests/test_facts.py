@@ -105,3 +105,20 @@ def test_stored_facts_are_read_by_kind(spark, make_files, tmp_path):
     plan = facts.filter("kind = 'Call'").select("name")._jdf.queryExecution().explainString(
         facts.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "EqualTo(kind,Call)" in plan and "ReadSchema: struct<kind:string,name:string>" in plan
+
+
+POISON = [
+    "f(x=0x" + "f" * 5000 + ")\n",
+    "for i in r:\n    y = z + 0x" + "f" * 5000 + "\n",
+    "while 0x" + "f" * 5000 + ":\n    y = g(1)\n",
+    'f(a="\\udc80")\n',
+    'x = f"\\ud800{a}"\n',
+]
+
+
+@pytest.mark.parametrize("source", POISON)
+def test_odd_constants_do_not_end_the_job(spark, make_files, source):
+    files = make_files({("r", "odd.py"): source, ("r", "good.py"): "eval(1)\n"})
+    rows = extract_facts(files, None).collect()
+    assert any(r["path"] == "good.py" and r["name"] == "eval" for r in rows)
+    assert any(r["path"] == "odd.py" for r in rows)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.dimensions import SKIP_DIRS, TEXT_LIMIT
+from auditloom.dimensions import SKIP_DIRS
 from auditloom.functions import paths, text
 from auditloom.operators import text_rules
 from auditloom.sources.files import describe, read_text, scan_files
@@ -56,8 +56,8 @@ def test_lines_equal_splitlines(make_files, spark):
 
 
 def test_text_limit(spark):
-    rows = [("r", "a.py", TEXT_LIMIT, "x"), ("r", "b.py", TEXT_LIMIT + 1, "x")]
-    files = read_text(describe(spark.createDataFrame(rows, "repo string, path string, size long, content string")))
+    rows = [("r", "a.py", 100, "x"), ("r", "b.py", 101, "x")]
+    files = read_text(describe(spark.createDataFrame(rows, "repo string, path string, size long, content string")), limit=100)
     assert {r["path"]: r["content"] for r in files.collect()} == {"a.py": "x", "b.py": ""}
 
 
@@ -102,3 +102,13 @@ def test_specifications_in_both_formats(make_files):
     })
     got = {r["path"]: r["parsed"] for r in parse_specs(files).collect()}
     assert got == {"openapi.json": True, "my-Swagger.yaml": True, "API-DOCS": False}
+
+
+def test_large_texts_and_specifications_are_read(spark, make_files):
+    from auditloom.plans.audit import audit
+
+    source = "# " + "x" * 6_000_000 + "\neval(code)\n"
+    spec = '{"openapi": "3.1.0", "paths": {"/a": {"get": {"summary": "' + "y" * 12_000_000 + '"}}}}'
+    found = audit(make_files({("r", "big.py"): source, ("r", "openapi.json"): spec}), deep=True).findings
+    rules = {r["rule_id"] for r in found.collect()}
+    assert {"SEC-EVAL", "OPENAPI-MISSING-DESCRIPTION", "OPENAPI-MISSING-RESPONSE"} <= rules
