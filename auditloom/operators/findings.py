@@ -170,20 +170,16 @@ def dedup(findings: DataFrame) -> DataFrame:
 def translate(findings: DataFrame, columns: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """Replace known texts through dictionaries; unknown texts stay.
 
-    The dictionaries are fixed and small, so each is a broadcast lookup.
+    The dictionaries are fixed and small, so each is a literal map and no join.
     """
     chosen = columns or {
         "category": CATEGORIES, "title": TEXTS, "detail": TEXTS, "recommendation": TEXTS,
     }
-    spark = findings.sparkSession
-    out = findings
-    for name, words in chosen.items():
-        table = spark.createDataFrame(list(words.items()), "known string, label string")
-        out = (
-            out.join(F.broadcast(table), F.col(name) == F.col("known"), "left")
-            .withColumn(name, F.coalesce("label", name)).drop("known", "label")
-        )
-    return out.select(*findings.columns)
+    labels = {
+        name: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.col(name)), F.col(name))
+        for name, words in chosen.items() if words
+    }
+    return findings.withColumns(labels)
 
 
 def report_order() -> list[Column]:
@@ -233,7 +229,7 @@ def top_per_group(
     )
 
 
-def head(findings: DataFrame, k: int = 500) -> DataFrame:
+def head(findings: DataFrame, k: int) -> DataFrame:
     """The first k findings of each repository in report order."""
     return top_per_group(findings, ["repo"], report_order(), k)
 

@@ -92,12 +92,14 @@ def to_sarif(findings: DataFrame, size: int = CHUNK) -> DataFrame:
 def to_report(
     findings: DataFrame, scores: DataFrame, features: DataFrame | None = None, metrics: DataFrame | None = None,
     sections: dict[str, DataFrame] | None = None, mode: str = "standard", size: int = CHUNK,
+    tools: DataFrame | None = None,
 ) -> DataFrame:
     """(repo, chunk, json): one nested report per repository, in chunks of findings.
 
     ``features`` and ``metrics`` are wide tables with one row per repository and become
     maps; each of ``sections`` does the same under its own name and stays null for a
-    family that did not run. A repository without findings has one chunk.
+    family that did not run; ``tools`` has a row for each known tool and becomes a list. A
+    repository without findings has one chunk.
     """
     finding = F.struct(order_key().alias("ord"), F.struct(*[
         c for c in findings.columns if c not in ("repo",)
@@ -113,6 +115,11 @@ def to_report(
         if table is not None:
             out = out.join(as_map(table, name), "repo", "left")
             fields.append(F.col(name))
+    if tools is not None:
+        columns = [c for c in tools.columns if c != "repo"]
+        listed = tools.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("tools"))
+        out = out.join(listed, "repo", "left")
+        fields.append(F.col("tools"))
     fields += [
         F.coalesce("findings", F.array().cast(lists.schema["findings"].dataType)).alias("findings"),
         F.col("score"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxx").alias("generated_at"),
@@ -130,8 +137,9 @@ def as_map(table: DataFrame, name: str) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """One JSON document per line, in a directory per repository."""
-    documents.select("repo", "json").write.mode("overwrite").partitionBy("repo").text(path)
+    """(repo, chunk, json) as Parquet in the order of repositories: few files, quick to look one up in."""
+    documents.select("repo", "chunk", "json").repartitionByRange("repo", "chunk").sortWithinPartitions(
+        "repo", "chunk").write.mode("overwrite").parquet(path)
 
 
 def write_findings(findings: DataFrame, path: str) -> None:

@@ -67,9 +67,9 @@ def dep_edges(facts: DataFrame) -> DataFrame:
 def dep_graph(routes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per function of the dependency graph: routes, and others that only inject.
 
-    The neighbours stay in the edge table; the node says how many it has.
+    ``dependencies`` names, in order, what the function injects.
     """
-    degree = edges.groupBy("repo", "function").agg(F.count("*").alias("n_dependencies"))
+    degree = edges.groupBy("repo", "function").agg(F.array_sort(F.collect_set("dependency")).alias("dependencies"))
     place = F.struct("path", "line", "method", "protected")
     route_nodes = routes.groupBy("repo", "function").agg(F.min(place).alias("r")).select(
         "repo", "function", F.lit("route").alias("type"), "r.method", F.col("r.path").alias("file"),
@@ -80,7 +80,7 @@ def dep_graph(routes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     nodes = route_nodes.unionByName(others, allowMissingColumns=True)
     return nodes.join(degree, ["repo", "function"], "left").withColumn(
-        "n_dependencies", F.coalesce("n_dependencies", F.lit(0))
+        "dependencies", F.coalesce("dependencies", F.array().cast("array<string>"))
     )
 
 

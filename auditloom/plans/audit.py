@@ -13,7 +13,7 @@ from auditloom.plans.registry import (
     FAMILY_MODES, RULE_SETS, ExtraRule, Tables, chosen_rules, family_gates, open_gates,
 )
 from auditloom.schemas import FINDING_COLUMNS
-from auditloom.session import cut
+from auditloom.session import stored
 
 
 def raw_findings(
@@ -42,6 +42,7 @@ class Audit:
     tables: Tables
     modes: set[str]
     findings: DataFrame
+    tool_reports: DataFrame | None = None
 
     @property
     def scores(self) -> DataFrame:
@@ -78,9 +79,13 @@ class Audit:
         """(repo, chunk, json)."""
         return reports.to_report(
             self.findings, self.scores, features=self.tables.features.drop("has_sql"), metrics=self.metrics,
-            sections=self.sections(), mode="deep" if "deep" in self.modes else "standard",
+            sections=self.sections(), mode="deep" if "deep" in self.modes else "standard", tools=self.tools(),
         )
 
+    def tools(self) -> DataFrame | None:
+        """(repo, tool, available, returncode, note), if tool reports were given."""
+        return None if self.tool_reports is None else ingest.tool_summary(self.tables.files, self.tool_reports)
+
     def sarif(self) -> DataFrame:
         """(repo, chunk, json)."""
         return reports.to_sarif(self.findings)
@@ -99,4 +104,5 @@ def audit(
     tables = Tables(files, include_tests, facts_path)
     modes = {"standard", *families} | ({"deep"} if deep else set())
     raw = raw_findings(tables, modes, tool_reports, extra_rules)
-    return Audit(tables, modes, cut(dedup(with_defaults(translate(raw)))))
+    found = stored(dedup(with_defaults(translate(raw))), "findings")
+    return Audit(tables, modes, found, tool_reports)

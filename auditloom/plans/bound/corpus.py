@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from auditloom.plans.expected import (
     PATH_SQL, findings_sql, labelled_sql, literal, per_template_sql, sums_sql, values,
 )
 from auditloom.plans.seeded import seeded_files
+from auditloom.session import shared_dir
 from auditloom.sources.facts import extract_facts, store_facts, syntax_errors
 from auditloom.sources.files import describe, heuristic_scope, select_python, select_text
 from auditloom.sources.lines import to_lines
@@ -515,7 +517,10 @@ def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(text_rules.file_findings(files, ["SEC-SECRET-SCAN", "DOCKER-REMOTE-ADD"]))
         .unionByName(route_rules.missing_dependencies(facts))
     )
-    logs = reports.to_sarif(dedup(with_defaults(found)))
+    place = f"{shared_dir(spark)}/reports-{uuid.uuid4()}"
+    reports.write_findings(dedup(with_defaults(found)), f"{place}/findings")
+    reports.write_documents(reports.to_sarif(spark.read.parquet(f"{place}/findings")), f"{place}/sarif")
+    logs = spark.read.parquet(f"{place}/sarif")
     result = (
         "struct<ruleId:string,level:string,locations:array<struct<physicalLocation:"
         "struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>"

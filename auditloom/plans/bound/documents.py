@@ -14,7 +14,7 @@ from auditloom.plans.expected import literal
 from auditloom.plans.round_trips import spec_files, tool_reports
 from auditloom.session import shared_dir
 from auditloom.sources.files import describe
-from auditloom.sources.specs import endpoints, parse_specs
+from auditloom.sources.specs import endpoints, parse_specs, store_specs
 from auditloom.streaming.incremental import run_available, stream_audit
 
 # --- API specifications ------------------------------------------------------------------
@@ -33,7 +33,7 @@ NO_CONTENT_SQL = "p_partkey % 5 <> 0 AND p_partkey % 3 = 0"
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_specs(describe(spec_files(table(spark, sf_dir, "part"))))
+    return store_specs(parse_specs(describe(spec_files(table(spark, sf_dir, "part")))))
 
 
 @bind("o1_selected_specs", f"SELECT repo, 'spec/' || name AS path, NOT broken AS parsed FROM ({DOCUMENT_SQL})")

@@ -179,14 +179,16 @@ def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @bind("g7_dependency_graph", f"""
     SELECT repo, e.function, 'route' AS type, 'GET' AS method, min(file) AS file, arg_min(e.line, file) AS line,
-           bool_or(e.protected) AS protected, CAST(0 AS BIGINT) AS n_dependencies
+           bool_or(e.protected) AS protected, '' AS dependencies
     FROM ({per_template_sql(ROUTES, ["function", "method", "line", "protected"])}) e GROUP BY repo, e.function
     UNION ALL
-    SELECT source, 'f', 'dependency', NULL, NULL, NULL, NULL, count(*) FROM documents WHERE doc_id % 33 = 29 GROUP BY source
+    SELECT source, 'f', 'dependency', NULL, NULL, NULL, NULL,
+           string_agg('nowhere_' || doc_id, ',' ORDER BY 'nowhere_' || doc_id) FROM documents WHERE doc_id % 33 = 29 GROUP BY source
 """)
 def dependency_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, found = route_tables(spark, sf_dir)
-    return route_rules.dep_graph(found, route_rules.dep_edges(facts))
+    nodes = route_rules.dep_graph(found, route_rules.dep_edges(facts))
+    return nodes.withColumn("dependencies", F.array_join("dependencies", ","))
 
 
 @bind("g8_circular_dependencies", f"""

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +23,8 @@ from auditloom.plans.bound.base import (
     document_findings, score_sql, secret_rows_sql, table,
 )
 from auditloom.plans.expected import literal
-from auditloom.session import cut, spread
-from auditloom.sources.files import exclude, files_from_table, heuristic_scope, include, read_text
+from auditloom.session import cut, shared_dir, spread
+from auditloom.sources.files import exclude, files_from_table, heuristic_scope, include, read_text, scan_files
 from auditloom.sources.lines import to_lines
 
 # --- Sources -----------------------------------------------------------------------------
@@ -43,6 +49,34 @@ def pruned_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.filter(~paths.in_skipped_dir(F.col("path"), ["de", "fr", "build"])).select("page_id", "path")
 
 
+def write_tree(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Write (path, text) rows as files below ``base``; returns how many."""
+    system, root = pa_fs.FileSystem.from_uri(base)
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            system.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(f"{root}/{path}") as stream:
+                stream.write(content.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+
+@bind("s1_scanned_tree", """
+    SELECT source AS repo, CASE WHEN doc_id % 5 = 0 THEN '.hidden' ELSE 'src' END || '/m' || doc_id || '.py' AS path,
+           strlen(text) AS size, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest
+    FROM documents WHERE doc_id % 5 < 3
+""")
+def scanned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a directory tree with pruned folders in it, and scanned again."""
+    base = f"{shared_dir(spark)}/tree-{uuid.uuid4()}"
+    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
+    folders = F.array(*map(F.lit, [".hidden", "src", "src", "node_modules/x", "src/build"]))
+    path = F.concat_ws(
+        "/", "source", F.get(folders, (F.col("doc_id") % 5).cast("int")), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")))
+    rows = table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+    rows.mapInArrow(partial(write_tree, base), "n long").agg(F.sum("n")).collect()
+    return scan_files(spark, base).select("repo", "path", "size", F.sha2("content", 256).alias("digest"))
+
+
 @bind("s2_bounded_text", """
     SELECT doc_id, length(CASE WHEN strlen(text) <= 2000 THEN text ELSE '' END) AS n FROM documents
 """)

@@ -20,11 +20,11 @@ from auditloom.operators import (
     code_rules, features, graph, model_rules, route_rules, spec_rules, text_rules,
 )
 from auditloom.operators.marks import mark_files, marked_only
-from auditloom.session import cut
+from auditloom.session import stored
 from auditloom.sources.facts import extract_facts, imports, store_facts
 from auditloom.sources.files import heuristic_scope, select_python
 from auditloom.sources.lines import to_lines
-from auditloom.sources.specs import parse_specs
+from auditloom.sources.specs import parse_specs, store_specs
 
 
 class Tables:
@@ -42,12 +42,12 @@ class Tables:
     @cached_property
     def files(self) -> DataFrame:
         """Marked files, without their content."""
-        return cut(mark_files(self.all_files).drop("content"))
+        return stored(mark_files(self.all_files).drop("content"), "files")
 
     @cached_property
     def lines(self) -> DataFrame:
         """Marked lines of all Python files."""
-        return cut(marked_only(to_lines(select_python(self.all_files))))
+        return stored(marked_only(to_lines(select_python(self.all_files))), "lines")
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -55,7 +55,7 @@ class Tables:
 
     @cached_property
     def specs(self) -> DataFrame:
-        return parse_specs(self.all_files)
+        return store_specs(parse_specs(self.all_files))
 
     @cached_property
     def features(self) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditloom.dimensions import SPEC_NAMES
 from auditloom.functions.text import contains_any
-from auditloom.session import spread
+from auditloom.session import spread, stored
 
 # Executors get the functions of this module with the task, so nothing is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,7 +47,13 @@ def yaml_to_json():
     def convert(texts: pd.Series) -> pd.Series:
         return texts.map(convert_one, na_action="ignore")
 
-    return convert
+    # Filters of the rules must not be copied below the parse, which would run it twice.
+    return convert.asNondeterministic()
+
+
+def store_specs(specs: DataFrame) -> DataFrame:
+    """Parsed specifications as a table in the shared folder: every rule reads the one parse."""
+    return stored(specs, "specs")
 
 
 def convert_one(text: str) -> str | None:
