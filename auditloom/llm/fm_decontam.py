@@ -11,24 +11,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import slices, small_batches, store, text_digest
+from auditloom.llm.common import add_columns, slices, small_batches, store, text_digest
 from auditloom.llm.fm_index import FMIndex
 from auditloom.llm.shingles import LOWER
 from auditloom.llm.textarrays import Pieces, Texts, byte_table
 
 #: Bytes of ASCII letters and digits and of all code points above 127.
 ITEM_BYTES = byte_table(range(48, 58)) | byte_table(range(97, 123)) | byte_table(range(128, 256))
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text in a shard, and of benchmark text that is sent to the executors at a time.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
 
 
+def item_pieces(texts: Texts) -> Pieces:
+    """Words of texts; an upper-case letter counts as its lower-case one."""
+    return texts.pieces(ITEM_BYTES[LOWER[texts.data]])
+
+
 def words_of(texts: Texts) -> tuple[Pieces, np.ndarray]:
     """Words of lower-cased texts and their hashes."""
-    lowered = Texts(LOWER[texts.data], texts.offsets)
-    words = lowered.pieces(ITEM_BYTES[lowered.data])
-    return words, lowered.hashes(words)
+    words = item_pieces(texts)
+    return words, texts.hashes(words, LOWER[texts.data])
 
 
 @dataclass
@@ -168,10 +171,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     columns are not used.
     """
     found = merged_hits(find_hits(docs, benchmark, size))
-    rows = docs.select(
-        "doc_id", text_digest("text")[0].alias("digest"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-    )
+    rows = docs.select("doc_id", "text", text_digest("text")[0].alias("digest"))
+    rows = add_columns(rows, [T.StructField("n_words", T.LongType())], lambda t: [item_pieces(t).counts()]).drop("text")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("key"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))

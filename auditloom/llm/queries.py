@@ -66,4 +66,89 @@ QUERIES: dict[str, Query] = {
     "op10_kernel_classifier": op10_kernel_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_DUPLICATES_SQL = rf"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingle AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM words WHERE len(w) > 0)),
+    size AS (
+        SELECT w.doc_id, count(s) AS n FROM words w LEFT JOIN shingle s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+    edge AS (
+        SELECT a.doc_id AS u, b.doc_id AS v FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id
+        JOIN size m ON m.doc_id = a.doc_id JOIN size n ON n.doc_id = b.doc_id
+        WHERE 5 * m.n >= 4 * n.n AND 5 * n.n >= 4 * m.n
+        GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))),
+    reach(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM size UNION SELECT r.doc_id, e.v FROM reach r JOIN edge e ON r.other = e.u)
+    SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id, min(r.other) = s.doc_id AS kept
+    FROM size s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.n
+"""
+
+CONTAMINATION_SQL = rf"""
+    WITH doc AS (
+        SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    item AS (
+        SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    win AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+    hit AS (
+        SELECT d.doc_id, d.i, d.n, w.item_id FROM (
+            SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (
+                SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)) d
+        JOIN win w ON d.n = w.n AND d.s = w.s),
+    covered AS (
+        SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+    found AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
+
+
+def licence_sql() -> str:
+    """Whole texts and notices by digest, with the canonical form spelt in SQL."""
+    def canonical(text: str) -> str:
+        out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        out = rf"regexp_replace({out}, '(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*', '\1', 'g')"
+        # No look-ahead in SQL: a line of rights reserved goes with the break that ends it kept by hand.
+        out = rf"regexp_replace({out}, '(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(\n|$)', '\1\2', 'g')"
+        out = rf"' ' || regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g') || ' '"
+        for old, new in licence_digest.SPELLINGS:
+            out = f"replace({out}, ' {old} ', ' {new} ')"
+        return rf"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+
+    def rows(texts: list[tuple[str, str]]) -> str:
+        return ", ".join("('" + k + "', '" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for k, t in texts)
+
+    return f"""
+        WITH known AS (
+            SELECT min(licence) AS licence, sha256({canonical('t')}) AS digest
+            FROM (VALUES {rows(licence_digest.TEXTS + licence_digest.NOTICES)}) v(licence, t) GROUP BY 2),
+        notice AS (
+            SELECT min(licence) AS licence, sha256({canonical('t')}) AS digest
+            FROM (VALUES {rows(licence_digest.NOTICES)}) v(licence, t) GROUP BY 2),
+        line AS (
+            SELECT doc_id, sha256({canonical('row')}) AS digest
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS row FROM documents)
+            WHERE regexp_matches(row, '(?i)licen|released')),
+        noticed AS (
+            SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names
+            FROM line JOIN notice USING (digest) GROUP BY doc_id)
+        SELECT d.doc_id, d.digest AS canon_sha256, k.licence, coalesce(n.n, 0) AS n_notices, coalesce(n.names, '') AS notices
+        FROM (SELECT doc_id, sha256({canonical('text')}) AS digest FROM documents) d
+        LEFT JOIN known k ON d.digest = k.digest LEFT JOIN noticed n ON d.doc_id = n.doc_id
+    """
+
+
+ORACLES: dict[str, str] = {
+    "op6_minhash_dedup": NEAR_DUPLICATES_SQL,
+    "op8_fm_decontam": CONTAMINATION_SQL,
+    "op9_licence_digest": licence_sql(),
+}

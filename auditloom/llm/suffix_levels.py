@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm.common import drop_table, slices, small_batches, store, text_digest, write_table
-from auditloom.llm.textarrays import BASE, BYTE_VALUES, INVERSE, Texts, mix, powers, room
+from auditloom.llm.textarrays import BASE, BYTE_VALUES, INVERSE, Texts, mix, powers
 
 #: Bytes of a string that counts as repeated, positions an anchor may have in it, bytes hashed for choosing it.
 LENGTH, REACH, GRAM = 400, 177, 24
@@ -31,6 +31,8 @@ DEPTH = LENGTH - REACH + 1
 BLOCK = 32
 #: Batches a table is indexed in; batch sizes are equal, so levels merge like binary counting.
 BATCHES = 4
+#: Partitions that equal beginnings are dealt to.
+SPLIT = 16
 #: A position in a key that holds hash and position; longer texts are read in overlapping parts.
 PLACE_BITS = 22
 
@@ -41,10 +43,9 @@ class Hasher:
     """Hashes of substrings of one text."""
 
     def __init__(self, data: np.ndarray) -> None:
-        n = room(len(data) + 1)
-        self.data, self.inverse = data, powers(INVERSE, n)
+        self.data, self.inverse = data, powers(INVERSE, len(data) + 1)
         self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * powers(BASE, n)[:len(data)], out=self.total[1:])
+        np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=self.total[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.total[ends] - self.total[starts]) * self.inverse[starts])
@@ -147,9 +148,12 @@ class Levels:
 
     @staticmethod
     def in_order(rows: DataFrame) -> DataFrame:
-        """Suffixes that share DEPTH bytes meet in one partition, each partition is sorted."""
+        """Each partition is sorted; suffixes that share DEPTH bytes meet in SPLIT partitions at most.
+
+        A passage that very many texts share would otherwise fill one partition.
+        """
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(parts, "head", "print").sortWithinPartitions("head", "print")
+        return rows.repartition(parts, "head", "print", F.pmod("node", F.lit(SPLIT))).sortWithinPartitions("head", "print")
 
     def insert(self, batch: DataFrame) -> None:
         """Index a batch: sort it, scan it against every level, merge levels of equal size."""
@@ -158,7 +162,7 @@ class Levels:
         keys = new.groupBy("head", "print").agg(F.count("*").alias("n"))
         found = keys.where("n > 1").select("head", "print")
         for level in self.paths.values():
-            found = found.unionByName(keys.select("head", "print").join(self.read(level).select("head", "print"), ["head", "print"], "left_semi"))
+            found = found.unionByName(keys.select("head", "print").join(self.read(level).select("head", "print").distinct(), ["head", "print"], "left_semi"))
         self.matches.append(store(found.distinct()))
         while size in self.paths:
             other = self.paths.pop(size)
@@ -176,7 +180,8 @@ class Levels:
         keys = self.matches[0]
         for more in self.matches[1:]:
             keys = keys.unionByName(more)
-        return rows.join(keys.distinct(), ["head", "print"], "left_semi")
+        # Stored first: a join of plain tables can split a key that very many suffixes share.
+        return rows.join(store(keys.distinct()), ["head", "print"], "left_semi")
 
     def drop(self) -> None:
         for path in self.paths.values():

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +35,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 ... base^(n-1) modulo 2^64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def room(n: int) -> int:
-    """n rounded up to a power of two, so that tables of powers are used again."""
-    return 1 << max(16, int(n).bit_length())
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n-1) modulo 2^64; the longest table so far is kept."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(1 << max(16, int(n - 1).bit_length()), base, np.uint64)
+        out[:1] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 @dataclass
@@ -115,10 +113,9 @@ class Texts:
     def hashes(self, pieces: Pieces, data: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of the bytes of each piece."""
         data = self.data if data is None else data
-        n = room(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * powers(BASE, n)[:len(data)], out=total[1:])
-        value = (total[pieces.ends] - total[pieces.starts]) * powers(INVERSE, n)[pieces.starts]
+        np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=total[1:])
+        value = (total[pieces.ends] - total[pieces.starts]) * powers(INVERSE, len(data) + 1)[pieces.starts]
         return mix(value + (pieces.ends - pieces.starts).astype(np.uint64))
 
 
