@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from auditloom.operators.findings import emit
@@ -15,7 +15,65 @@ HOPS = 2  # propagation steps computed by one job
 COMPACT_EVERY = 8  # search levels after which the visited nodes become one table
 
 
+def ring_nodes(edges: DataFrame) -> DataFrame:
+    """(g, node, root, left) of the components that are one plain ring.
+
+    ``left`` is the number of steps from the node to the last one before the root. Pointer
+    doubling: every job doubles the stretch a node knows, so the number of jobs is the
+    logarithm of the longest ring. Nodes whose way leads to a branching or an end drop out.
+    """
+    plain = edges.filter("src <> dst").select("g", "src", "dst").distinct()
+    forked = edges.filter("src = dst").select("g", F.col("src").alias("node")).distinct()
+    leaving = plain.groupBy("g", F.col("src").alias("node")).agg(F.min("dst").alias("next"), F.count("*").alias("n"))
+    entering = plain.groupBy("g", F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+    single = leaving.filter("n = 1").join(entering.filter("n = 1").select("g", "node"), ["g", "node"]).join(
+        forked, ["g", "node"], "left_anti").select("g", "node", "next")
+    state, size = cut_counting(single.withColumn("low", F.col("node")), F.lit(True))
+    changed = size
+    while changed:
+        far = state.select("g", F.col("node").alias("next"), F.col("next").alias("beyond"), F.col("low").alias("low_beyond"))
+        step = state.join(far, ["g", "next"]).select(
+            "g", "node", F.col("beyond").alias("next"), F.least("low", "low_beyond").alias("low"),
+            (F.col("low_beyond") < F.col("low")).alias("lower"),
+        )
+        seen = Observation()
+        step = cut(step.observe(seen, F.count("*").alias("n"), F.count_if("lower").alias("lower")))
+        got = seen.get
+        changed = got["n"] and (got["lower"] or size - got["n"])
+        state, size = step.drop("lower"), got["n"]
+    rings = state.select("g", "node", F.col("low").alias("root")).join(single, ["g", "node"])
+    # The same doubling on the ring cut before its root counts the steps to the cut.
+    ends = F.col("next") == F.col("root")
+    state, open_ways = cut_counting(rings.select(
+        "g", "node", "root", F.when(~ends, F.col("next")).alias("next"), F.when(ends, 0).otherwise(1).cast("long").alias("left"),
+    ), F.col("next").isNotNull())
+    while open_ways:
+        far = state.select("g", F.col("node").alias("next"), F.col("next").alias("beyond"), F.col("left").alias("more"))
+        state, open_ways = cut_counting(state.join(far, ["g", "next"], "left").select(
+            "g", "node", "root", F.col("beyond").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"),
+        ), F.col("next").isNotNull())
+    return state.select("g", "node", "root", "left")
+
+
+def ring_cycles(nodes: DataFrame) -> DataFrame:
+    """(g, root, cycle): each plain ring from its root once around; a row is as long as its ring."""
+    placed = F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "node")))
+    return nodes.groupBy("g", "root").agg(F.transform(placed, lambda p: p["node"]).alias("nodes")).select(
+        "g", "root", F.concat("nodes", F.array("root")).alias("cycle"))
+
+
+def without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges that leave none of the given nodes."""
+    return edges.join(nodes.select("g", F.col("node").alias("src")), ["g", "src"], "left_anti").select("g", "src", "dst")
+
+
 def cyclic_components(edges: DataFrame) -> DataFrame:
+    """(g, node, root) for every node on a cycle of ``edges(g, src, dst)``; plain rings by doubling."""
+    rings = ring_nodes(edges)
+    return rings.select("g", "node", "root").unionByName(other_components(without(edges, rings)))
+
+
+def other_components(edges: DataFrame) -> DataFrame:
     """(g, node, root) for every node on a cycle of ``edges(g, src, dst)``.
 
     ``root`` is the smallest node of the strongly connected component. Colouring: the
@@ -178,7 +236,10 @@ def import_edges(imports: DataFrame, index: DataFrame) -> DataFrame:
 def cycles_per_repo(edges: DataFrame) -> DataFrame:
     """(repo, root, cycle) for edges(repo, src, dst)."""
     graph = cut(edges.select(F.col("repo").alias("g"), "src", "dst").distinct())
-    return shortest_cycles(graph, cut(cyclic_components(graph))).withColumnRenamed("g", "repo")
+    rings = ring_nodes(graph)
+    rest = cut(without(graph, rings))
+    found = ring_cycles(rings).unionByName(shortest_cycles(rest, cut(other_components(rest))))
+    return found.withColumnRenamed("g", "repo")
 
 
 def circular_imports(edges: DataFrame) -> DataFrame:

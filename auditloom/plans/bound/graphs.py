@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.operators import graph, route_rules
@@ -97,6 +97,29 @@ def circular_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.circular_imports(ring_edges(spark, sf_dir)).select("repo", "file", "detail")
 
 
+@bind("g3_long_rings", """
+    SELECT 'b' || (doc_id // 2000) AS repo, CAST(min(doc_id) AS VARCHAR) AS root, count(*) + 1 AS n_members,
+           md5(string_agg(CAST(doc_id AS VARCHAR), '>' ORDER BY doc_id) || '>' || min(doc_id)) AS way
+    FROM documents WHERE doc_id // 2000 % 2 = 0 GROUP BY doc_id // 2000
+""")
+def long_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ring of 2,000 documents for every second block of ids; the other blocks stay chains."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2000).alias("block"))
+    # A block has a fixed number of ids, so no window grows with the table.
+    group = Window.partitionBy("block")
+    following = F.lead("doc_id").over(group.orderBy("doc_id"))
+    target = F.coalesce(following, F.when(F.col("block") % 2 == 0, F.min("doc_id").over(group)))
+    # Names of equal length sort like numbers.
+    name = lambda c: F.format_string("%012d", c)
+    edges = rows.select(F.concat(F.lit("b"), F.col("block").cast("string")).alias("repo"), name("doc_id").alias("src"), target.alias("to"))
+    edges = edges.filter("to IS NOT NULL").select("repo", "src", name("to").alias("dst"))
+    short = F.transform("cycle", lambda n: n.cast("long").cast("string"))
+    return graph.cycles_per_repo(edges).select(
+        "repo", F.col("root").cast("long").cast("string").alias("root"), F.size("cycle").cast("long").alias("n_members"),
+        F.md5(F.array_join(short, ">")).alias("way"),
+    )
+
+
 TRADE_SQL = """
     SELECT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
