@@ -15,7 +15,7 @@ from auditloom.plans.round_trips import spec_files, tool_reports
 from auditloom.session import shared_dir
 from auditloom.sources.files import describe
 from auditloom.sources.specs import endpoints, parse_specs, store_specs
-from auditloom.streaming.incremental import run_available, stream_audit
+from auditloom.streaming.incremental import changed_arrivals, run_available, stream_audit
 
 # --- API specifications ------------------------------------------------------------------
 
@@ -184,11 +184,13 @@ def incremental_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
         .select(F.col("ts").cast("timestamp").alias("arrived"), (F.col("event_id") % n_documents).alias("doc_id"))
     )
-    arriving = describe(arrivals.join(documents, "doc_id").select(
+    # A document never changes here, so its id stands for path and digest; texts are joined afterwards.
+    changed = changed_arrivals(arrivals, WINDOW, LATENESS, "doc_id")
+    arriving = describe(changed.join(documents, "doc_id").select(
         F.col("source").alias("repo"), F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
         F.col("text").alias("content"), F.octet_length("text").alias("size"), "arrived",
     ))
-    counts = stream_audit(arriving, WINDOW, LATENESS)
+    counts = stream_audit(arriving, WINDOW, None)
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
     run_available(counts, f"{place}/counts", f"{place}/checkpoint")
     written = spark.read.schema(counts.schema).parquet(f"{place}/counts")
