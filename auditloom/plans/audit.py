@@ -10,7 +10,7 @@ from auditloom.operators import code_rules, features, ingest, reports, route_rul
 from auditloom.operators.findings import dedup, rank, translate, union_findings, with_defaults
 from auditloom.operators.score import score
 from auditloom.plans.registry import (
-    FAMILY_MODES, RULE_SETS, ExtraRule, Tables, chosen_rules, family_gates, open_gates,
+    FAMILY_MODES, FAMILY_OF, RULE_SETS, ExtraRule, Tables, chosen_rules, open_gates,
 )
 from auditloom.schemas import FINDING_COLUMNS
 from auditloom.session import stored
@@ -21,14 +21,17 @@ def raw_findings(
 ) -> DataFrame:
     """Bag union of every chosen rule, gated by the features of each repository.
 
-    All gates are one join of the findings with one row per repository.
+    Rule sets of one gated family only see the repositories it applies to; rules of several
+    families that share a pass are gated by one join of their findings.
     """
     wanted = chosen_rules(modes)
     parts = []
     for rule_set in RULE_SETS:
         rules = [r for r in rule_set.rules if r in wanted]
         if rules:
-            parts.append(rule_set.find(tables, rules))
+            families = {FAMILY_OF[r] for r in rules}
+            own = tables.of_family(families.pop()) if len(families) == 1 else tables
+            parts.append(rule_set.find(own, rules))
     parts += [e.find(tables) for e in extra_rules if FAMILY_MODES[e.family] & modes]
     gated = union_findings(*parts).join(tables.features, "repo", "left").filter(open_gates(extra_rules))
     found = gated.select(*FINDING_COLUMNS)
@@ -58,20 +61,17 @@ class Audit:
 
     def sections(self) -> dict[str, DataFrame | None]:
         """Report sections of the optional families; null for one that did not run."""
-        tables, gates = self.tables, family_gates()
+        tables = self.tables
+        deps, openapi = tables.of_family("deps"), tables.of_family("openapi")
 
         def ran(family: str) -> bool:
             return bool(FAMILY_MODES[family] & self.modes)
 
-        def gated(rows: DataFrame, family: str) -> DataFrame:
-            return features.gate(rows, tables.features, gates[family])
-
         cycles = self.findings.filter("rule_id = 'FASTAPI-CIRCULAR-DEP'")
         return {
-            "dependency_graph": gated(
-                route_rules.dep_metrics(tables.routes, tables.code(tables.facts), cycles), "deps"
-            ) if ran("deps") else None,
-            "openapi_analysis": gated(spec_rules.spec_metrics(tables.specs), "openapi") if ran("openapi") else None,
+            "dependency_graph": route_rules.dep_metrics(
+                deps.routes, deps.code(deps.facts), cycles) if ran("deps") else None,
+            "openapi_analysis": spec_rules.spec_metrics(openapi.specs) if ran("openapi") else None,
             "performance_metrics": code_rules.performance_metrics(tables.code(tables.facts)) if ran("performance") else None,
         }
 

@@ -30,14 +30,22 @@ from auditloom.sources.specs import parse_specs, store_specs
 class Tables:
     """The inputs of the rules, each derived once from `files`.
 
-    Contents are read three times in all: by the parse job, for the file marks and for the
-    line marks. What these passes find is small and stored, and the rules read only that.
+    Contents are read four times in all: by the parse job, for the file marks, for the line
+    marks and for the specifications. What these passes find is stored, and the rules read
+    only that.
     """
 
     def __init__(self, files: DataFrame, include_tests: bool = False, facts_path: str | None = None):
         self.all_files = files
         self.include_tests = include_tests
         self.facts_path = facts_path
+        self._families: dict[str, Tables] = {}
+
+    @cached_property
+    def features(self) -> DataFrame:
+        code = features.has_sql(self.code(self.files))
+        joined = features.detect_stack(self.files).join(code, "repo", "left")
+        return stored(joined.withColumn("has_sql", F.coalesce("has_sql", F.lit(False))), "features")
 
     @cached_property
     def files(self) -> DataFrame:
@@ -57,11 +65,22 @@ class Tables:
     def specs(self) -> DataFrame:
         return store_specs(parse_specs(self.all_files))
 
-    @cached_property
-    def features(self) -> DataFrame:
-        code = features.has_sql(self.code(self.files))
-        joined = features.detect_stack(self.files).join(code, "repo", "left")
-        return joined.withColumn("has_sql", F.coalesce("has_sql", F.lit(False)))
+    def of_family(self, family: str) -> Tables:
+        """These tables, cut down to the repositories that a gated family applies to.
+
+        The gate comes before the work: specifications of other repositories aren't parsed,
+        and their graphs aren't searched.
+        """
+        gates = family_gates()
+        if family not in gates:
+            return self
+        if family not in self._families:
+            repos = self.features.filter(gates[family]).select("repo")
+            inner = Tables(self.all_files.join(repos, "repo", "left_semi"), self.include_tests)
+            for name in ("files", "lines", "facts"):
+                inner.__dict__[name] = getattr(self, name).join(repos, "repo", "left_semi")
+            self._families[family] = inner
+        return self._families[family]
 
     def code(self, rows: DataFrame) -> DataFrame:
         """Rows the heuristic rules look at: those of tests only when asked for."""
