@@ -16,8 +16,8 @@ from auditloom.session import shared_dir
 
 #: Bytes of one Arrow batch sent to Python, and of one slice that numpy works on. A single
 #: longer text makes a longer batch: texts are never cut.
-BATCH_BYTES = 16 << 20
-SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from auditloom.llm.textarrays import Pieces, Texts, byte_table
 #: Bytes of ASCII letters and digits and of all code points above 127.
 ITEM_BYTES = byte_table(range(48, 58)) | byte_table(range(97, 123)) | byte_table(range(128, 256))
 #: Bytes of text in a shard, and of benchmark text that is sent to the executors at a time.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 
 

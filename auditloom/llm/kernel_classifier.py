@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import add_columns, store
+from auditloom.llm.common import add_columns, slices, small_batches, store
 from auditloom.llm.stats import FEATURE_FIELDS, FEATURES, features
+from auditloom.llm.textarrays import Texts
 
 #: Fourier features are rounded to 1 / UNIT, so that their products add up exactly in any order.
 UNIT = 1 << 12
@@ -193,7 +194,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     Texts are read twice, for fitting and for deciding, and never shuffled or stored again.
     """
     model = fit_on(measured(docs), labels, **how)
-    names = [f"__f{i}" for i in range(len(docs.columns))]
-    inner = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    scored = with_scores(add_columns(inner, FEATURE_FIELDS, features).drop("text"), model)
-    return scored.where("score >= 0.5").select(*names).toDF(*docs.columns)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                score = model.score(np.column_stack(features(Texts.of(part.column("text")))))
+                yield part.filter(pa.array(score >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
