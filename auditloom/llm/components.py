@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import drop_table, write_table
+from auditloom.llm.common import drop_table, store, write_table
 
 
 def _mins(edges: DataFrame) -> DataFrame:
     """Edges in both directions, each with the least node next to u or u itself."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+    # Stored first: a join of plain tables can split a hub with very many edges.
+    least = store(both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")))
     return both.join(least, F.col("u") == F.col("k")).select("u", "v", F.least("u", "m").alias("m"))
 
 
@@ -23,7 +24,7 @@ def large_star(edges: DataFrame) -> DataFrame:
 def small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours move to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+    least = store(down.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")))
     moved = down.join(least, F.col("u") == F.col("k"))
     return (
         moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
