@@ -231,7 +231,9 @@ class Linker:
         placed = shingles.join(members.select(F.col("node").alias("k"), F.col("hub").alias("h"), "root", "n", "more", "less"), (F.col("node") == F.col("k")) & (F.col("hub") == F.col("h")))
         columns = ("node", "root", "n", "more", "less")
         u, v = (placed.select("hub", "shingle", *[F.col(c).alias(f"{c}_{k}") for c in columns]) for k in "uv")
-        together = u.join(v, ["hub", "shingle"]).where((F.col("node_u") < F.col("node_v")) & other)
+        # Two sets can't share more shingles outside of the hub than the smaller number of them.
+        most = few(F.least("more_u", "more_v"))
+        together = u.join(v, ["hub", "shingle"]).where((F.col("node_u") < F.col("node_v")) & other & most)
         shared = together.groupBy("hub", *[f"{c}_{k}" for k in "uv" for c in columns]).agg(F.count("*").alias("shared"))
         by_shingle = shared.where(few(F.col("shared")))
         return by_number.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).unionByName(
@@ -253,7 +255,8 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     roots = Linker(docs, nodes, size, percent).run()
     placed = nodes.select("node", "set_a", "set_b", F.col("doc_id").alias("least")).join(roots, "node", "left")
     placed = store(placed.withColumn("root", F.coalesce("root", "node")))
-    smallest = placed.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    # Stored first: a join of plain tables can split a component with very many sets.
+    smallest = store(placed.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")))
     labels = placed.join(smallest, F.col("root") == F.col("r")).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "root", "component_id")
     rows = rows.select("doc_id", "digest", "n_shingles", "set_a", "set_b")
     out = rows.join(labels, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & (F.col("n_shingles") > 0), "left")
