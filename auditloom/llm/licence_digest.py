@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections import Counter
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Public licence texts and the usual one-line notices, by SPDX identifier.
+# Public licence texts and the usual one-line notices, by SPDX identifier. They are
+# those of the SQL; `known_texts` and `known_notices` add the texts and names of the data files.
 TEXTS = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
@@ -55,23 +61,79 @@ def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     return rows.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+def known_texts() -> list[tuple[str, str]]:
+    """TEXTS and the licence texts of the data file, some in several published forms."""
+    lines = (files("auditloom.llm") / "data/licence_texts.jsonl").read_text("utf-8").split("\n")
+    return TEXTS + [(row["licence"], row["text"]) for row in map(json.loads, filter(None, lines))]
+
+
+#: What a notice begins with in all its wordings, in canonical form and, for the line filter, in texts.
+OPENING = r"^(?:th(?:is|e) [a-z]+ is )?(?:licensed|released|distributed|(?:made )?available) under (?:the )?(?:terms of (?:the )?)?"
+OPENED = r"(?:released|distributed|available)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+under"
+
+
+def notice_form(text: Column) -> Column:
+    """The canonical form of a line, the wordings of 'licensed under' made one."""
+    return F.regexp_replace(canonical(text), OPENING, "licensed under ")
+
+
+def known_notices() -> list[tuple[str, str]]:
+    """NOTICES, an SPDX line for each identifier of the SPDX list, and a notice for each name of a licence."""
+    names = json.loads((files("auditloom.llm") / "data/licence_names.json").read_text("utf-8"))
+    tags = [(i, f"SPDX-License-Identifier: {i}") for i in names["ids"]]
+    every = [(i, n) for i in names["ids"] for n in (i, f"{i} License", *names["names"].get(i, []))]
+    return NOTICES + tags + [(i, f"{opening} {n}") for i, n in every for opening in ("License:", "Licensed under")]
+
+
+def notice_filter(canonical_notices: list[str]) -> str:
+    """A pattern that each line holds, in any spelling, whose canonical form is one of the given ones.
+
+    Each notice has one of few chosen words; a word is looked for in all spellings made one with it.
+    Words are letters, digits and code points above 127, so they need no escape.
+    """
+    left = [{w for w in words if len(w) > 5} or {max(words, key=len)} for words in map(str.split, canonical_notices) if words]
+    chosen = []
+    while left:
+        counts = Counter(w for words in left for w in words)
+        chosen.append(max(counts, key=lambda w: (counts[w], w)))
+        left = [words for words in left if chosen[-1] not in words]
+    spelt, size = set(chosen), 0
+    while size != len(spelt):
+        size = len(spelt)
+        spelt |= {old for old, new in SPELLINGS if spelt & set(new.split())}
+    if "licensed" in spelt:
+        spelt.add(OPENED)
+    least = sorted(w for w in spelt if not any(v != w and v in w for v in spelt))
+    return "(?i)" + "|".join(least) if least else r"(?!)"
+
+
+def scan(
+    docs: DataFrame, texts: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None,
+) -> DataFrame:
     """Per row of ``docs``: doc_id, canon_sha256, licence, n_notices, notices.
 
     ``licence`` is that of the known text whose digest equals the digest of the whole canonical
     text, or null. ``notices`` names, sorted and joined by commas, the licences of lines that
     are known one-line notices; ``n_notices`` counts such lines. A null text counts as empty and
-    matches nothing; repeated rows are scanned each; other columns are not used.
+    matches nothing; repeated rows are scanned each; other columns are not used. ``texts`` and
+    ``notices`` are by default `known_texts` and `known_notices`.
     """
     spark = docs.sparkSession
-    whole = F.broadcast(known(spark, texts + notices))  # as many rows as the fixed list above
-    lines = {}
-    for row in known(spark, notices).collect():
-        lines[row["known_digest"]] = row["licence"]
-    table = F.create_map(*[F.lit(x) for pair in sorted(lines.items()) for x in pair]) if lines else F.create_map().cast("map<string,string>")
-    # A notice holds one of these words in any spelling, so that other lines aren't made canonical.
-    line_list = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.rlike(x, F.lit("(?i)licen|released")))
-    named = F.filter(F.transform(line_list, lambda x: F.try_element_at(table, digest(x))), lambda x: x.isNotNull())
+    texts = known_texts() if texts is None else texts
+    notices = known_notices() if notices is None else notices
+    whole = F.broadcast(known(spark, texts + notices))  # as many rows as the fixed lists at most
+    lines = spark.createDataFrame(notices, "licence string, text string").select("licence", notice_form(F.col("text")).alias("form"))
+    # By the first digits, then by the digest, so that a look-up reads few entries of the map.
+    table = {}
+    forms = lines.where("form <> ''").groupBy("form").agg(F.min("licence").alias("licence")).collect()
+    for form, licence in forms:
+        key = hashlib.sha256(form.encode()).hexdigest()
+        table.setdefault(key[:3], {})[key] = licence
+    table = F.from_json(F.lit(json.dumps(table)), "map<string,map<string,string>>")
+    pattern = notice_filter([form for form, _ in forms])
+    keys = F.transform(
+        F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(pattern))), lambda x: F.sha2(notice_form(x), 256))
+    named = F.filter(F.transform(keys, lambda x: F.try_element_at(F.try_element_at(table, F.left(x, F.lit(3))), x)), lambda x: x.isNotNull())
     out = docs.select("doc_id", digest(F.col("text")).alias("canon_sha256"), named.alias("named"))
     return out.join(whole, F.col("canon_sha256") == F.col("known_digest"), "left").select(
         "doc_id", "canon_sha256", "licence", F.size("named").cast("long").alias("n_notices"),

@@ -92,3 +92,27 @@ def test_notices(spark, odd_docs, no_docs):
     assert (row.licence, row.n_notices, row.notices) == (None, 2, "CC-BY-NC-4.0,MIT")
     assert licence_digest.scan(no_docs).collect() == []
     assert licence_digest.scan(odd_docs).count() == odd_docs.count()
+
+
+def test_texts_and_notices_of_the_data_files(spark):
+    texts = licence_digest.known_texts()
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "BSL-1.0"} <= {k for k, _ in texts}
+    lines = [
+        ("Licensed under the GPL v2", "GPL-2.0"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("This project is licensed under the terms of the MIT licence.", "MIT"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("License: BSD-3-Clause", "BSD-3-Clause"), ("# SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0-only"),
+        ("available under the moon", ""), ("a licence", ""), ("Licensed under the", ""),
+    ]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(1000 + i, f"prose\n{t}\nprose") for i, (t, _) in enumerate(lines)]
+    got = {r.doc_id: r for r in licence_digest.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].licence for i in range(len(texts))] == [k for k, _ in texts]
+    assert [(got[1000 + i].notices, got[1000 + i].n_notices) for i in range(len(lines))] == [(k, int(k != "")) for _, k in lines]
+
+
+def test_notices_of_the_caller_need_no_fixed_word(spark):
+    docs = spark.createDataFrame([(1, "x\nUse it as you like!\nFavours the whole organization\nuse it"), (2, "")], "doc_id long, text string")
+    notices = [("A", "use it as you like"), ("B", "favors the whole organisation"), ("C", "Copyright (c) 2020 X")]
+    got = {r.doc_id: (r.n_notices, r.notices) for r in licence_digest.scan(docs, [], notices[:1] + notices[2:]).collect()}
+    assert got == {1: (1, "A"), 2: (0, "")}
+    docs = spark.createDataFrame([(1, "favour, the whole ORGANIZATION")], "doc_id long, text string")
+    assert licence_digest.scan(docs, [], [("B", "favor the whole organisation")]).first().notices == "B"
+    assert licence_digest.scan(docs, [], []).first().n_notices == 0
