@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import Counter
+from collections.abc import Callable
 from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,32 @@ SPELLINGS = [
 ]
 
 
+#: Titles that stand above licence texts, in canonical form.
+TITLES = [
+    "mit", "mit license", "mit license mit", "mit license expat", "expat license", "mit no attribution", "isc", "isc license", "isc license isc", "zlib license", "zlib libpng license",
+    "bsd zero clause license", "zero clause bsd", "zero clause bsd license", "bsd 0 clause license", "0bsd", "0bsd license", "bsd license", "bsd 2 clause license", "2 clause bsd license",
+    "simplified bsd license", "freebsd license", "bsd 2 clause simplified license", "bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "revised bsd license",
+    "bsd 3 clause new or revised license", "apache license", "apache license version 2 0", "apache license version 2 0 january 2004", "version 2 0 january 2004", "http www apache org licenses",
+    "https www apache org licenses", "gnu general public license", "gnu lesser general public license", "gnu library general public license", "gnu free documentation license",
+    "version 1 february 1989", "version 2 june 1991", "version 3 29 june 2007", "version 2 1 february 1999", "version 1 2 november 2002", "version 1 3 3 november 2008", "mozilla public license",
+    "mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license version 1 1", "version 1 1", "version 2 0", "boost software license version 1 0 august 17th 2003",
+    "boost software license", "unlicense", "creative commons legal code", "cc0 1 0 universal", "sil open font license", "version 1 1 26 february 2007", "blue oak model license", "version 1 0 0",
+    "do what the fuck you want to public license", "version 2 december 2004", "artistic license", "license", "licence", "copyright and permission notice",
+]
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+INLINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]"
+GAP = f"{INLINE}+"
+TITLE = f"(?:the{GAP})?(?:" + "|".join(t.replace(" ", GAP).replace("license", "licen[sc]e") for t in sorted(TITLES, key=lambda t: (-len(t), t))) + ")"
+YEAR = r"(?:(?:19|20)[0-9]{2}(?![0-9])|yyyy|year\b)"
+#: A line that states a copyright. '(c)' alone may number a paragraph.
+STATEMENT = rf"(?<![^\n]){INLINE}*(?:copyrights?\b{INLINE}*(?:\(c\)|©|c\b|{YEAR})|\(c\){INLINE}*(?:copyright|{YEAR})|©)[^\n]*"
+#: The beginning of the first line that is no heading.
+BODY_LINE = (
+    rf"(?<![^\n])(?!{INLINE}*(?:(?:copyright|\(c\)|©)[^\n]*|all rights reserved{INLINE}*|{TITLE}{INLINE}*)(?:\n|\z))"
+    rf"{INLINE}*+[a-z0-9\x{{80}}-\x{{10FFFF}}]"
+)
+
+
 def canonical(text: Column) -> Column:
     """Lower-case ASCII words with single blanks; copyright lines dropped, spellings made one. Null is empty.
 
@@ -51,14 +78,36 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
+def words(text: Column) -> Column:
+    """Lower-case text as ASCII words with single blanks, spellings made one."""
+    out = F.concat(F.lit(" "), F.regexp_replace(text, rf"{BREAK}+", "  "), F.lit(" "))
+    for old, new in SPELLINGS:
+        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.trim(F.regexp_replace(out, " +", " "))
+
+
+def body(text: Column) -> Column:
+    """The canonical form of a licence without what stands around it: title, holders, years. Null is empty.
+
+    Copyright statements ('copyright' with (c), a sign or a year) go wherever they stand; lines that
+    only name a holder, titles and 'all rights reserved' go before the first other line. A line
+    of the body that happens to begin with 'copyright' stays, so a text has one form in any wrap.
+    """
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    out = F.translate(F.coalesce(text, F.lit("")), upper, lower)
+    out = F.regexp_replace(F.regexp_replace(out, r"\r\n?", "\n"), STATEMENT, "")
+    out = words(F.regexp_replace(out, rf"(?s)\A.*?(?={BODY_LINE})", ""))
+    return F.regexp_replace(F.replace(out, F.lit("https "), F.lit("http ")), rf"^(?:(?:{TITLE.replace(GAP, ' ')}) ){{1,4}}(?=.)", "")
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
-    """(licence, digest), one row a digest: as many rows as ``texts`` at most."""
+def known(spark: SparkSession, texts: list[tuple[str, str]], form: Callable[[Column], Column] = canonical) -> DataFrame:
+    """(known_digest, licence), one row a digest: as many rows as ``texts`` at most."""
     rows = spark.createDataFrame(texts, "licence string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("licence").alias("licence"))
+    return rows.groupBy(F.sha2(form(F.col("text")), 256).alias("known_digest")).agg(F.min("licence").alias("licence"))
 
 
 def known_texts() -> list[tuple[str, str]]:
@@ -113,7 +162,7 @@ def scan(
     """Per row of ``docs``: doc_id, canon_sha256, licence, n_notices, notices.
 
     ``licence`` is that of the known text whose digest equals the digest of the whole canonical
-    text, or null. ``notices`` names, sorted and joined by commas, the licences of lines that
+    text, or else that of the known text with the same `body`, or null. ``notices`` names, sorted and joined by commas, the licences of lines that
     are known one-line notices; ``n_notices`` counts such lines. A null text counts as empty and
     matches nothing; repeated rows are scanned each; other columns are not used. ``texts`` and
     ``notices`` are by default `known_texts` and `known_notices`.
@@ -121,7 +170,10 @@ def scan(
     spark = docs.sparkSession
     texts = known_texts() if texts is None else texts
     notices = known_notices() if notices is None else notices
-    whole = F.broadcast(known(spark, texts + notices))  # as many rows as the fixed lists at most
+    # As many rows as the fixed lists at most.
+    whole = F.broadcast(known(spark, texts + notices))
+    bodies = F.broadcast(known(spark, texts, body).where(F.col("known_digest") != F.sha2(F.lit(""), 256)).select(
+        F.col("known_digest").alias("known_body"), F.col("licence").alias("body_licence")))
     lines = spark.createDataFrame(notices, "licence string, text string").select("licence", notice_form(F.col("text")).alias("form"))
     # By the first digits, then by the digest, so that a look-up reads few entries of the map.
     table = {}
@@ -134,8 +186,9 @@ def scan(
     keys = F.transform(
         F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(pattern))), lambda x: F.sha2(notice_form(x), 256))
     named = F.filter(F.transform(keys, lambda x: F.try_element_at(F.try_element_at(table, F.left(x, F.lit(3))), x)), lambda x: x.isNotNull())
-    out = docs.select("doc_id", digest(F.col("text")).alias("canon_sha256"), named.alias("named"))
-    return out.join(whole, F.col("canon_sha256") == F.col("known_digest"), "left").select(
-        "doc_id", "canon_sha256", "licence", F.size("named").cast("long").alias("n_notices"),
+    out = docs.select("doc_id", digest(F.col("text")).alias("canon_sha256"), F.sha2(body(F.col("text")), 256).alias("body"), named.alias("named"))
+    out = out.join(whole, F.col("canon_sha256") == F.col("known_digest"), "left").join(bodies, F.col("body") == F.col("known_body"), "left")
+    return out.select(
+        "doc_id", "canon_sha256", F.coalesce("licence", "body_licence").alias("licence"), F.size("named").cast("long").alias("n_notices"),
         F.array_join(F.array_sort(F.array_distinct("named")), ",").alias("notices"),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import pyarrow as pa
 import pytest
@@ -116,3 +117,18 @@ def test_notices_of_the_caller_need_no_fixed_word(spark):
     docs = spark.createDataFrame([(1, "favour, the whole ORGANIZATION")], "doc_id long, text string")
     assert licence_digest.scan(docs, [], [("B", "favor the whole organisation")]).first().notices == "B"
     assert licence_digest.scan(docs, [], []).first().n_notices == 0
+
+
+def test_licences_in_their_published_layout(spark):
+    titles = {"MIT": ["MIT License", "The MIT License (MIT)", "# MIT Licence"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License"], "Zlib": ["zlib License", "The zlib License:"]}
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n) for p in t.split("\n\n"))
+    heads = ["", "Copyright (c) 2024 Some One\n\n", "Copyright Some One and others\nAll rights reserved.\n\n", "© 2020 X\r\n\r\n", "(c) 2019 X\n\n"]
+    rows = [(k, f"{t}\n\n{h}{wrap(text, n)}\n") for k, text in licence_digest.TEXTS for t in ["", *titles[k]] for h in heads for n in (30, 48, 63, 70, 78, 10_000)]
+    rows += [(k, "  Copyright 2021 The Authors\n" + text) for k, text in licence_digest.known_texts()]
+    rows += [("Apache-2.0", text.replace("http://", "https://").replace("[yyyy] [name of copyright owner]", "2020 X")) for k, text in licence_digest.known_texts() if k == "Apache-2.0"]
+    # The line breaks before a word that the dropping of whole lines would take.
+    isc = dict(licence_digest.TEXTS)["ISC"].replace("above copyright notice", "above\ncopyright notice")
+    rows += [("ISC", isc), (None, isc.replace("copyright notice and", "copyright and")), (None, "MIT License"), (None, "Copyright (c) 2020 X"), (None, "\n" * 100_000), (None, MIT + "\nmore")]
+    got = licence_digest.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    got = {r.doc_id: r.licence for r in got}
+    assert [(i, rows[i][1][:80]) for i in range(len(rows)) if got[i] != rows[i][0]] == []
