@@ -117,28 +117,33 @@ def best_contexts(docs: DataFrame, spans: DataFrame, how: Bootstrap) -> DataFram
 
     Contexts and entities form a graph with counted edges. Seeds have score 1. In each round a
     context's score is the scored share of all its occurrences, whatever word follows, and an
-    unseen entity is one to the degree that any of its contexts says so.
+    unseen entity is one to the degree that any of its contexts says so. A round admits the
+    contexts that touch a scored entity, so that found entities lead to further contexts.
     """
     def edges(column: Column, seed: bool) -> DataFrame:
         rows = spans.select(F.explode(column).alias("m"))
         return rows.select(context(F.col("m.before")).alias("context"), F.lower("m.found").alias("entity"), F.lit(seed).alias("seed"))
 
     graph = edges(F.concat(*KINDS), True).unionByName(edges(F.col("unseen"), False)).where("context <> ''")
-    graph = store(graph.groupBy("context", "entity").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    graph = graph.groupBy("context", "entity").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    graph = store(graph)
     known = graph.groupBy("context").agg(F.count("*").alias("entities"), F.count_if("seed").alias("seeds"))
     # A context of seeds only reveals nothing and tells nothing about other entities.
-    useful = (F.col("entities") >= how.support) & (F.col("seeds") >= 1) & (F.col("seeds") < F.col("entities"))
-    wanted = store(known.where(useful).select("context"))
-    totals = store(context_totals(docs, wanted))
-    graph = store(graph.join(totals, "context"))
-    entities = graph.groupBy("entity").agg(F.max("seed").cast("double").alias("score"))
+    useful = (F.col("entities") >= how.support) & (F.col("seeds") < F.col("entities"))
+    graph = store(graph.join(known.where(useful).select("context"), "context"))
+    entities = graph.groupBy("entity").agg(F.max("seed").cast("double").alias("score")).where("score > 0")
+    totals = None
     for _ in range(how.rounds):
-        scored = graph.join(entities, "entity").groupBy("context").agg(
-            F.least(F.sum(F.col("n") * F.col("score")) / F.max("total"), F.lit(1.0)).alias("trust"))
-        scored = store(scored)
+        reached = graph.join(entities, "entity").select("context").distinct()
+        fresh = reached if totals is None else reached.join(totals, "context", "left_anti")
+        counted = store(context_totals(docs, store(fresh)))
+        totals = counted if totals is None else totals.unionByName(counted)
+        # An entity without a score yet adds nothing to a context's sum.
+        scored = store(graph.join(entities, "entity").groupBy("context").agg(F.sum(F.col("n") * F.col("score")).alias("found")).join(totals, "context").select(
+            "context", F.least(F.col("found") / F.col("total"), F.lit(1.0)).alias("trust")))
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
         entities = store(graph.join(scored, "context").groupBy("entity").agg(
-            F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - doubt).alias("score")))
+            F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - doubt).alias("score")).where("score > 0"))
     return scored.where(F.col("trust") >= how.confidence).select("context", F.col("trust").alias("score"))
 
 

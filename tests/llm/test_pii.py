@@ -79,3 +79,12 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert {d for d, r in got.items() if r.n_context} == {20, 21, 23}
     assert got[20].spans == "context:15:28" and got[23].spans == "context:15:30"
     assert all(got[i].n_phone == 1 for i in range(8))
+
+
+def test_found_identifiers_lead_to_further_contexts(spark):
+    # 'ring us on' has no seed; its numbers are found after 'call me at', and one more stands only there.
+    rows = [(i, f"Please call me at +1 234 555 {1000 + i} soon") for i in range(8)]
+    rows += [(20 + i, f"Please call me at 020 7946 {1000 + i} soon") for i in range(4)] + [(30 + i, f"or ring us on 020 7946 {1000 + i} soon") for i in range(4)]
+    rows += [(40, "or ring us on 030 1234 5678 soon"), (41, "or find it in 030 1234 9999 soon")]
+    got = {r.doc_id: r for r in pii_bootstrap.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, r in got.items() if r.n_context} == {*range(20, 24), *range(30, 34), 40}
