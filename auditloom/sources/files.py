@@ -84,7 +84,7 @@ def list_tree(
 
 def list_directories(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One level below each directory; links to directories are not followed, and a directory
-    that can't be read has no entries."""
+    that may not be read or has gone has no entries. Other errors fail the task, so that Spark tries it again."""
     system, root = pa_fs.FileSystem.from_uri(base)
     is_local = isinstance(system, pa_fs.LocalFileSystem)
     for batch in batches:
@@ -92,7 +92,7 @@ def list_directories(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[p
             rows = []
             try:
                 infos = system.get_file_info(pa_fs.FileSelector(f"{root}/{inside}"))
-            except OSError:
+            except (PermissionError, FileNotFoundError):
                 infos = []
             for info in infos:
                 is_dir = info.type == pa_fs.FileType.Directory
@@ -106,7 +106,8 @@ def list_directories(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 
 def read_contents(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contents of wanted files, in batches of bounded size; unreadable files are empty."""
+    """Contents of wanted files, in batches of bounded size; files that may not be read or have gone
+    are empty. Other errors fail the task, so that Spark tries it again."""
     system, root = pa_fs.FileSystem.from_uri(base)
     names = ["repo", "path", "size", "content"]
     types = (pa.string(), pa.string(), pa.int64(), pa.binary())
@@ -122,7 +123,7 @@ def read_contents(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 try:
                     with system.open_input_stream(f"{root}/{row['inside']}") as stream:
                         content = stream.read()
-                except OSError:
+                except (PermissionError, FileNotFoundError):
                     content = b""
             rows.append((row["repo"], row["path"], row["size"], content))
             held += len(content)

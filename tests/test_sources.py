@@ -1,11 +1,13 @@
 """Scanning directories, splitting lines, classifying paths, reading specifications."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from auditloom.dimensions import SKIP_DIRS
 from auditloom.functions import paths, text
 from auditloom.operators import text_rules
+from auditloom.sources import files as file_source
 from auditloom.sources.files import describe, read_text, scan_files
 from auditloom.sources.lines import to_lines
 from auditloom.sources.specs import parse_specs
@@ -112,3 +114,24 @@ def test_large_texts_and_specifications_are_read(spark, make_files):
     found = audit(make_files({("r", "big.py"): source, ("r", "openapi.json"): spec}), deep=True).findings
     rules = {r["rule_id"] for r in found.collect()}
     assert {"SEC-EVAL", "OPENAPI-MISSING-DESCRIPTION", "OPENAPI-MISSING-RESPONSE"} <= rules
+
+
+@pytest.mark.parametrize("error, passes", [(PermissionError, True), (FileNotFoundError, True), (OSError, False), (TimeoutError, False), (ConnectionResetError, False)])
+def test_passing_errors_fail_the_task(monkeypatch, error, passes):
+    class Store:
+        def get_file_info(self, _):
+            raise error("no")
+
+        def open_input_stream(self, _):
+            raise error("no")
+
+    fake = type("Fs", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(lambda _: (Store(), "/x"))}), "LocalFileSystem": int, "FileSelector": str})
+    monkeypatch.setattr(file_source, "pa_fs", fake)
+    listed = file_source.list_directories("x", iter([pa.RecordBatch.from_pylist([{"path": "a"}])]))
+    read = file_source.read_contents("x", iter([pa.RecordBatch.from_pylist([{"repo": "r", "path": "a", "size": 1, "inside": "a", "wanted": True}])]))
+    if passes:
+        assert [b.num_rows for b in listed] == [0] and [b.column(3).to_pylist() for b in read] == [[b""]]
+    else:
+        for batches in (listed, read):
+            with pytest.raises(error):
+                list(batches)
