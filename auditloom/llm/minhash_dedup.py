@@ -241,7 +241,12 @@ class Linker:
 
 
 def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per row: doc_id, digest, n_shingles, root (a number of its component, null without words), component_id."""
+    """Per row: doc_id, digest, n_shingles, root (a number of its component, null without words), component_id.
+
+    Bands and signatures are made for a similarity of 0.8 or more.
+    """
+    if percent < 80:
+        raise ValueError("percent must be at least 80: bands would miss pairs less similar")
     rows = docs.select("doc_id", "text").withColumn("digest", text_digest("text")[0])
     rows = store(add_columns(rows, FIELDS, lambda t: summaries(t, size)).drop("text"))
     worded = rows.where("n_shingles > 0")

@@ -114,3 +114,9 @@ def test_components(spark, kind):
             label[u] = label[v] = min(label[u], label[v])
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert [got.get(i, i) for i in range(n + 1)] == label
+
+
+def test_percent_below_the_bands_is_refused(no_docs):
+    for find in (minhash_dedup.near_duplicates, minhash_dedup.drop_near_duplicates):
+        with pytest.raises(ValueError, match="at least 80"):
+            find(no_docs, percent=79)
