@@ -160,7 +160,7 @@ def written(kind: str, spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, how: Bootstrap | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans.
+    """Per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context.
 
     Spans are kind:start:end in code points, by kind and start; those of kind ``context`` are
     identifiers that no base pattern knows. A null text counts as empty; repeated rows get the
@@ -172,7 +172,8 @@ def personal_data(docs: DataFrame, how: Bootstrap | None = None) -> DataFrame:
     more = F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("key"))
     return spans.join(extra, same, "left").select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.size(more).cast("long").alias("n_context"),
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, written("context", more)), ",").alias("spans"),
+        F.size(more).cast("long").alias("n_context"),
     )

@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **how) ->
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """Per row of ``docs``: doc_id, the base counts, base_failed, rule (0: none), kept.
+    """Per row of ``docs``: doc_id, the base counts, base_failed, kept, rule (0: none).
 
     Null and empty texts have zero counts and fail the base rule; repeated rows are judged each;
     other columns of ``docs`` are not used; an empty table gives an empty table.
@@ -173,4 +173,4 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.select(
         "doc_id", *COUNTS, failed.alias("base_failed"), rules.number().cast("int").alias("rule"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    ).select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")

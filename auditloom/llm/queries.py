@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import bin_packing, fm_decontam, kernel_classifier, licence_digest, minhash_dedup, pii_bootstrap, pivotal_mix, quality_rules, secret_automaton, suffix_levels
+from auditloom.llm import (
+    bin_packing, bit_slices, fm_decontam, kernel_classifier, language_id, licence_digest, minhash_dedup, pii_bootstrap, pivotal_mix,
+    prefix_trie, quality_rules, secret_automaton, suffix_levels,
+)
 from auditloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +56,19 @@ def op10_kernel_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op12_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.search(bit_slices.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuild(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -64,6 +80,9 @@ QUERIES: dict[str, Query] = {
     "op8_fm_decontam": op8_fm_decontam,
     "op9_licence_digest": op9_licence_digest,
     "op10_kernel_classifier": op10_kernel_classifier,
+    "op11_language_id": op11_language_id,
+    "op12_bit_slices": op12_bit_slices,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,9 +165,64 @@ def licence_sql() -> str:
         LEFT JOIN known k ON d.digest = k.digest LEFT JOIN noticed n ON d.doc_id = n.doc_id
     """
 
+SEARCH_SQL = r"""
+    WITH doc AS (
+        SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    size AS (SELECT k, doc_id, len(w) AS n FROM doc WHERE len(w) > 0),
+    corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size),
+    tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM doc) GROUP BY k, term),
+    asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    weight AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight
+        FROM tf, corpus WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+    score AS (
+        SELECT item_id, s.doc_id, s.k, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * docs) // terms))))) AS BIGINT) AS score
+        FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN size s USING (k), corpus GROUP BY item_id, s.doc_id, s.k),
+    ranked AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+        FROM score WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+""".replace("LOWERED", LOWERED)
+
+#: CRC-32 of the decimal conv_id, bit by bit: a step below 0 shifts once.
+CRC32_SQL = """
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+        string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))
+"""
+
+TRIE_SQL = f"""
+    WITH turn AS (
+        SELECT conv_id AS c, md5(length(r) || ':' || r || t) AS m, length(t) AS n,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || t)) AS k
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+    conv AS (SELECT c, c - c % 100 AS base, {CRC32_SQL} % 6 AS h FROM (SELECT DISTINCT c FROM turn)),
+    rebuilt AS (
+        SELECT conv.c, 0 AS part, k, m, n FROM conv JOIN turn ON turn.c = base AND k <= h
+        UNION ALL SELECT conv.c, 1, k, m, n FROM conv JOIN turn ON turn.c = conv.c AND k > h),
+    prefix AS (
+        SELECT c, row_number() OVER w AS d, string_agg(m, '') OVER w AS p, n FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, k)
+        UNION ALL SELECT c, 0, '', 0 FROM conv),
+    node AS (SELECT p, d, min(c) AS c, count(*) AS members, max(n) AS n FROM prefix GROUP BY p, d),
+    ended AS (
+        SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+        FROM (SELECT c, arg_max(p, d) AS p FROM prefix GROUP BY c) GROUP BY p),
+    children AS (SELECT substr(p, 1, 32 * (d - 1)) AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+    below AS (
+        SELECT substr(node.p, 1, 32 * e) AS p, sum((members - 1) * node.n) AS saved, count(*) FILTER (children.p IS NULL) AS leaves
+        FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM node) node LEFT JOIN children USING (p) GROUP BY 1)
+    SELECT node.c AS conv_id, node.d AS depth, up.c AS parent_conv_id, node.members AS n_convs, coalesce(children.n, 0) AS n_children,
+           leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM node JOIN below USING (p) LEFT JOIN ended USING (p) LEFT JOIN children USING (p)
+    LEFT JOIN node up ON node.d > 0 AND up.p = substr(node.p, 1, 32 * (node.d - 1))
+"""
+
 
 ORACLES: dict[str, str] = {
     "op6_minhash_dedup": NEAR_DUPLICATES_SQL,
     "op8_fm_decontam": CONTAMINATION_SQL,
     "op9_licence_digest": licence_sql(),
+    "op12_bit_slices": SEARCH_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }

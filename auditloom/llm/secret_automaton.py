@@ -257,11 +257,13 @@ def found_columns(texts: Texts, machine: Automaton) -> list:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, a count for each kind, base_sha256, spans.
+    """Per row of ``docs``: doc_id, a count for each base kind, base_sha256, spans, a count for each further kind.
 
     A null text counts as empty; repeated rows are searched each; other columns are not used;
     an empty table gives an empty table. Spans of one kind never overlap; of two kinds they may.
     """
     # Compiled once; its size depends on the rules only.
     machine = docs.sparkSession.sparkContext.broadcast(automaton())
-    return add_columns(docs.select("doc_id", "text"), FIELDS, lambda t: found_columns(t, machine.value)).drop("text")
+    found = add_columns(docs.select("doc_id", "text"), FIELDS, lambda t: found_columns(t, machine.value))
+    base, further = ([f"n_{r.kind}" for r in RULES if r.base == kind] for kind in (True, False))
+    return found.select("doc_id", *base, "base_sha256", "spans", *further)
