@@ -6,21 +6,19 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from auditloom.operators.findings import emit
-from auditloom.session import cut, cut_counting
+from auditloom.session import cut_counting, cut_round, forget, stored
 
 # Fixed value: a file that imports more local files than this is highly coupled.
 MANY_IMPORTS = 10
 
-HOPS = 2  # propagation steps computed by one job
-COMPACT_EVERY = 8  # search levels after which the visited nodes become one table
-
 
 def ring_nodes(edges: DataFrame) -> DataFrame:
     """(g, node, root, left) of the components that are one plain ring.
 
-    ``left`` is the number of steps from the node to the last one before the root. Pointer
-    doubling: every job doubles the stretch a node knows, so the number of jobs is the
-    logarithm of the longest ring. Nodes whose way leads to a branching or an end drop out.
+    ``root`` is the ring's smallest node and ``left`` the number of steps to it, 0 for itself.
+    Pointer doubling: every step doubles the stretch in which a node knows the smallest and how far
+    it is, so the number of jobs is the logarithm of the longest ring. Nodes whose way leads to a
+    branching or an end drop out.
     """
     plain = edges.filter("src <> dst").select("g", "src", "dst").distinct()
     forked = edges.filter("src = dst").select("g", F.col("src").alias("node")).distinct()
@@ -28,165 +26,266 @@ def ring_nodes(edges: DataFrame) -> DataFrame:
     entering = plain.groupBy("g", F.col("dst").alias("node")).agg(F.count("*").alias("n"))
     single = leaving.filter("n = 1").join(entering.filter("n = 1").select("g", "node"), ["g", "node"]).join(
         forked, ["g", "node"], "left_anti").select("g", "node", "next")
-    state, size = cut_counting(single.withColumn("low", F.col("node")), F.lit(True))
-    changed = size
+    state, size = cut_counting(single.withColumns({"low": F.col("node"), "left": F.lit(0).cast("long")}), F.lit(True))
+    changed, turn = size, 0
     while changed:
-        far = state.select("g", F.col("node").alias("next"), F.col("next").alias("beyond"), F.col("low").alias("low_beyond"))
+        far = state.select("g", F.col("node").alias("next"), F.col("next").alias("beyond"), F.col("low").alias("low_beyond"), F.col("left").alias("more"))
+        lower = F.col("low_beyond") < F.col("low")
         step = state.join(far, ["g", "next"]).select(
             "g", "node", F.col("beyond").alias("next"), F.least("low", "low_beyond").alias("low"),
-            (F.col("low_beyond") < F.col("low")).alias("lower"),
+            F.when(lower, F.col("more") + (1 << turn)).otherwise(F.col("left")).alias("left"), lower.alias("lower"),
         )
         seen = Observation()
-        step = cut(step.observe(seen, F.count("*").alias("n"), F.count_if("lower").alias("lower")))
+        step = cut_round(step.observe(seen, F.count("*").alias("n"), F.count_if("lower").alias("lower")), turn)
         got = seen.get
         changed = got["n"] and (got["lower"] or size - got["n"])
-        state, size = step.drop("lower"), got["n"]
-    rings = state.select("g", "node", F.col("low").alias("root")).join(single, ["g", "node"])
-    # The same doubling on the ring cut before its root counts the steps to the cut.
-    ends = F.col("next") == F.col("root")
-    state, open_ways = cut_counting(rings.select(
-        "g", "node", "root", F.when(~ends, F.col("next")).alias("next"), F.when(ends, 0).otherwise(1).cast("long").alias("left"),
-    ), F.col("next").isNotNull())
-    while open_ways:
-        far = state.select("g", F.col("node").alias("next"), F.col("next").alias("beyond"), F.col("left").alias("more"))
-        state, open_ways = cut_counting(state.join(far, ["g", "next"], "left").select(
-            "g", "node", "root", F.col("beyond").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"),
-        ), F.col("next").isNotNull())
-    return state.select("g", "node", "root", "left")
+        forget(state)
+        state, size, turn = step, got["n"], turn + 1
+    return state.select("g", "node", F.col("low").alias("root"), "left")
 
 
 def ring_cycles(nodes: DataFrame) -> DataFrame:
     """(g, root, cycle): each plain ring from its root once around; a row is as long as its ring."""
-    placed = F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "node")))
+    at = F.when(F.col("node") == F.col("root"), F.lit(None)).otherwise(-F.col("left"))
+    placed = F.sort_array(F.collect_list(F.struct(at.alias("at"), "node")))
     return nodes.groupBy("g", "root").agg(F.transform(placed, lambda p: p["node"]).alias("nodes")).select(
         "g", "root", F.concat("nodes", F.array("root")).alias("cycle"))
 
 
 def without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges that leave none of the given nodes."""
-    return edges.join(nodes.select("g", F.col("node").alias("src")), ["g", "src"], "left_anti").select("g", "src", "dst")
-
+    """Edges that touch none of the given nodes."""
+    left = edges.join(nodes.select("g", F.col("node").alias("src")), ["g", "src"], "left_anti")
+    return left.join(nodes.select("g", F.col("node").alias("dst")), ["g", "dst"], "left_anti").select("g", "src", "dst")
 
-def cyclic_components(edges: DataFrame) -> DataFrame:
-    """(g, node, root) for every node on a cycle of ``edges(g, src, dst)``; plain rings by doubling."""
-    rings = ring_nodes(edges)
-    return rings.select("g", "node", "root").unionByName(other_components(without(edges, rings)))
 
+def dead_ends(edges: DataFrame) -> DataFrame:
+    """(g, node) of nodes on plain ways that end, or that begin from nothing; none lies on a cycle.
 
-def other_components(edges: DataFrame) -> DataFrame:
-    """(g, node, root) for every node on a cycle of ``edges(g, src, dst)``.
-
-    ``root`` is the smallest node of the strongly connected component. Colouring: the
-    smallest label flows forward until it settles; inside one colour, the nodes that
-    reach the colour's root backwards are the root's component. State is one row per
-    node and edge, never a table of reachable pairs, and rounds are cut off from their
-    lineage through the shared checkpoint folder.
+    A node with one way on points to its end; a node with one way in, to its start. Pointer
+    doubling finds the last node of every such way in as many jobs as the logarithm of its length.
     """
-    distinct = edges.select("g", "src", "dst").distinct()
-    loops = distinct.filter("src = dst").select("g", F.col("src").alias("node"), F.col("src").alias("root"))
-    parts = []
-    active, size = trim(distinct.filter("src <> dst"))
-    while size:
-        colour = settle_colours(active)
-        same = cut(
-            active.join(colour.select("g", F.col("node").alias("src"), "colour"), ["g", "src"])
-            .join(colour.select("g", F.col("node").alias("dst"), F.col("colour").alias("other")), ["g", "dst"])
-            .filter("colour = other").select("g", "src", "dst", "colour")
-        )
-        component = reach_back(same)
-        parts.append(component)
-        done = component.select("g", "node")
-        rest = active.join(done.withColumnRenamed("node", "src"), ["g", "src"], "left_anti")
-        rest = rest.join(done.withColumnRenamed("node", "dst"), ["g", "dst"], "left_anti")
-        active, size = trim(rest.select("g", "src", "dst"))
-    out = loops
-    for part in parts:
-        out = out.unionByName(part)
-    # A self-loop on a larger component's node names itself as root; the smaller root wins.
-    return out.groupBy("g", "node").agg(F.min("root").alias("root"))
+    ahead = edges.select("g", F.lit(True).alias("ahead"), F.col("src").alias("node"), F.col("dst").alias("next"))
+    ways = ahead.unionByName(edges.select("g", F.lit(False).alias("ahead"), F.col("dst").alias("node"), F.col("src").alias("next")))
+    single = ways.groupBy("g", "ahead", "node").agg(F.min("next").alias("next"), F.count("*").alias("n"))
+    ends = stored(ways.select("g", "ahead", F.col("next").alias("node")).distinct().join(single, ["g", "ahead", "node"], "left_anti"), "graph")
+    ended = ends.select("g", "ahead", F.col("node").alias("next"), F.lit(True).alias("ended"))
+    # A way that is known to end points nowhere; one that reaches a fork keeps pointing there.
+    state, found = cut_counting(single.filter("n = 1").join(ended, ["g", "ahead", "next"], "left").select(
+        "g", "ahead", "node", F.when(F.col("ended").isNull(), F.col("next")).alias("next")), F.col("next").isNull())
+    before = turn = 0
+    while found > before:
+        before, passed, turn = found, state, turn + 1
+        far = state.select("g", "ahead", F.col("node").alias("next"), F.col("next").alias("beyond"), F.lit(True).alias("known"))
+        state, found = cut_counting(state.join(far, ["g", "ahead", "next"], "left").select(
+            "g", "ahead", "node", F.when(F.col("known"), F.col("beyond")).otherwise(F.col("next")).alias("next")), F.col("next").isNull(), turn)
+        forget(passed)
+    return state.filter("next IS NULL").select("g", "node").unionByName(ends.select("g", "node")).distinct()
 
 
 def trim(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Drop edges that cannot lie on a cycle: nothing enters their start or leaves their end."""
+    """Edges without dead ends, as long as a round drops an eighth of them at least, and their number.
+
+    So the number of rounds is logarithmic; what stays may still hold edges off every cycle.
+    """
     current, size = cut_counting(edges, F.lit(True))
     while size:
-        entered = current.select("g", F.col("dst").alias("src")).distinct()
-        left_by = current.select("g", F.col("src").alias("dst")).distinct()
-        kept = current.join(entered, ["g", "src"], "left_semi").join(left_by, ["g", "dst"], "left_semi")
-        kept, left = cut_counting(kept.select("g", "src", "dst"), F.lit(True))
-        if left == size:
-            break
+        kept, left = cut_counting(without(current, stored(dead_ends(current), "graph")), F.lit(True))
+        if 8 * (size - left) < size:
+            return kept, left
         current, size = kept, left
     return current, size
 
 
-def settle_colours(edges: DataFrame) -> DataFrame:
-    """(g, node, colour): the smallest label that reaches each node, itself included."""
+def skip_links(edges: DataFrame) -> DataFrame:
+    """(g, src, dst, w): the edges, and ways of w = 2, 4, 8, ... edges along chosen neighbours.
+
+    Every node has four pointers: its least and greatest neighbour ahead and behind. Pointers are
+    doubled until they span the largest graph. A link says that a way exists and how long it is, so
+    links change neither who reaches whom nor distances, only how many steps a search takes. A node
+    has at most four links for each power of two.
+    """
+    chosen = []
+    for ahead, node, other in ((True, "src", "dst"), (False, "dst", "src")):
+        for pick in ("min", "max"):
+            chosen.append(edges.groupBy("g", F.col(node).alias("node")).agg(F.expr(f"{pick}({other})").alias("next")).select(
+                "g", F.lit(ahead).alias("ahead"), F.lit(pick).alias("pick"), "node", "next"))
+    state = chosen[0]
+    for more in chosen[1:]:
+        state = state.unionByName(more)
+    state, size = cut_counting(state, F.lit(True))
+    states = [state]
+    # One row for each graph.
+    most = edges.select("g", F.col("src").alias("node")).distinct().groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    links, span = edges.select("g", "src", "dst", F.lit(1).cast("long").alias("w")), 1
+    while size and 2 * span <= most:
+        far = state.select("g", "ahead", "pick", F.col("node").alias("next"), F.col("next").alias("beyond"))
+        state, size = cut_counting(state.join(far, ["g", "ahead", "pick", "next"]).select(
+            "g", "ahead", "pick", "node", F.col("beyond").alias("next")), F.lit(True), len(states))
+        span *= 2
+        states.append(state)
+        links = links.unionByName(state.filter("node <> next").select(
+            "g", F.when(F.col("ahead"), F.col("node")).otherwise(F.col("next")).alias("src"),
+            F.when(F.col("ahead"), F.col("next")).otherwise(F.col("node")).alias("dst"), F.lit(span).cast("long").alias("w"),
+        ))
+    links = stored(links.groupBy("g", "src", "dst").agg(F.min("w").alias("w")), "graph")
+    forget(*states)
+    return links
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """(g, node, root) for every node on a cycle of ``edges(g, src, dst)``; root is its component's smallest node."""
+    return Cycles(edges).components()
+
+
+class Cycles:
+    """The cyclic part of ``edges(g, src, dst)``: plain rings, loops, and a core of whatever is left.
+
+    Every search takes a number of jobs that grows with the logarithm of the graph: rings, dead
+    ends and links by pointer doubling; components by forward and backward reach over links, with
+    labels drawn anew each round; shortest ways over links. State is one row for each node, edge
+    or link, never a table of reachable pairs. Rounds are cut off from their lineage through the
+    shared checkpoint folder.
+    """
+
+    def __init__(self, edges: DataFrame):
+        distinct, self.n_loops = cut_counting(edges.select("g", "src", "dst").distinct(), F.col("src") == F.col("dst"))
+        self.loops = distinct.filter("src = dst")
+        plain, size = trim(distinct.filter("src <> dst"))
+        # A ring with a loop on it isn't plain.
+        self.rings = ring_nodes(plain.unionByName(self.loops)) if size else self.nothing(distinct)
+        self.core, self.size = cut_counting(without(plain, self.rings), F.lit(True)) if size else (plain, 0)
+        self.links = skip_links(self.core) if self.size else None
+
+    @staticmethod
+    def nothing(edges: DataFrame) -> DataFrame:
+        return edges.select("g", F.col("src").alias("node"), F.col("src").alias("root"), F.lit(0).cast("long").alias("left")).filter(F.lit(False))
+
+    def core_components(self) -> DataFrame:
+        """(g, node, root) for nodes that are on a cycle of the core or have a loop."""
+        parts = []
+        active, size, turn = self.links.select("g", "src", "dst") if self.size else None, self.size, 0
+        while size:
+            same = same_colour(active, turn)
+            component = reach_back(same)
+            parts.append(component)
+            # A component has one colour: edges between colours are done with.
+            active, size = cut_counting(without(same.select("g", "src", "dst"), component), F.lit(True))
+            turn += 1
+        out = self.loops.select("g", F.col("src").alias("node"), F.col("src").alias("root"))
+        for part in parts:
+            # A root that nothing leads back to is no component.
+            names = part.groupBy("g", "colour").agg(F.min("node").alias("root"), F.count("*").alias("n")).filter("n > 1")
+            out = out.unionByName(part.join(names, ["g", "colour"]).select("g", "node", "root"))
+        # A loop on a larger component's node names its node as root; the smaller root wins.
+        return stored(out.groupBy("g", "node").agg(F.min("root").alias("root")), "graph")
+
+    def components(self) -> DataFrame:
+        return self.rings.select("g", "node", "root").unionByName(self.core_components())
+
+    def shortest(self) -> DataFrame:
+        """(g, root, cycle): a shortest cycle through each component's smallest node.
+
+        Of equally short ones it is that whose nodes, read from the root on, sort first.
+        """
+        plain = ring_cycles(self.rings)
+        if not self.size and not self.n_loops:
+            return plain
+        return plain.unionByName(shortest_cycles(self.core.unionByName(self.loops), self.links, self.core_components()))
+
+
+def same_colour(edges: DataFrame, turn: int) -> DataFrame:
+    """(g, src, dst, colour): edges within a colour; a node has the least label that reaches it.
+
+    Labels are drawn by hash for each turn, so that of components on a way only some few have a
+    label less than all before them, and the number of turns is logarithmic in expectation.
+    """
     nodes = edges.select("g", F.col("src").alias("node")).union(edges.select("g", "dst")).distinct()
-    colour, changed = nodes.withColumn("colour", F.col("node")), 1
+    label = F.concat(F.lpad(F.hex(F.xxhash64(F.lit(turn), "g", "node")), 16, "0"), "node")
+    colour, changed = nodes.withColumn("colour", label), 1
     while changed:
-        step = colour.withColumn("before", F.col("colour"))
-        for _ in range(HOPS):
-            sent = edges.join(step.select("g", F.col("node").alias("src"), "colour"), ["g", "src"]).select(
-                "g", F.col("dst").alias("node"), "colour", F.lit(None).cast("string").alias("before")
-            )
-            step = step.unionByName(sent).groupBy("g", "node").agg(
-                F.min("colour").alias("colour"), F.max("before").alias("before")
-            )
-        step, changed = cut_counting(step, F.col("colour") != F.col("before"))
-        colour = step.select("g", "node", "colour")
-    return colour
+        known = colour.select("g", "node", "colour", F.col("colour").alias("before"))
+        sent = edges.join(colour.select("g", F.col("node").alias("src"), "colour"), ["g", "src"]).select(
+            "g", F.col("dst").alias("node"), "colour", F.lit(None).cast("string").alias("before"))
+        both = known.unionByName(sent).groupBy("g", "node").agg(F.min("colour").alias("colour"), F.max("before").alias("before"))
+        colour, changed = cut_counting(both, F.col("colour") != F.col("before"))
+    return stored(
+        edges.join(colour.select("g", F.col("node").alias("src"), "colour"), ["g", "src"])
+        .join(colour.select("g", F.col("node").alias("dst"), F.col("colour").alias("other")), ["g", "dst"])
+        .filter("colour = other").select("g", "src", "dst", "colour"),
+        "graph",
+    )
 
 
 def reach_back(edges: DataFrame) -> DataFrame:
-    """(g, node, root): nodes that lead to their colour's root along edges of that colour."""
-    reached = edges.select("g", F.col("colour").alias("node"), F.col("colour").alias("root")).distinct()
-    back = edges.select("g", F.col("src").alias("node"), F.col("dst").alias("to"), F.col("colour").alias("root"))
+    """(g, node, colour): nodes that lead to the node that their colour is named after."""
+    reached = edges.select("g", F.expr("substr(colour, 17)").alias("node"), "colour").distinct()
+    back = edges.select("g", F.col("src").alias("node"), F.col("dst").alias("to"), "colour")
     fresh = 1
     while fresh:
-        grown = reached.withColumn("fresh", F.lit(False))
-        for _ in range(HOPS):
-            step = back.join(
-                grown.select("g", F.col("node").alias("to"), "root"), ["g", "to", "root"], "left_semi"
-            ).select("g", "node", "root", F.lit(True).alias("fresh"))
-            grown = grown.unionByName(step).groupBy("g", "node", "root").agg(F.bool_and("fresh").alias("fresh"))
-        grown, fresh = cut_counting(grown, F.col("fresh"))
-        reached = grown.select("g", "node", "root")
-    return reached
-
-
-def shortest_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(g, root, cycle): a shortest cycle through each component's smallest node.
-
-    Breadth first from the roots of all components at once. A node keeps only the
-    smallest of its equally short paths, a node once visited is not visited again, and a
-    component whose cycle has closed leaves the search.
-    """
+        known = reached.select("g", "node", "colour", F.lit(False).alias("fresh"))
+        step = back.join(
+            reached.select("g", F.col("node").alias("to"), "colour"), ["g", "to", "colour"], "left_semi"
+        ).select("g", "node", "colour", F.lit(True).alias("fresh"))
+        grown = known.unionByName(step).groupBy("g", "node", "colour").agg(F.bool_and("fresh").alias("fresh"))
+        reached, fresh = cut_counting(grown, F.col("fresh"))
+    return reached.select("g", "node", "colour")
+
+
+def within_components(edges: DataFrame, components: DataFrame, *more: str) -> DataFrame:
+    """(g, root, src, dst, ...): edges between nodes of one component; ways between them stay inside."""
     start = components.select("g", F.col("node").alias("src"), "root")
     end = components.select("g", F.col("node").alias("dst"), F.col("root").alias("other"))
-    inner = cut(
-        edges.select("g", "src", "dst").distinct().join(start, ["g", "src"]).join(end, ["g", "dst"])
-        .filter("root = other").select("g", "root", "src", "dst")
-    )
-    roots = components.select("g", "root").distinct()
-    frontier = roots.select("g", "root", F.col("root").alias("src"), F.array("root").alias("cycle"))
-    visited = roots.select("g", "root", F.col("root").alias("src"))
-    out = frontier.select("g", "root", "cycle").filter(F.lit(False))
-    level, open_paths = 0, 1
-    while open_paths:
-        step = inner.join(frontier, ["g", "root", "src"]).groupBy("g", "root", "dst").agg(F.min("cycle").alias("cycle"))
-        step = step.select("g", "root", "dst", F.concat("cycle", F.array("dst")).alias("cycle"))
-        step, open_paths = cut_counting(step, F.col("dst") != F.col("root"))
-        closed = step.filter("dst = root").select("g", "root", "cycle")
-        out = out.unionByName(closed)
-        onward = step.filter("dst <> root").withColumnRenamed("dst", "src")
-        frontier = onward.join(closed, ["g", "root"], "left_anti").join(visited, ["g", "root", "src"], "left_anti")
-        visited = visited.unionByName(onward.select("g", "root", "src"))
-        level += 1
-        if level % COMPACT_EVERY == 0:
-            frontier = cut(frontier)
-            visited = cut(visited.distinct().join(closed, ["g", "root"], "left_anti"))
-    return out
+    return edges.join(start, ["g", "src"]).join(end, ["g", "dst"]).filter("root = other").select("g", "root", "src", "dst", *more)
+
+
+def distances_to_root(links: DataFrame, components: DataFrame) -> DataFrame:
+    """(g, root, node, d): edges on a shortest way from each node to its root.
+
+    Relaxation over links by those rows alone that the round before has changed.
+    """
+    roots = components.select("g", "root", F.col("root").alias("node"), F.lit(0).cast("long").alias("d")).distinct()
+    known, changed = cut_counting(roots.withColumn("fresh", F.lit(True)), F.col("fresh"))
+    while changed:
+        moved = known.filter("fresh").select("g", "root", F.col("node").alias("dst"), F.col("d").alias("rest"))
+        tried = links.join(moved, ["g", "root", "dst"]).select("g", "root", F.col("src").alias("node"), (F.col("w") + F.col("rest")).alias("d"))
+        both = known.select("g", "root", "node", "d", F.col("d").alias("before")).unionByName(tried.withColumn("before", F.lit(None).cast("long")))
+        known, changed = cut_counting(both.groupBy("g", "root", "node").agg(F.min("d").alias("d"), F.max("before").alias("before")).select(
+            "g", "root", "node", "d", (F.col("before").isNull() | (F.col("d") < F.col("before"))).alias("fresh")), F.col("fresh"))
+    return known.drop("fresh")
+
+
+def shortest_cycles(edges: DataFrame, links: DataFrame | None, components: DataFrame) -> DataFrame:
+    """(g, root, cycle) for the ``components(g, node, root)`` of a graph and its ``skip_links``, if it has any.
+
+    Each node points to the neighbour nearest to the root, of equally near ones to the smallest;
+    the way that begins at the root is read by doubling the pointers, and its nodes sort by their
+    distance. A row is as long as its cycle.
+    """
+    inner = stored(within_components(edges, components), "graph")
+    known = inner.select("g", "root", "src", "dst", F.lit(1).cast("long").alias("w"))
+    if links is not None:
+        known = stored(within_components(links, components, "w"), "graph")
+    distance = distances_to_root(known, components)
+    nearest = inner.join(distance.withColumnRenamed("node", "dst"), ["g", "root", "dst"]).groupBy("g", "root", F.col("src").alias("node")).agg(
+        F.min(F.struct("d", "dst")).alias("to"))
+    pointer = stored(nearest.select("g", "root", "node", F.col("to.dst").alias("next")), "graph")
+    # The way ends where it comes back to the root.
+    jump = pointer.filter("node <> root AND next <> root")
+    on_way, found = cut_counting(pointer.filter("node = root AND next <> root").select("g", "root", F.col("next").alias("node")), F.lit(True))
+    before = turn = 0
+    while found > before:
+        before, passed, turn = found, on_way, turn + 1
+        ahead = jump.join(on_way, ["g", "root", "node"]).select("g", "root", F.col("next").alias("node"))
+        on_way, found = cut_counting(on_way.unionByName(ahead).distinct(), F.lit(True), turn)
+        forget(passed)
+        if found > before:
+            far = jump.select("g", "root", F.col("node").alias("next"), F.col("next").alias("beyond"))
+            jump = cut_round(jump.join(far, ["g", "root", "next"]).select("g", "root", "node", F.col("beyond").alias("next")), turn)
+    placed = on_way.join(distance, ["g", "root", "node"]).groupBy("g", "root").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("at"), "node"))).alias("nodes"))
+    between = F.coalesce(F.transform("nodes", lambda p: p["node"]), F.array().cast("array<string>"))
+    return components.select("g", "root").distinct().join(placed, ["g", "root"], "left").select(
+        "g", "root", F.concat(F.array("root"), between, F.array("root")).alias("cycle"))
 
 
 def module_index(files: DataFrame) -> DataFrame:
@@ -235,11 +334,7 @@ def import_edges(imports: DataFrame, index: DataFrame) -> DataFrame:
 
 def cycles_per_repo(edges: DataFrame) -> DataFrame:
     """(repo, root, cycle) for edges(repo, src, dst)."""
-    graph = cut(edges.select(F.col("repo").alias("g"), "src", "dst").distinct())
-    rings = ring_nodes(graph)
-    rest = cut(without(graph, rings))
-    found = ring_cycles(rings).unionByName(shortest_cycles(rest, cut(other_components(rest))))
-    return found.withColumnRenamed("g", "repo")
+    return Cycles(edges.withColumnRenamed("repo", "g")).shortest().withColumnRenamed("g", "repo")
 
 
 def circular_imports(edges: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from auditloom.plans.expected import (
     PATH_SQL, findings_sql, labelled_sql, literal, per_template_sql, sums_sql, values,
 )
 from auditloom.plans.seeded import seeded_files
-from auditloom.session import shared_dir
+from auditloom.session import scratch_dir
 from auditloom.sources.facts import extract_facts, store_facts, syntax_errors
 from auditloom.sources.files import describe, heuristic_scope, select_python, select_text
 from auditloom.sources.lines import to_lines
@@ -517,7 +517,7 @@ def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(text_rules.file_findings(files, ["SEC-SECRET-SCAN", "DOCKER-REMOTE-ADD"]))
         .unionByName(route_rules.missing_dependencies(facts))
     )
-    place = f"{shared_dir(spark)}/reports-{uuid.uuid4()}"
+    place = f"{scratch_dir(spark)}/reports-{uuid.uuid4()}"
     reports.write_findings(dedup(with_defaults(found)), f"{place}/findings")
     reports.write_documents(reports.to_sarif(spark.read.parquet(f"{place}/findings")), f"{place}/sarif")
     logs = spark.read.parquet(f"{place}/sarif")

@@ -12,7 +12,7 @@ from auditloom.operators import ingest, spec_rules
 from auditloom.plans.bound.base import DOC_FINDINGS_SQL, bind, table
 from auditloom.plans.expected import literal
 from auditloom.plans.round_trips import spec_files, tool_reports
-from auditloom.session import shared_dir
+from auditloom.session import scratch_dir
 from auditloom.sources.files import describe
 from auditloom.sources.specs import endpoints, parse_specs, store_specs
 from auditloom.streaming.incremental import changed_arrivals, run_available, stream_audit
@@ -191,7 +191,7 @@ def incremental_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"), F.octet_length("text").alias("size"), "arrived",
     ))
     counts = stream_audit(arriving, WINDOW, None)
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
+    place = f"{scratch_dir(spark)}/stream-{uuid.uuid4()}"
     run_available(counts, f"{place}/counts", f"{place}/checkpoint")
     written = spark.read.schema(counts.schema).parquet(f"{place}/counts")
     return written.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "repo", "severity", "n")

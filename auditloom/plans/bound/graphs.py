@@ -113,8 +113,55 @@ def long_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.format_string("%012d", c)
     edges = rows.select(F.concat(F.lit("b"), F.col("block").cast("string")).alias("repo"), name("doc_id").alias("src"), target.alias("to"))
     edges = edges.filter("to IS NOT NULL").select("repo", "src", name("to").alias("dst"))
+    return shown_ways(graph.cycles_per_repo(edges))
+
+
+# Blocks of 200 documents in the order of their ids, each a graph of one of five kinds, by n nodes and position k:
+# a ring with a chord 50 -> 150; a ladder without a cycle; two rings that share node 100; a chain with one
+# edge back, 120 -> 119; a ladder with an edge from the last node to the first.
+BLOCKS_SQL = """
+    SELECT doc_id, doc_id // 200 AS block, doc_id // 200 % 5 AS kind, count(*) OVER w AS n,
+           row_number() OVER (PARTITION BY doc_id // 200 ORDER BY doc_id) - 1 AS k
+    FROM documents WINDOW w AS (PARTITION BY doc_id // 200)
+"""
+
+
+@bind("g3_chords_and_chains", f"""
+    SELECT 'b' || block AS repo, CAST(min(doc_id) AS VARCHAR) AS root, count(*) + 1 AS n_members,
+           md5(string_agg(CAST(doc_id AS VARCHAR), '>' ORDER BY doc_id) || '>' || min(doc_id)) AS way
+    FROM ({BLOCKS_SQL}) WHERE n > 1 AND CASE kind
+        WHEN 0 THEN n <= 151 OR k <= 50 OR k >= 150
+        WHEN 2 THEN n > 101 AND k <= 100
+        WHEN 3 THEN n > 120 AND k IN (119, 120)
+        WHEN 4 THEN n > 2 AND (k = 0 OR k % 2 = (n - 1) % 2)
+        ELSE false END
+    GROUP BY block
+""")
+def chords_and_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest cycles of long rings, ladders and chains, some with a second way."""
+    group = Window.partitionBy("block")
+    # A block has a fixed number of ids, so no window grows with the table.
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 200).alias("block")).withColumns({
+        "n": F.count("*").over(group), "k": F.row_number().over(group.orderBy("doc_id")) - 1, "kind": F.col("block") % 5,
+    })
+    to = lambda when, k: F.when(when, k)
+    kind, n, k = F.col("kind"), F.col("n"), F.col("k")
+    targets = F.array(
+        to(k + 1 < n, k + 1), to(kind.isin(1, 4) & (k + 2 < n), k + 2), to((kind == 0) & (k == 50) & (n > 150), F.lit(150)),
+        to(kind.isin(0, 4) & (k + 1 == n) & (n > 1), F.lit(0)), to((kind == 2) & (k == 100) & (n > 101), F.lit(0)),
+        to((kind == 2) & (k + 1 == n) & (n > 101), F.lit(100)), to((kind == 3) & (k == 120), F.lit(119)),
+    )
+    steps = rows.select("block", "doc_id", F.explode(F.filter(targets, lambda t: t.isNotNull())).alias("k"))
+    name = lambda c: F.format_string("%012d", c)
+    edges = steps.join(rows.select("block", "k", F.col("doc_id").alias("to")), ["block", "k"]).select(
+        F.concat(F.lit("b"), F.col("block").cast("string")).alias("repo"), name("doc_id").alias("src"), name("to").alias("dst"))
+    return shown_ways(graph.cycles_per_repo(edges))
+
+
+def shown_ways(cycles: DataFrame) -> DataFrame:
+    """Root, length and digest of cycles whose names are numbers."""
     short = F.transform("cycle", lambda n: n.cast("long").cast("string"))
-    return graph.cycles_per_repo(edges).select(
+    return cycles.select(
         "repo", F.col("root").cast("long").cast("string").alias("root"), F.size("cycle").cast("long").alias("n_members"),
         F.md5(F.array_join(short, ">")).alias("way"),
     )

@@ -23,7 +23,7 @@ from auditloom.plans.bound.base import (
     document_findings, score_sql, secret_rows_sql, table,
 )
 from auditloom.plans.expected import literal
-from auditloom.session import cut, shared_dir, spread
+from auditloom.session import cut, scratch_dir, spread
 from auditloom.sources.files import exclude, files_from_table, heuristic_scope, include, read_text, scan_files
 from auditloom.sources.lines import to_lines
 
@@ -67,7 +67,7 @@ def write_tree(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 """)
 def scanned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as a directory tree with pruned folders in it, and scanned again."""
-    base = f"{shared_dir(spark)}/tree-{uuid.uuid4()}"
+    base = f"{scratch_dir(spark)}/tree-{uuid.uuid4()}"
     base = base if "://" in base or base.startswith("file:") else f"file://{base}"
     folders = F.array(*map(F.lit, [".hidden", "src", "src", "node_modules/x", "src/build"]))
     path = F.concat_ws(

@@ -43,6 +43,36 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; Hadoop deletes it when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/auditloom-{spark.sparkContext.applicationId}"
+    if path not in _to_delete:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _to_delete.add(path)
+    return path
+
+
+_to_delete: set[str] = set()
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, which readers can prune by column."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget how it was computed."""
     spark = df.sparkSession
@@ -51,18 +81,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, which readers can prune by column."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Steps of a loop that joins its own last result, after which the result becomes a table.
+RESIZE_EVERY = 6
+
+
+def cut_round(df: DataFrame, step: int) -> DataFrame:
+    """``cut`` for the given step of a loop in which a result is joined with itself.
+
+    A checkpoint keeps the size that was estimated for its plan, and such a join squares it: after
+    some twenty steps the estimate has millions of digits, and planning takes longer than the work.
+    A table's size is that of its files, so now and then a step is written as one.
+    """
+    return stored(df, "round") if step % RESIZE_EVERY == RESIZE_EVERY - 1 else cut(df)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` or ``stored`` that nothing reads any more."""
+    for table in tables:
+        if getattr(table, "stored_at", None):
+            drop_path(table.sparkSession, table.stored_at)
 
 
-def cut_counting(df: DataFrame, counted: Column) -> tuple[DataFrame, int]:
-    """``cut``, and the number of rows for which ``counted`` holds, from the same job."""
+def cut_counting(df: DataFrame, counted: Column, step: int = RESIZE_EVERY - 1) -> tuple[DataFrame, int]:
+    """``cut_round``, a table unless ``step`` says otherwise, and the number of rows for which ``counted`` holds."""
     seen = Observation()
-    stored = cut(df.observe(seen, F.count_if(counted).alias("n")))
-    return stored, seen.get["n"]
+    table = cut_round(df.observe(seen, F.count_if(counted).alias("n")), step)
+    return table, seen.get["n"]
 
 
 #: Session setting: partitions to deal CPU-heavy scans over; unset, a scan keeps its splits.

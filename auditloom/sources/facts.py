@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from auditloom.schemas import FACTS
-from auditloom.session import shared_dir, spread
+from auditloom.session import scratch_dir, spread
 
 # Executors get the functions of this module with the task, so nothing is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -78,7 +78,7 @@ def store_facts(facts: DataFrame, path: str | None = None) -> DataFrame:
     pages of its kinds and only the columns it names, and nothing had to be shuffled.
     """
     spark = facts.sparkSession
-    place = path or f"{shared_dir(spark)}/facts-{uuid.uuid4()}"
+    place = path or f"{scratch_dir(spark)}/facts-{uuid.uuid4()}"
     sorted_facts = facts.sortWithinPartitions("kind")
     sorted_facts.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(place)
     return spark.read.schema(FACTS).parquet(place)

@@ -72,6 +72,37 @@ def test_shortest_cycles(edges):
     assert got == want
 
 
+def long_graphs(n=1000):
+    name = lambda i: f"n{i:05d}"
+    return {
+        # A ring with a chord: the shortest way takes the chord.
+        "chord": {(name(i), name((i + 1) % n)) for i in range(n)} | {(name(100), name(700))},
+        # No cycle, but a fork at every node.
+        "ladder": {(name(i), name(i + j)) for i in range(n) for j in (1, 2)},
+        # Components of two nodes in a row, smallest names first: each reaches all that follow.
+        "pairs": {(name(i), name(i + 1)) for i in range(n - 1)} | {(name(i + 1), name(i)) for i in range(0, n, 2)},
+        # Two rings that share a node, with chains that lead in and out.
+        "eight": {(name(i), name(i + 1)) for i in range(n - 1)} | {(name(500), name(200)), (name(800), name(500))},
+    }
+
+
+def test_long_graphs_take_few_jobs(spark, monkeypatch):
+    jobs = [0]
+    for function in ("stored", "cut_counting", "cut_round"):
+        real = getattr(graph, function)
+        monkeypatch.setattr(graph, function, lambda *a, real=real: (jobs.__setitem__(0, jobs[0] + 1), real(*a))[1])
+    rows = [(g, a, b) for g, es in long_graphs().items() for a, b in es]
+    found = graph.cycles_per_repo(spark.createDataFrame(rows, "repo string, src string, dst string").repartition(4))
+    got = {(r["repo"], r["root"]): r["cycle"] for r in found.collect()}
+    name = lambda i: f"n{i:05d}"
+    want = {("pairs", name(i)): [name(i), name(i + 1), name(i)] for i in range(0, 1000, 2)}
+    want["chord", name(0)] = [name(i % 1000) for i in (*range(101), *range(700, 1001))]
+    want["eight", name(200)] = [name(i) for i in (*range(200, 501), 200)]
+    assert got == want
+    # A search step by step would take a thousand jobs and more.
+    assert jobs[0] < 250
+
+
 def test_longest_prefix(spark):
     rows = spark.createDataFrame([("r", "a.b.c"), ("r", "a.bc"), ("r", "x"), ("s", "a.b")], "repo string, name string")
     index = spark.createDataFrame(

@@ -110,7 +110,7 @@ def test_large_texts_and_specifications_are_read(spark, make_files):
     from auditloom.plans.audit import audit
 
     source = "# " + "x" * 6_000_000 + "\neval(code)\n"
-    spec = '{"openapi": "3.1.0", "paths": {"/a": {"get": {"summary": "' + "y" * 12_000_000 + '"}}}}'
+    spec = '{"openapi": "3.1.0", "paths": {"/a": {"get": {"responses": {"200": {}}, "summary": "' + "y" * 12_000_000 + '"}}}}'
     found = audit(make_files({("r", "big.py"): source, ("r", "openapi.json"): spec}), deep=True).findings
     rules = {r["rule_id"] for r in found.collect()}
     assert {"SEC-EVAL", "OPENAPI-MISSING-DESCRIPTION", "OPENAPI-MISSING-RESPONSE"} <= rules
