@@ -1,8 +1,8 @@
 """Reports written per repository: SARIF and JSON documents, and Parquet findings.
 
-A document holds at most about ``CHUNK`` findings. Most repositories need one; a
-repository with more gets several complete documents, numbered from 0, so no task ever
-assembles an unbounded list and no finding is left out.
+A document holds ``CHUNK`` findings of its repository, the last one fewer. Documents are numbered
+from 0 in report order: read one after another, they are the ranked findings. So no task ever
+assembles an unbounded list, and no finding is left out.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from auditloom import __version__
 from auditloom.dimensions import DEFAULT_SOURCE
-from auditloom.operators.findings import order_key
+from auditloom.operators.findings import order_key, report_order
+from auditloom.operators.windows import group_ranks
 
 CHUNK = 5_000
 
@@ -23,10 +24,9 @@ SLUG_LENGTH = 80
 
 
 def chunked(findings: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Add ``chunk``: a hash of the finding over as many parts as the repository needs."""
-    parts = findings.groupBy("repo").agg(F.ceil(F.count("*") / size).cast("int").alias("_parts"))
-    place = F.pmod(F.xxhash64("rule_id", "title", "file", "line", "detail"), F.col("_parts"))
-    return findings.join(parts, "repo").withColumn("chunk", place.cast("int")).drop("_parts")
+    """Add ``chunk``: the findings of a repository in report order, ``size`` to a chunk."""
+    ranked = group_ranks(findings, ["repo"], report_order(), "_rank")
+    return ranked.withColumn("chunk", F.floor(F.col("_rank") / size).cast("int")).drop("_rank")
 
 
 def sarif_rule_id() -> Column:

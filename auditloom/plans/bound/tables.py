@@ -16,7 +16,7 @@ from auditloom.operators import features, text_rules, windows
 from auditloom.operators import findings as ff
 from auditloom.operators.code_rules import big_groups
 from auditloom.operators.marks import first_word, word_flags
-from auditloom.operators.reports import to_report
+from auditloom.operators.reports import CHUNK, to_report, to_sarif
 from auditloom.operators.score import score
 from auditloom.plans.bound.base import (
     DOC_FILES_SQL, DOC_FINDINGS_SQL, DOC_LINES_SQL, HARDCODED_SQL, any_case, bind, document_files,
@@ -528,6 +528,63 @@ def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Every line of an order as a finding: three repositories of a third of all rows each.
+LINE_FINDINGS_SQL = """
+    SELECT l_returnflag AS repo, CASE l_linenumber % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' ELSE 'INFO' END AS severity,
+           l_linestatus AS category, 's' || l_suppkey AS file, CAST(l_partkey AS INTEGER) AS line,
+           l_orderkey || '-' || l_linenumber AS rule_id
+    FROM lineitem
+"""
+
+
+def line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of an order as a finding."""
+    n = F.col("l_linenumber") % 4
+    text_of = lambda c: F.col(c).cast("string")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("repo"),
+        F.when(n == 0, "CRITICAL").when(n == 1, "LOW").when(n == 2, "MEDIUM").otherwise("INFO").alias("severity"),
+        F.col("l_linestatus").alias("category"), F.lit("line").alias("title"), F.lit("of an order").alias("detail"),
+        F.concat(F.lit("s"), text_of("l_suppkey")).alias("file"), F.col("l_partkey").cast("int").alias("line"),
+        F.lit("").alias("recommendation"), F.lit("orders").alias("source"),
+        F.concat(text_of("l_orderkey"), F.lit("-"), text_of("l_linenumber")).alias("rule_id"), F.lit("HIGH").alias("confidence"),
+    )
+
+
+WHOLE_ORDER_SQL = f"""
+    SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY
+               CASE severity WHEN 'CRITICAL' THEN 10 WHEN 'MEDIUM' THEN 4 WHEN 'LOW' THEN 2 ELSE 0 END DESC,
+               category, file, line, rule_id) - 1 AS rank, rule_id, file, line
+    FROM ({LINE_FINDINGS_SQL})
+"""
+
+
+@bind("r13_report_order", WHOLE_ORDER_SQL)
+def report_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON reports of 5,000 findings each, read back one after another."""
+    found = line_findings(spark, sf_dir)
+    documents = to_report(found, found.groupBy("repo").agg(F.count("*").alias("score")))
+    parsed = documents.select("repo", "chunk", F.from_json(
+        "json", "findings array<struct<rule_id:string,file:string,line:int>>").alias("r"))
+    listed = parsed.select("repo", "chunk", F.posexplode("r.findings").alias("at", "f"))
+    return listed.select("repo", (F.col("chunk").cast("long") * CHUNK + F.col("at")).alias("rank"), "f.rule_id", "f.file", "f.line")
+
+
+# A SARIF location has no line 0.
+@bind("r12_sarif_order", f"SELECT repo, rank, rule_id, file, nullif(line, 0) AS line FROM ({WHOLE_ORDER_SQL})")
+def sarif_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SARIF logs of 5,000 findings each, read back one after another."""
+    place = "struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>"
+    log = f"runs array<struct<results:array<struct<ruleId:string,locations:array<{place}>>>>>"
+    parsed = to_sarif(line_findings(spark, sf_dir)).select("repo", "chunk", F.from_json("json", log).alias("log"))
+    listed = parsed.select("repo", "chunk", F.posexplode(F.col("log.runs")[0]["results"]).alias("at", "f"))
+    where = F.col("f.locations")[0]["physicalLocation"]
+    return listed.select(
+        "repo", (F.col("chunk").cast("long") * CHUNK + F.col("at")).alias("rank"), F.col("f.ruleId").alias("rule_id"),
+        where["artifactLocation"]["uri"].alias("file"), where["region"]["startLine"].alias("line"),
+    )
+
+
 @bind("r14_search", f"""
     SELECT repo, file, line, rule_id FROM ({DOC_FINDINGS_SQL})
     WHERE severity = 'MEDIUM' AND confidence = 'MEDIUM' AND contains(lower(file || ':' || line), '7.py')

@@ -20,6 +20,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Keys that are not strings in YAML keep a mark, so that no rule takes 200 for "200".
 TYPED_KEY = "!"
 
+#: A text that aliases expand beyond so many nodes and so many times what it wrote is invalid: ten
+#: aliases of ten aliases, nine levels deep, would fill any worker from a few hundred bytes.
+MANY_NODES, MOST_REPEATS = 1_000_000, 100
+
 
 def select_specs(files: DataFrame) -> DataFrame:
     return files.filter(contains_any(F.lower("name"), SPEC_NAMES))
@@ -29,7 +33,8 @@ def parse_specs(files: DataFrame) -> DataFrame:
     """(repo, path, name, spec, parsed): ``spec`` is null where neither format fits.
 
     JSON is parsed by Spark. Only texts that are not JSON go through the YAML reader,
-    a vectorised function that returns JSON text. Empty files drop out.
+    a vectorised function that returns JSON text; one that aliases expand a hundredfold counts as
+    unreadable. Empty files drop out.
     """
     readable = select_specs(files).filter(F.col("content") != "")
     tried = spread(readable.select("repo", "path", "name", "content")).withColumn("as_json", F.try_parse_json("content"))
@@ -61,11 +66,44 @@ def convert_one(text: str) -> str | None:
 
     try:
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-        return json.dumps(string_keys(yaml.load(text, loader)), default=str)
+        value = yaml.load(text, loader)
+        written, whole = measure(value)
+        if whole > max(MANY_NODES, MOST_REPEATS * written):
+            return None
+        return json.dumps(string_keys(value), default=str)
     except (yaml.YAMLError, RecursionError, ValueError):
         return None
 
 
+def measure(value) -> tuple[int, int]:
+    """Nodes that a YAML text wrote, and nodes it has once every alias is its own copy.
+
+    Aliases share their container, so each is counted once and its size looked up afterwards:
+    the work grows with the text, not with what it expands to. A container within itself has
+    no end and counts as a ValueError.
+    """
+    sizes: dict[int, int | None] = {}
+    written = 0
+
+    def size(node) -> int:
+        nonlocal written
+        if not isinstance(node, dict | list):
+            written += 1
+            return 1
+        if id(node) in sizes:
+            if sizes[id(node)] is None:
+                raise ValueError("an alias of its own container")
+            return sizes[id(node)]
+        sizes[id(node)] = None
+        written += 1
+        total = 1 + sum(map(size, node.values() if isinstance(node, dict) else node))
+        sizes[id(node)] = total
+        return total
+
+    whole = size(value)
+    return written, whole
+
+
 def string_keys(value):
     if isinstance(value, dict):
         return {k if isinstance(k, str) else f"{TYPED_KEY}{k}": string_keys(v) for k, v in value.items()}

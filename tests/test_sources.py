@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom.dimensions import SKIP_DIRS
 from auditloom.functions import paths, text
-from auditloom.operators import text_rules
+from auditloom.operators import spec_rules, text_rules
 from auditloom.sources import files as file_source
 from auditloom.sources.files import describe, read_text, scan_files
 from auditloom.sources.lines import to_lines
@@ -106,6 +106,20 @@ def test_specifications_in_both_formats(make_files):
     assert got == {"openapi.json": True, "my-Swagger.yaml": True, "API-DOCS": False}
 
 
+def test_expanding_aliases_are_a_finding(make_files):
+    """Nine levels of ten aliases: an invalid specification, not a dead worker; shared parts stay readable."""
+    levels = ["l0: &l0 [x, x, x, x, x, x, x, x, x, x]"] + [f"l{k}: &l{k} [{', '.join([f'*l{k - 1}'] * 10)}]" for k in range(1, 10)]
+    shared = "openapi: 3.0.0\nx: &ok\n  '200': {description: fine}\npaths:\n" + "".join(
+        f"  /p{k}: {{get: {{summary: s, responses: *ok}}}}\n" for k in range(300))
+    files = make_files({
+        ("r", "openapi.yaml"): "openapi: 3.0.0\n" + "\n".join(levels), ("r", "swagger.yaml"): shared, ("r", "api-docs.yaml"): "openapi: 3.0.0\na: &a [*a]\n",
+    })
+    specs = parse_specs(files)
+    assert {r["path"]: r["parsed"] for r in specs.collect()} == {"openapi.yaml": False, "swagger.yaml": True, "api-docs.yaml": False}
+    invalid = spec_rules.document_rules(specs).filter("rule_id = 'OPENAPI-INVALID-FORMAT'")
+    assert {r["file"] for r in invalid.collect()} == {"openapi.yaml", "api-docs.yaml"}
+
+
 def test_large_texts_and_specifications_are_read(spark, make_files):
     from auditloom.plans.audit import audit
 
