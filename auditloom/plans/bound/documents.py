@@ -12,10 +12,10 @@ from auditloom.operators import ingest, spec_rules
 from auditloom.plans.bound.base import DOC_FINDINGS_SQL, bind, table
 from auditloom.plans.expected import literal
 from auditloom.plans.round_trips import spec_files, tool_reports
-from auditloom.session import scratch_dir
+from auditloom.session import scratch_dir, spread
 from auditloom.sources.files import describe
 from auditloom.sources.specs import endpoints, parse_specs, store_specs
-from auditloom.streaming.incremental import changed_arrivals, run_available, stream_audit
+from auditloom.streaming.incremental import Versions, run_available, run_versions, window_counts
 
 # --- API specifications ------------------------------------------------------------------
 
@@ -177,21 +177,74 @@ WINDOW, LATENESS = "6 hours", "12 hours"
 """)
 def incremental_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as arrivals of documents; the closed windows, as the stream wrote them."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    n_documents = documents.count()
-    events = table(spark, sf_dir, "events")
-    arrivals = (
-        spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
-        .select(F.col("ts").cast("timestamp").alias("arrived"), (F.col("event_id") % n_documents).alias("doc_id"))
-    )
-    # A document never changes here, so its id stands for path and digest; texts are joined afterwards.
-    changed = changed_arrivals(arrivals, WINDOW, LATENESS, "doc_id")
-    arriving = describe(changed.join(documents, "doc_id").select(
-        F.col("source").alias("repo"), F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
-        F.col("text").alias("content"), F.octet_length("text").alias("size"), "arrived",
-    ))
-    counts = stream_audit(arriving, WINDOW, None)
+    documents = spread(table(spark, sf_dir, "documents"))
     place = f"{scratch_dir(spark)}/stream-{uuid.uuid4()}"
+    versions = Versions(spark, place)
+    # A document never changes here, so its id is its digest, and all versions are known at the start.
+    path, digest = F.concat(F.col("doc_id").cast("string"), F.lit(".py")), F.col("doc_id").cast("string")
+    named = documents.select(F.col("source").alias("repo"), path.alias("path"), digest.alias("digest"), F.lit(None).cast("timestamp").alias("arrived"))
+    versions.add(named, lambda _: describe(documents.select(
+        F.col("source").alias("repo"), path.alias("path"), digest.alias("digest"), F.col("text").alias("content"), F.octet_length("text").alias("size"))), 0)
+    arriving = document_arrivals(spark, sf_dir, documents.count()).withWatermark("arrived", LATENESS)
+    findings = versions.findings().withColumn("doc_id", F.col("digest").cast("long"))
+    counts = window_counts(arriving.select("doc_id", "arrived").join(findings, "doc_id"), WINDOW)
     run_available(counts, f"{place}/counts", f"{place}/checkpoint")
     written = spark.read.schema(counts.schema).parquet(f"{place}/counts")
     return written.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "repo", "severity", "n")
+
+
+def document_arrivals(spark: SparkSession, sf_dir: str, n_documents: int) -> DataFrame:
+    """The stream of events as arrivals of documents, every second time in a second version."""
+    events = table(spark, sf_dir, "events")
+    return spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet").select(
+        F.col("ts").cast("timestamp").alias("arrived"), (F.col("event_id") % n_documents).alias("doc_id"),
+        (F.floor(F.col("event_id") / n_documents) % 2).alias("version"), "event_id",
+    )
+
+
+# Lines appended to the second version of a document, by its id, and the rules that each breaks. The secret
+# scan looks at whole texts: it names no line, and what a text holds already it doesn't find again.
+EDITS = [
+    ('token = "abcdefgh"', ["SEC-HARDCODED-SECRET"]),
+    ('q = f"SELECT a FROM t WHERE b = {c}"', ["SQL-INJECTION-PATTERN", "SQL-INJECTION-FSTRING"]),
+    ('q = "SELECT a FROM t WHERE b = {}".format(c)', ["SQL-INJECTION-PATTERN", "SQL-INJECTION-FORMAT"]),
+    ("app = FastAPI(openapi_url=None)", ["FASTAPI-OPENAPI-DISABLED"]),
+    ("app = FastAPI(docs_url=None, redoc_url=None)", ["FASTAPI-DOCS-DISABLED", "FASTAPI-REDOC-DISABLED"]),
+]
+EDIT_SQL = "(VALUES " + ", ".join(f"({k}, {literal(rule)}, NULL)" for k, (_, rules) in enumerate(EDITS) for rule in rules) + \
+    ", (0, 'SEC-SECRET-SCAN', 'Token codé en dur')) e(edit, rule_id, title)"
+
+
+@bind("st1_open_findings", f"""
+    WITH last AS (
+        SELECT event_id % n AS doc_id, arg_max(event_id // n % 2, (ts, event_id // n % 2)) AS version
+        FROM events, (SELECT count(*) AS n FROM documents) GROUP BY 1)
+    SELECT repo, file, line, rule_id, CASE rule_id WHEN 'SEC-SECRET-SCAN' THEN title END AS title
+    FROM ({DOC_FINDINGS_SQL}) JOIN last ON file = last.doc_id || '.py'
+    WHERE rule_id IN ('SEC-SECRET-SCAN', 'SEC-HARDCODED-SECRET')
+    UNION
+    SELECT source, d.doc_id || '.py', CASE WHEN title IS NULL THEN strlen(text) - strlen(replace(text, chr(10), '')) + 2 END, rule_id, title
+    FROM documents d JOIN last USING (doc_id) JOIN {EDIT_SQL} ON edit = d.doc_id % {len(EDITS)} WHERE version = 1
+""")
+def open_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive again and again in two versions; the findings of each one's last version."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    place = f"{scratch_dir(spark)}/stream-{uuid.uuid4()}"
+    versions = Versions(spark, place)
+    edit = F.get(F.array(*[F.lit(line) for line, _ in EDITS]), (F.col("doc_id") % len(EDITS)).cast("int"))
+
+    def contents(fresh: DataFrame) -> DataFrame:
+        """Texts of new versions, whose digest ends in the number of the version."""
+        wanted = fresh.select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), "repo", "path", "digest")
+        text = F.when(F.col("digest").endswith("-1"), F.concat("text", F.lit("\n"), edit)).otherwise(F.col("text"))
+        return describe(wanted.join(documents, "doc_id").select(
+            "repo", "path", "digest", text.alias("content"), F.octet_length("text").alias("size")))
+
+    arriving = document_arrivals(spark, sf_dir, documents.count()).join(documents.select("doc_id", "source"), "doc_id").select(
+        F.col("source").alias("repo"), F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
+        F.concat_ws("-", "doc_id", "version").alias("digest"), "arrived",
+    )
+    run_versions(arriving, versions, contents, f"{place}/checkpoint")
+    found = versions.open_findings()
+    title = F.when(F.col("rule_id").isin("SEC-SECRET-SCAN"), F.col("title"))
+    return found.select("repo", "file", "line", "rule_id", title.alias("title"))

@@ -17,8 +17,8 @@ FINDINGS = T.StructType(
 # Two findings are the same when these agree; nulls count as equal.
 DEDUP_KEY = ["repo", "severity", "category", "title", "file", "line", "detail", "rule_id"]
 
-# Columns that files may bring along and findings keep: the arrival time in a stream.
-CARRIED = ["arrived"]
+# Columns that files may bring along and findings keep: the arrival time in a stream, the digest of a version.
+CARRIED = ["arrived", "digest"]
 
 
 def carried(rows: DataFrame) -> list[str]:
