@@ -111,7 +111,9 @@ def fit(
         raise ValueError(f"more than {languages} languages")
     least = Window.partitionBy("lang").orderBy("h")
     chosen = known.select("lang", "h").distinct().withColumn("k", F.row_number().over(least)).where(F.col("k") <= texts)
-    sample = known.join(chosen.select("lang", "h"), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    # At most ``languages`` times ``texts`` rows: no text is shuffled to find the chosen ones, and each
+    # task keeps one of the copies that it has seen.
+    sample = known.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
     cut = sample.select("lang", "text").mapInArrow(_cut_texts, "lang string, piece binary").distinct()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
     kept = cut.withColumn("k", F.row_number().over(first)).where(F.col("k") <= size // PIECE_BYTES)
