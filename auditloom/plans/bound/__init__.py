@@ -3,6 +3,6 @@
 
 def registered():
     """(queries, oracles) of all bound modules."""
-    from auditloom.plans.bound import base, corpus, documents, graphs, tables  # noqa: F401
+    from auditloom.plans.bound import base, corpus, documents, graphs, rich, tables  # noqa: F401
 
     return base.QUERIES, base.ORACLES
