@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm.textarrays import Texts
-from auditloom.session import shared_dir
+from auditloom.session import drop_path, scratch_dir
 
 #: Bytes of one Arrow batch sent to Python, and of one slice that numpy works on. A single
 #: longer text makes a longer batch: texts are never cut.
@@ -34,15 +34,14 @@ def store(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame) -> str:
     """Write ``df`` below the shared folder and return its path."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that ``write_table`` made."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    drop_path(spark, path)
 
 
 def text_digest(text: Column | str) -> list[Column]:

@@ -168,7 +168,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     A window is ``size`` consecutive words of an item; an item of fewer words, but not none, is
     one window. Null texts have no words. Items without id count for n_hit only; rows that
     repeat an item_id are one item; rows that repeat a document get its result each; other
-    columns are not used.
+    columns are not used. Long texts are read whole; an empty benchmark hits nothing, and an empty
+    table of documents gives an empty table.
     """
     found = merged_hits(find_hits(docs, benchmark, size))
     rows = docs.select("doc_id", "text", text_digest("text")[0].alias("digest"))
@@ -185,7 +186,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows of ``docs`` without any occurrence of a window, with their columns only.
 
-    Each block of the benchmark filters what the block before left: no text is shuffled.
+    Each block of the benchmark filters what the block before left: no text is shuffled. Null and
+    empty texts stay; repeated rows stay or go each; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -178,7 +178,8 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted.
 
     Learns from labelled rows that aren't held out; null texts count as empty; a null doc_id is
-    scored and not held out; repeated rows are scored each; other columns are not used.
+    scored and not held out; repeated rows are scored each; other columns are not used. Long texts
+    are measured whole; an empty table of documents gives an empty table.
     """
     statistics = measured(docs)
     model = fit_on(statistics, labels, **how)
@@ -191,7 +192,8 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with their columns only.
 
-    Texts are read twice, for fitting and for deciding, and never shuffled or stored again.
+    Texts are read twice, for fitting and for deciding, and never shuffled or stored again. Null
+    texts count as empty; repeated rows are decided each; an empty table gives an empty table.
     """
     model = fit_on(measured(docs), labels, **how)
     small_batches(docs.sparkSession)

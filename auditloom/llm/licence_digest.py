@@ -164,7 +164,8 @@ def scan(
     ``licence`` is that of the known text whose digest equals the digest of the whole canonical
     text, or else that of the known text with the same `body`, or null. ``notices`` names, sorted and joined by commas, the licences of lines that
     are known one-line notices; ``n_notices`` counts such lines. A null text counts as empty and
-    matches nothing; repeated rows are scanned each; other columns are not used. ``texts`` and
+    matches nothing; repeated rows are scanned each; other columns are not used; long texts are
+    read whole; an empty table gives an empty table. ``texts`` and
     ``notices`` are by default `known_texts` and `known_notices`.
     """
     spark = docs.sparkSession

@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     100 * intersection >= percent * union; links are confirmed on full sets. component_id is the
     smallest doc_id reachable. Texts without words, null included, are linked with nothing and
     kept. A null doc_id counts as larger than all others; rows that repeat a doc_id in one
-    component are all kept if it is the smallest. Other columns are not used.
+    component are all kept if it is the smallest. Other columns are not used. Long texts are
+    read whole; an empty table gives an empty table.
     """
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     return grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", kept)
@@ -285,7 +286,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs`` for each component, that of the smallest doc_id, and all rows without words.
 
-    If rows repeat that doc_id, one of them stays; the columns are those of ``docs``.
+    If rows repeat that doc_id, one of them stays; a null doc_id counts as larger than all others;
+    null and empty texts have no words; the columns are those of ``docs``, whatever their names. An
+    empty table gives an empty table.
     """
     rows = grouped(docs, size, percent).where("root is not null")
     keys = store(rows.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n")))

@@ -314,7 +314,8 @@ def repeated_passages(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     A byte is removed if a string of LENGTH bytes that covers it begins anywhere else in the
     table too, in the same text included. Texts are judged as they came in; null counts as
-    empty; rows that repeat a text are separate documents; other columns are not used.
+    empty; rows that repeat a text are separate documents; other columns are not used. Long
+    texts are read whole; an empty table gives an empty table.
     """
     a, b = text_digest("text")
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
