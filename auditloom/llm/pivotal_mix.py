@@ -150,8 +150,8 @@ def mixed(docs: DataFrame, seed: int = 1, **targets) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns only.
 
     Whole documents only: the one of each source that gives a part counts as its rounded copies.
-    Null and empty texts have size 0 and are taken by none of the targets' words; null is a source
-    like any other; an empty table gives an empty table.
+    Null and empty texts have size 0: they enter as often as the whole part of their source's rate
+    says. The null source is a source; repeated rows are drawn each; an empty table gives an empty table.
     """
     digest = text_digest("text")[0]
     drawn = mix(docs.withColumn("__key", digest), seed, ["__key"], **targets)
