@@ -48,6 +48,9 @@ RULES: dict[str, Rule] = {
     "REPO-LARGE-FILE": Rule(
         "LOW", "Repository", "Fichier volumineux", "",
         "Éviter de versionner des artefacts générés ou binaires lourds."),
+    "SCAN-UNREADABLE": Rule(
+        "INFO", "Scan", "Folder or file left out", "",
+        "Give the audit permission to read it, or scan again when nothing changes."),
     "PROD-DEBUG": Rule(
         "HIGH", "Production", "Mode debug actif", "FastAPI est instancié avec `debug=True`.",
         "Désactiver le debug en production."),

@@ -122,6 +122,11 @@ def text_findings(files: DataFrame, groups: list[str] = tuple(LINE_GROUPS)) -> D
     return emit_by_rule(hits, "rule", details, line="at", titles={"SEC-SECRET-SCAN": F.col("label")})
 
 
+def unreadable(lost: DataFrame) -> DataFrame:
+    """What a scan could not read, as findings; ``lost(repo, path, reason)`` is the scan's own table."""
+    return emit(lost, "SCAN-UNREADABLE", detail=F.format_string("Not read: %s.", F.col("reason")))
+
+
 def first_matching_line(lines: DataFrame, test: Column) -> DataFrame:
     """(repo, path, line_no) of each file's first line satisfying a predicate."""
     return lines.filter(test).groupBy("repo", "path").agg(F.min("line_no").alias("line_no"))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from auditloom.operators import code_rules, features, ingest, reports, route_rules, spec_rules
+from auditloom.operators import code_rules, features, ingest, reports, route_rules, spec_rules, text_rules
 from auditloom.operators.findings import dedup, rank, translate, union_findings, with_defaults
 from auditloom.operators.score import score
 from auditloom.plans.registry import (
@@ -94,15 +94,18 @@ class Audit:
 def audit(
     files: DataFrame, deep: bool = False, families: set[str] = frozenset(), include_tests: bool = False,
     tool_reports: DataFrame | None = None, facts_path: str | None = None, extra_rules: list[ExtraRule] = (),
+    lost: DataFrame | None = None,
 ) -> Audit:
     """Audit every repository in ``files``.
 
     ``families`` opens single optional families ("deps", "openapi", "performance") without
-    the deep mode. Findings are translated before they are merged, because the title is
+    the deep mode. ``lost`` is what a scan could not read: each row is a finding. Findings are translated before they are merged, because the title is
     part of their identity; they are stored once, since every report reads them.
     """
     tables = Tables(files, include_tests, facts_path)
     modes = {"standard", *families} | ({"deep"} if deep else set())
     raw = raw_findings(tables, modes, tool_reports, extra_rules)
+    if lost is not None:
+        raw = raw.unionByName(text_rules.unreadable(lost))
     found = stored(dedup(with_defaults(translate(raw))), "findings")
     return Audit(tables, modes, found, tool_reports)

@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Iterator
 from functools import partial, reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs as pa_fs
@@ -27,38 +28,61 @@ BYTES_PER_BATCH = 32_000_000
 ROWS_PER_BATCH = 10_000
 
 
+class Scan(NamedTuple):
+    """A scanned tree: its `files`, and (repo, path, reason) of the folders and files that could not be read."""
+
+    files: DataFrame
+    lost: DataFrame
+
+
 def scan_files(
     spark: SparkSession, base: str, repo: str | None = None, skip_dirs: list[str] = SKIP_DIRS,
 ) -> DataFrame:
-    """Read a directory tree as `files`.
+    """Read a directory tree as `files`; ``scan`` also tells what could not be read."""
+    return scan(spark, base, repo, skip_dirs).files
+
+
+def scan(
+    spark: SparkSession, base: str, repo: str | None = None, skip_dirs: list[str] = SKIP_DIRS,
+) -> Scan:
+    """Read a directory tree.
 
     With ``repo`` the whole tree is one repository; without it every first-level
     directory below ``base`` is one. The built-in file sources hide names that start with
     a dot or an underscore, which an audit must see, so the tree is listed by a job of its
     own. Contents are read only of files some rule reads; every other file costs a
-    directory entry.
+    directory entry. A folder or file that may not be read, or goes during the scan, is a row
+    of ``lost``; a file's content is empty then. Any other error fails the task, which Spark tries
+    again.
     """
-    entry = list_tree(spark, base, skip_dirs, keep_first=repo is None).select(F.col("path").alias("inside"), "size")
+    entry = list_tree(spark, base, skip_dirs, keep_first=repo is None).withColumnRenamed("path", "inside")
     if repo is None:
-        located = entry.filter(F.contains("inside", F.lit("/"))).select(
-            F.regexp_extract("inside", "^([^/]+)/", 1).alias("repo"),
-            F.regexp_replace("inside", "^[^/]+/", "").alias("path"), "inside", "size",
+        # A folder of the first level is a repository itself.
+        inner = F.contains("inside", F.lit("/"))
+        located = entry.filter(inner | (F.col("reason").isNotNull() & (F.col("inside") != ""))).select(
+            F.regexp_extract("inside", "^([^/]+)", 1).alias("repo"),
+            F.when(inner, F.regexp_replace("inside", "^[^/]+/", "")).otherwise("").alias("path"), "inside", "size", "reason",
         )
     else:
-        located = entry.select(F.lit(repo).alias("repo"), F.col("inside").alias("path"), "inside", "size")
+        located = entry.select(F.lit(repo).alias("repo"), F.col("inside").alias("path"), "inside", "size", "reason")
+    closed = located.filter("reason IS NOT NULL").select("repo", "path", "reason")
+    located = located.filter("reason IS NULL").drop("reason")
     name = paths.base_name(F.col("path"))
     read = paths.is_text(name) | (F.lower(name) == "dockerfile") | contains_any(F.lower(name), SPEC_NAMES)
     total = located.agg(F.sum(F.when(read, F.col("size"))).alias("n")).head()["n"] or 0
     partitions = max(spark.sparkContext.defaultParallelism, total // BYTES_PER_PARTITION)
     readable = located.withColumn("wanted", read).repartition(int(partitions))
     raw = readable.mapInArrow(partial(read_contents, base), "repo string, path string, size long, content binary")
-    return describe(raw.withColumn("content", as_text(F.col("content"))))
+    tried = readable.filter("wanted").mapInArrow(partial(try_open, base), "repo string, path string, reason string")
+    return Scan(describe(raw.withColumn("content", as_text(F.col("content")))), closed.unionByName(tried))
 
 
 def list_tree(
     spark: SparkSession, base: str, skip_dirs: list[str] = SKIP_DIRS, keep_first: bool = False,
 ) -> DataFrame:
-    """(path, size) of every file below ``base``, pruned directories left out.
+    """(path, size, reason) of every file below ``base``, pruned directories left out.
+
+    ``reason`` is null but for directories that could not be listed.
 
     ``keep_first`` never prunes the first level, whose names are those of repositories.
 
@@ -71,20 +95,20 @@ def list_tree(
     n_dirs = 1
     while n_dirs:
         listed = level.repartition(min(tasks, n_dirs)).mapInArrow(
-            partial(list_directories, base), "path string, size long, is_dir boolean"
+            partial(list_directories, base), "path string, size long, is_dir boolean, reason string"
         )
         kept = listed
         if found or not keep_first:
             kept = listed.filter(~(F.col("is_dir") & paths.base_name(F.col("path")).isin(skip_dirs)))
         kept, n_dirs = cut_counting(kept, F.col("is_dir"))
-        found.append(kept.filter("NOT is_dir").select("path", "size"))
+        found.append(kept.filter("NOT is_dir").select("path", "size", "reason"))
         level = kept.filter("is_dir").select("path")
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def list_directories(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One level below each directory; links to directories are not followed, and a directory
-    that may not be read or has gone has no entries. Other errors fail the task, so that Spark tries it again."""
+    that may not be read or has gone is a row with the reason. Other errors fail the task, so that Spark tries it again."""
     system, root = pa_fs.FileSystem.from_uri(base)
     is_local = isinstance(system, pa_fs.LocalFileSystem)
     for batch in batches:
@@ -92,19 +116,34 @@ def list_directories(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[p
             rows = []
             try:
                 infos = system.get_file_info(pa_fs.FileSelector(f"{root}/{inside}"))
-            except (PermissionError, FileNotFoundError):
+            except (PermissionError, FileNotFoundError) as error:
                 infos = []
+                rows.append((inside, 0, False, type(error).__name__))
             for info in infos:
                 is_dir = info.type == pa_fs.FileType.Directory
                 if not (is_dir and is_local and os.path.islink(info.path)):
-                    rows.append((f"{inside}/{info.base_name}".lstrip("/"), info.size or 0, is_dir))
-            columns = list(zip(*rows)) or [(), (), ()]
-            types = (pa.string(), pa.int64(), pa.bool_())
+                    rows.append((f"{inside}/{info.base_name}".lstrip("/"), info.size or 0, is_dir, None))
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            types = (pa.string(), pa.int64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], ["path", "size", "is_dir"]
+                [pa.array(c, t) for c, t in zip(columns, types)], ["path", "size", "is_dir", "reason"]
             )
 
 
+def try_open(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(repo, path, reason) of files that cannot be opened; nothing is read of the others."""
+    system, root = pa_fs.FileSystem.from_uri(base)
+    for batch in batches:
+        lost = []
+        for row in batch.to_pylist():
+            try:
+                system.open_input_stream(f"{root}/{row['inside']}").close()
+            except (PermissionError, FileNotFoundError) as error:
+                lost.append((row["repo"], row["path"], type(error).__name__))
+        columns = list(zip(*lost)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["repo", "path", "reason"])
+
+
 def read_contents(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contents of wanted files, in batches of bounded size; files that may not be read or have gone
     are empty. Other errors fail the task, so that Spark tries it again."""

@@ -144,8 +144,27 @@ def test_passing_errors_fail_the_task(monkeypatch, error, passes):
     listed = file_source.list_directories("x", iter([pa.RecordBatch.from_pylist([{"path": "a"}])]))
     read = file_source.read_contents("x", iter([pa.RecordBatch.from_pylist([{"repo": "r", "path": "a", "size": 1, "inside": "a", "wanted": True}])]))
     if passes:
-        assert [b.num_rows for b in listed] == [0] and [b.column(3).to_pylist() for b in read] == [[b""]]
+        assert [b.to_pylist() for b in listed] == [[{"path": "a", "size": 0, "is_dir": False, "reason": error.__name__}]]
+        assert [b.column(3).to_pylist() for b in read] == [[b""]]
+        tried = file_source.try_open("x", iter([pa.RecordBatch.from_pylist([{"repo": "r", "path": "a", "inside": "a"}])]))
+        assert [b.to_pylist() for b in tried] == [[{"repo": "r", "path": "a", "reason": error.__name__}]]
     else:
         for batches in (listed, read):
             with pytest.raises(error):
                 list(batches)
+
+
+def test_what_a_scan_cannot_read_is_a_finding(spark, tmp_path):
+    """A file that is gone when it is opened: an empty file, a row of lost, and a finding of the audit."""
+    from auditloom.plans.audit import audit
+
+    (tmp_path / "shop" / "src").mkdir(parents=True)
+    (tmp_path / "shop" / "src" / "a.py").write_text("eval(x)\n")
+    (tmp_path / "shop" / "src" / "gone.py").write_text("eval(y)\n")
+    scanned = file_source.scan(spark, f"file://{tmp_path}")
+    # Listed, and deleted before any content is read.
+    (tmp_path / "shop" / "src" / "gone.py").unlink()
+    assert [tuple(r) for r in scanned.lost.collect()] == [("shop", "src/gone.py", "FileNotFoundError")]
+    assert {r["path"]: r["content"] for r in scanned.files.collect()} == {"src/a.py": "eval(x)\n", "src/gone.py": ""}
+    found = {(r["rule_id"], r["file"], r["detail"]) for r in audit(scanned.files, lost=scanned.lost).findings.collect()}
+    assert ("SCAN-UNREADABLE", "src/gone.py", "Not read: FileNotFoundError.") in found
