@@ -104,3 +104,59 @@ def test_isotonic_is_monotone_and_pools():
     x = np.arange(6.0)
     knots, levels = kernel_classifier.isotonic(x, np.array([0.0, 3, 1, 2, 9, 10]), np.full(6, 10.0))
     assert (np.diff(levels) >= 0).all() and len(knots) == 4
+
+
+def plain_isotonic(at, share, n):
+    """Pool neighbouring cells until the shares of ones rise strictly."""
+    blocks = [[[x], [s], [k]] for x, s, k in zip(at, share, n, strict=True)]
+    mean = lambda b: np.dot(b[1], b[2]) / sum(b[2])
+    while True:
+        bad = next((i for i in range(len(blocks) - 1) if mean(blocks[i]) >= mean(blocks[i + 1]) - 1e-12), None)
+        if bad is None:
+            break
+        blocks[bad] = [a + b for a, b in zip(blocks[bad], blocks.pop(bad + 1), strict=True)]
+    knots = [np.dot(b[0], b[2]) / sum(b[2]) for b in blocks]
+    levels = []
+    for b in blocks:
+        total, extra = sum(b[2]), min(1.0, sum(b[2]) / 100)
+        levels.append((mean(b) * total + extra) / (total + 2 * extra))
+    return np.array(knots), np.maximum.accumulate(levels)
+
+
+def test_classifier_equals_plain_numpy(spark):
+    """Moments, Z'Z, Z'y, ridge, calibration and scores from matrices of all labelled rows at once."""
+    from zlib import crc32
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in kernel_classifier.classify(docs, labels).collect()}
+
+    stats = kernel_classifier.measured(docs).collect()
+    x = np.array([[float(r[c]) for c in kernel_classifier.FEATURES] for r in stats])
+    label = {r.doc_id: r.quality for r in labels.collect() if crc32(str(r.doc_id).encode()) % 3 != 1}
+    train = np.array([r.doc_id in label for r in stats])
+    y = np.array([label[r.doc_id] for r in stats if r.doc_id in label], float)
+
+    rounded = np.rint(np.minimum(x[train], 1e4) * 65536) / 65536
+    mean, scale = rounded.mean(axis=0), rounded.std(axis=0)
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    rng = np.random.default_rng(17)
+    weights, phase = rng.normal(0, 1 / 4.0, (x.shape[1], 128)), rng.uniform(0, 2 * np.pi, 128)
+    z = np.sqrt(2) * np.cos(np.clip((x - mean) / scale, -8, 8) @ weights + phase)
+    z = np.column_stack([np.ones(len(z)), np.rint(z * kernel_classifier.UNIT) / kernel_classifier.UNIT])
+    penalty = np.full(129, 1e-4 * train.sum())
+    penalty[0] = 1e-9 * train.sum()
+    beta = np.linalg.solve(z[train].T @ z[train] + np.diag(penalty), z[train].T @ y)
+    raw = z @ beta
+    low, high, cells = kernel_classifier.CELL_LOW, kernel_classifier.CELL_HIGH, kernel_classifier.CELLS
+    cell = np.rint((np.clip(raw[train], low, high) - low) / (high - low) * cells).astype(int)
+    used, place, n = np.unique(cell, return_inverse=True, return_counts=True)
+    share = np.bincount(place, weights=y) / n
+    knots, levels = plain_isotonic(used / cells * (high - low) + low, share, n)
+    want = np.interp(raw, knots, levels)
+    # A raw score on the edge of a cell may fall to either side of it.
+    close = np.array([abs(got[r.doc_id][0] - w) < 1e-3 for r, w in zip(stats, want, strict=True)])
+    assert close.mean() > 0.99
+    for r in stats:
+        score, predicted, held = got[r.doc_id]
+        assert predicted == (score >= 0.5) and held == (crc32(str(r.doc_id).encode()) % 3 == 1)
