@@ -39,24 +39,33 @@ def running_sum(
     )
 
 
+# Rows that one task sorts when groups are ranked.
+ROWS_PER_RANGE = 250_000
+
+
 def group_ranks(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Add the rank of each row in its group, from 0, in the given order; equal rows may swap.
 
-    Rows are dealt over ranges of (group, order). A rank is the place in the range plus the group's
-    rows in earlier ranges, so a group of any size is ranked by as many tasks as it has ranges.
+    Rows are dealt over ranges of (group, order), as many as the rows need, and sorted there, once.
+    A rank is the place in the range, less that of the group's first row, plus the group's rows in
+    earlier ranges, so a group of any size is ranked by as many tasks as it has ranges.
     """
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = stored(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranks")
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // ROWS_PER_RANGE)
+    sorted_ranges = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    # The id is the range in the upper bits and the place in the range in the lower 33.
+    ranged = stored(sorted_ranges.withColumn("_place", F.monotonically_increasing_id()), "ranks").withColumn(
+        "_part", F.shiftright("_place", 33))
     # At most one row for each range that a group has rows in.
-    counts = ranged.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
+    counts = ranged.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_at")).agg(
+        F.count("*").alias("_n"), F.min("_place").alias("_first"))
     before = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     earlier = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
     same = F.col("_part") == F.col("_at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return ranged.withColumn("_place", inside).join(earlier, same).withColumn(
-        name, (F.col("_place") + F.col("_before")).cast("long")).drop("_part", "_at", "_n", "_before", "_place", *[f"_{k}" for k in keys])
+    return ranged.join(earlier, same).withColumn(
+        name, (F.col("_place") - F.col("_first") + F.col("_before")).cast("long")
+    ).drop("_place", "_part", "_at", "_n", "_first", "_before", *[f"_{k}" for k in keys])
 
 
 def carry_forward(
