@@ -6,8 +6,12 @@ import textwrap
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from auditloom.schemas import FACTS
+from auditloom.sources import facts
 from auditloom.sources.facts import (
     LONG_TEXT, MARKERS, RULE_KINDS, extract_facts, file_facts, imports, number_nodes, store_facts,
 )
@@ -122,3 +126,25 @@ def test_odd_constants_do_not_end_the_job(spark, make_files, source):
     rows = extract_facts(files, None).collect()
     assert any(r["path"] == "good.py" and r["name"] == "eval" for r in rows)
     assert any(r["path"] == "odd.py" for r in rows)
+
+
+def test_batches_stay_small():
+    """Facts leave in small batches, also those of long texts, and a batch of texts goes before the next one comes."""
+    schema = to_arrow_schema(FACTS)
+    wide = pa.schema([("repo", pa.string()), ("path", pa.string()), ("content", pa.string())])
+    many, long = "f(1)\n" * 5_000, "for i in r:\n" + "    x = 'some words of a text'\n" * 20_000
+    held, base = [], pa.total_allocated_bytes()
+
+    def batches():
+        for contents in ([many] * 3, [], [long] * 20):
+            held.append(pa.total_allocated_bytes() - base)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (["r"] * len(contents), ["p"] * len(contents), contents)], schema=wide)
+
+    sizes, chars = [], []
+    for out in facts.fact_batches(batches(), frozenset(["Call", "For"]), schema):
+        sizes.append(out.num_rows)
+        chars.append(out.column("text").nbytes)
+        del out
+    assert sum(sizes) == 15_000 + 20 and max(sizes) <= 2_000
+    assert max(chars) < 6_000_000
+    assert max(held) < 20_000
