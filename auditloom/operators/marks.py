@@ -32,11 +32,11 @@ FLAG_WORDS = {
     "kubernetes": ["kubernetes"],
 }
 
-# Patterns on lower-cased text that set a feature flag.
-FLAG_PATTERNS = {
-    "jwt": r"\b(jwt|jose|pyjwt)\b",
-    "rbac": r"\b(rbac|role|permission|is_admin|admin_required)\b",
-    "postgresql": r"\b(postgresql|asyncpg|psycopg)\b",
+# Whole words in lower-cased text that set a feature flag.
+WHOLE_WORDS = {
+    "jwt": ["jwt", "jose", "pyjwt"],
+    "rbac": ["rbac", "role", "permission", "is_admin", "admin_required"],
+    "postgresql": ["postgresql", "asyncpg", "psycopg"],
 }
 
 # Path words of the domain layer, and frameworks it should not use.
@@ -68,6 +68,11 @@ def word_flags(column: Column, words: dict[str, list[str]]) -> dict[str, Column]
     return {flag: text.contains_any(column, needles) for flag, needles in words.items()}
 
 
+def whole_word(column: Column, words: list[str]) -> Column:
+    """True when one of the words occurs between word borders; only texts that hold one pay for the pattern."""
+    return text.contains_any(column, words) & column.rlike(rf"(?U)\b({'|'.join(words)})\b")
+
+
 def first_word(path: Column, content: Column, path_words: list[str], words: list[str]) -> Column:
     """The first listed word in the text of a file whose path holds one of the path words."""
     found = F.try_element_at(text.words_found(F.lower(content), words), F.lit(1))
@@ -86,7 +91,7 @@ def mark_files(files: DataFrame) -> DataFrame:
     content = F.coalesce("content", F.lit(""))
     low_text = F.when(F.col("is_text"), F.lower(content)).otherwise("")
     flags = word_flags(low_text, FLAG_WORDS)
-    flags |= {flag: low_text.rlike("(?U)" + pattern) for flag, pattern in FLAG_PATTERNS.items()}
+    flags |= {flag: whole_word(low_text, words) for flag, words in WHOLE_WORDS.items()}
     is_dockerfile = F.lower("name") == "dockerfile"
     return files.withColumns({
         "has_text": content != "",
@@ -126,10 +131,13 @@ def mark_lines(lines: DataFrame, groups: list[str] = LINE_GROUPS) -> DataFrame:
     in_interface = text.contains_any(F.lower("path"), INTERFACE_WORDS)
     by_group = {"secrets": secret, "sql": F.when(is_sql, statement), "docs": docs}
     broken = F.concat(*[F.coalesce(by_group[g], none) for g in groups])
+    # Arrays are only built for lines that may break a rule.
+    tests = {"secrets": text.has_hardcoded_secret(line), "sql": is_sql, "docs": F.contains(line, F.lit("None"))}
+    suspect = text.any_of([tests[g] for g in groups])
     return lines.withColumns({
         "head": F.substring(line, 1, SHOWN_LINE),
         "is_sql": is_sql,
-        "broken": F.filter(broken, lambda r: r.isNotNull()),
+        "broken": F.when(suspect, F.filter(broken, lambda r: r.isNotNull())).otherwise(none),
         "database_word": in_interface & text.contains_any(line, DATABASE_WORDS),
         "guard": text.contains_any(line, SECURITY_MARKERS),
         "awaits": F.contains(line, F.lit("await ")),

@@ -168,3 +168,45 @@ def test_what_a_scan_cannot_read_is_a_finding(spark, tmp_path):
     assert {r["path"]: r["content"] for r in scanned.files.collect()} == {"src/a.py": "eval(x)\n", "src/gone.py": ""}
     found = {(r["rule_id"], r["file"], r["detail"]) for r in audit(scanned.files, lost=scanned.lost).findings.collect()}
     assert ("SCAN-UNREADABLE", "src/gone.py", "Not read: FileNotFoundError.") in found
+
+
+def test_cheap_tests_before_patterns_lose_no_text(spark):
+    """Texts that a pattern takes pass the cheap test before it, also by letters that only fold to ASCII."""
+    from auditloom.operators.marks import WHOLE_WORDS, whole_word
+
+    letters = spark.createDataFrame([(chr(n),) for n in range(0x80, 0x20000) if not 0xD800 <= n < 0xE000], "c string")
+    folding = {r["c"] for r in letters.filter(F.col("c").rlike("^(?iuU)(" + "|".join("abcdefghijklmnopqrstuvwxyz") + ")$")).collect()}
+    assert folding == set(text.FOLDED)
+    texts = ["select", "x SELECT y", "ſelect", "SELECTİON", "İnsert a", "ınsert", "deleted", "édelete", "", "updat",
+             "no", None, "role", "roles", "a role.", "jose", "josef", "pyjwt", "is_admin", "épsycopg", "asyncpgé", "postgresql"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    pattern = text.ANY_CASE + text.SQL_WORDS
+    got = rows.select("t", text.has_sql_words(F.col("t")).alias("got"), F.col("t").rlike(pattern).alias("want")).collect()
+    assert [(r["t"], r["got"]) for r in got] == [(r["t"], r["want"]) for r in got] and sum(bool(r["got"]) for r in got) == 5
+    for words in WHOLE_WORDS.values():
+        want = F.col("t").rlike(rf"(?U)\b({'|'.join(words)})\b")
+        got = rows.select("t", whole_word(F.col("t"), words).alias("got"), want.alias("want")).collect()
+        assert [(r["t"], r["got"]) for r in got] == [(r["t"], r["want"]) for r in got]
+    assert "contains(" in rows.select(text.has_sql_words(F.col("t")))._jdf.queryExecution().toString().lower()
+
+
+def test_comments_of_all_line_breaks(spark):
+    from auditloom.plans.seeded import comments
+
+    texts = ["a", "a\nb", "a\r\nb", "a\rb", "\r\r\n\n\r", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        comments().alias("got"), F.concat(F.lit("# "), F.regexp_replace("text", r"\r\n|\r|\n", "\n# "), F.lit("\n")).alias("want")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_plain_values_become_arrays_unchecked(monkeypatch):
+    """Only a column that holds a lone surrogate is looked at value by value."""
+    from auditloom.sources import facts
+
+    seen = []
+    plain = facts.encodable
+    monkeypatch.setattr(facts, "encodable", lambda v: seen.append(v) or plain(v))
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("c", pa.list_(pa.string()))])
+    rows = [{"a": "x", "b": "\ud800", "c": ["y"]}, {"a": "é", "c": None}]
+    assert facts.to_batch(rows, schema).to_pylist() == [{"a": "x", "b": "?", "c": ["y"]}, {"a": "é", "b": None, "c": None}]
+    assert seen == ["\ud800", None]
