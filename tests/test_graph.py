@@ -103,6 +103,39 @@ def test_long_graphs_take_few_jobs(spark, monkeypatch):
     assert jobs[0] < 250
 
 
+def count_rounds(monkeypatch):
+    rounds = [0]
+    for function in ("stored", "cut_counting", "cut_round"):
+        real = getattr(graph, function)
+        monkeypatch.setattr(graph, function, lambda *a, real=real: (rounds.__setitem__(0, rounds[0] + 1), real(*a))[1])
+    return rounds
+
+
+def test_ladders_take_few_turns(spark, monkeypatch):
+    """Ways without cycles fall apart at both ends and in several places a turn."""
+    rounds = count_rounds(monkeypatch)
+    rows = [(f"g{g}", f"n{i:03d}", f"n{i + j:03d}") for g in range(60) for i in range(200) for j in (1, 2)]
+    rows += [("back", f"n{i:03d}", f"n{i + j:03d}") for i in range(200) for j in (1, 2)] + [("back", "n150", "n050")]
+    found = graph.cyclic_components(spark.createDataFrame(rows, "g string, src string, dst string").repartition(4))
+    assert {tuple(r) for r in found.collect()} == {("back", f"n{i:03d}", "n050") for i in range(50, 151)}
+    assert rounds[0] < 80
+
+
+def test_swept_links_find_the_same(edges, monkeypatch):
+    monkeypatch.setattr(graph, "SWEPT_LINKS", 1)
+    got = {(r["g"], r["node"]): r["root"] for r in graph.cyclic_components(edges.withColumnRenamed("repo", "g")).collect()}
+    assert got == {(g, n): root for g, es in GRAPHS.items() for n, root in components(es).items()}
+
+
+def test_edges_without_graph_or_end(spark):
+    """Repeats count once; edges without a graph count as loops only, edges without an end not at all."""
+    rows = [("g", "a", "b"), ("g", "b", "a"), ("g", "b", "a"), ("g", None, "a"), ("g", "b", None), ("g", None, None),
+            (None, "a", "b"), (None, "b", "a"), (None, "c", "c"), ("h", "a", "a"), ("h", "a", "b")]
+    edges = spark.createDataFrame(rows, "repo string, src string, dst string")
+    got = sorted((str(r["repo"]), r["root"], r["cycle"]) for r in graph.cycles_per_repo(edges).collect())
+    assert got == [("None", "c", ["c", "c"]), ("g", "a", ["a", "b", "a"]), ("h", "a", ["a", "a"])]
+
+
 def test_longest_prefix(spark):
     rows = spark.createDataFrame([("r", "a.b.c"), ("r", "a.bc"), ("r", "x"), ("s", "a.b")], "repo string, name string")
     index = spark.createDataFrame(
