@@ -25,7 +25,7 @@ def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_levels.repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+    return suffix_levels.repeated_passages(table(spark, sf_dir, "documents"), words=True).drop("spans")
 
 
 def op4_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
